@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op2_embeddings
+from .html import op4_html
+from .langid import op1_language
+from .pieces import op6_pieces
+from .quality import op5_quality
+from .secrets import op9_secrets
+from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring import op3_substring_dedup
+from .templates import op8_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_embeddings": op2_embeddings,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_html": op4_html,
+    "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
