@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import text_queries
+from .catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def flagship(spark, sf_dir):
+    return text_queries.tx5(spark, sf_dir)
