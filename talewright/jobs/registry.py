@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import people_queries, text_queries  # noqa: F401
+from . import audit_queries, people_queries, project_queries, shot_queries, text_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
