@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import audit_queries, people_queries, project_queries, shot_queries, text_queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from . import audit_queries, people_queries, project_queries, shot_queries, source_queries, text_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
-def flagship(spark, sf_dir):
-    return text_queries.tx5(spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each manuscript's storyboard runs, and in how many units."""
+    return project_queries.u2(spark, sf_dir)
