@@ -175,7 +175,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         order = np.argsort(values, kind="stable")
         values, doc, index = values[order], doc[order], ((at - b.first[doc]) % block == 0)[order]
         first = _first_of(values)
-        last = np.append(first[1:], len(values)) - 1
+        last = np.append(first[1:], len(values))[: len(first)] - 1
         indexed = np.logical_or.reduceat(index, first) if len(first) else np.zeros(0, bool)
         several = doc[first] != doc[last]
         values = values[first]
