@@ -171,7 +171,7 @@ def word_sums(model: LanguageModel, words: list[bytes]) -> np.ndarray:
     words without a letter."""
     out = np.zeros((len(words), len(model.languages) + 1), np.float64)
     parts, of = [], []
-    for i, word in enumerate(words):
+    for i, word in enumerate(words if model.languages else []):
         if _LETTER.search(word.decode("utf-8", "replace")):
             for s in segments(word):
                 parts.append(s)
