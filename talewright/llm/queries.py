@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embeddings import op2_embeddings
 from .html import op4_html
 from .langid import op1_language
+from .oracles import ORACLES
 from .pieces import op6_pieces
 from .quality import op5_quality
 from .secrets import op9_secrets
@@ -17,6 +18,8 @@ from .simhash import op7_simhash
 from .substring import op3_substring_dedup
 from .templates import op8_decontamination
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_embeddings": op2_embeddings,
@@ -30,4 +33,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
