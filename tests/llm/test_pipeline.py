@@ -1,7 +1,7 @@
 import corpus_pipeline
 from talewright.llm import pieces, queries, templates
 
-from .test_text_operators import _base_spans, _brute_components, _brute_fingerprint
+from .test_text_operators import _base_spans, _brute_similar
 
 
 def test_every_stage_against_plain_versions(spark, sf_dir):
@@ -17,7 +17,7 @@ def test_every_stage_against_plain_versions(spark, sf_dir):
 
     good = docs.where(docs.doc_id.isin(list(kept)))
     distinct = corpus_pipeline.keep_distinct(spark, good, sf_dir)
-    low = _brute_components({i: _brute_fingerprint(rows[i].text) for i in kept})
+    low = _brute_similar({i: rows[i].text for i in kept})
     assert distinct.columns == columns and {r.doc_id for r in distinct.collect()} == {i for i in kept if low[i] == i}
 
     clean = corpus_pipeline.keep_uncontaminated(spark, docs, sf_dir)

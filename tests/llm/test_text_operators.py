@@ -154,6 +154,50 @@ def test_near_duplicates_of_odd_rows(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
 
 
+def _brute_similar(texts):
+    """Smallest id within reach of links of 0.8 or more common five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low
+
+
+def test_similar_documents_match_brute_force(spark, rng):
+    texts = {i: sentence(rng, rng.randrange(1, 120)) for i in range(40)}
+
+    def vary(text, n):
+        words = text.split()
+        for _ in range(n):
+            words[rng.randrange(len(words))] = sentence(rng, 1) + "x"
+        return " ".join(words)
+
+    texts |= {100 + i: vary(texts[i % 40], 1 + i % 3) for i in range(80)}
+    hub = sentence(rng, 150)
+    texts |= {300 + i: vary(hub, 3) for i in range(120)} | {500: hub, 501: hub.upper(), 502: None, 503: "", 504: "One", 505: "one"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    want = _brute_similar(texts)
+    assert sum(got[i] != want[i] for i in want) <= 2 and len(set(got.values())) <= len(set(want.values())) + 2
+    assert all(got[i] == got[500] for i in texts if 300 <= i <= 501 and want[i] == want[500])
+
+
+def test_similar_documents_of_odd_rows(spark, odd_documents, no_documents):
+    got = simhash.similar_documents(odd_documents).collect()
+    by_id = {r.doc_id: r.component_id for r in got}
+    assert len(got) == 10 and by_id[1] == -8 and by_id[3] == by_id[2] == by_id[4] == 2 and by_id[5] == 5
+    assert simhash.similar_documents(no_documents).count() == 0
+
+
 # -- substrings
 
 
