@@ -24,8 +24,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates (0.8 of their five-word shingles in common, or more) the document with the smallest
+    id; documents without an id stay."""
+    found = simhash.similar_documents(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
