@@ -25,6 +25,8 @@ from .common import partitions, table
 WINDOW = 50
 #: Ids of rows without one: after all others.
 NO_ID = (1 << 63) - 1
+#: Batches for each shuffle partition: a task holds one batch at a time.
+BATCHES = 2
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
 #: Bits of an anchor's hash beside its range. A chance hit only costs comparing a run that is no repeat.
@@ -158,8 +160,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take nothing from each other. An empty table gives an empty one; other columns are left out.
     """
     block = window // 2
-    n = partitions(docs.sparkSession)
-    bits = max(8, (n - 1).bit_length())
+    n = BATCHES * partitions(docs.sparkSession)
+    bits = max(8, (n // BATCHES - 1).bit_length())
     ranges = 1 << bits
     rest = np.uint64(ANCHOR_BITS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
