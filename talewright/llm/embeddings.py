@@ -5,15 +5,17 @@ Hadamard transform). Its cross-polytope hash is the axis, with its sign, that it
 index joins several such hashes to a bucket; multiprobe posts a vector in the buckets of its next nearest axes too.
 Vectors that share a bucket are candidates, and every candidate pair is verified by its cosine in double precision.
 
-Equal vectors are one point with a weight. Buckets with one point go before anything is compared. A larger bucket is
-compared block by block, each block pair a matrix product in some task, so a hot bucket spreads over the cluster. A task
-returns links counted per point and a spanning forest of them, never the pairs. A pair that meets in several buckets
-counts in the first.
+Equal vectors are one point with a weight. Buckets with one point go before anything is compared. In a large bucket the
+points within half the threshold's angle of one pivot form a ball: any two of them are linked, so a large group of near
+copies is counted without comparing its pairs. What is left is compared block by block, each block pair a matrix product
+in some task, so a hot bucket spreads over the cluster. A task returns links counted per point and a spanning forest of
+them, never the pairs. A pair that meets in several buckets counts in the first.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -104,9 +106,9 @@ def _compare(t: pd.DataFrame) -> pd.DataFrame:
     """Links of packed block pairs: for each point the weight linked to it, and its root in the pack's forest."""
     reps, index, inverse = *np.unique(t["rep"].to_numpy(), return_index=True), t["rep"].to_numpy()
     x = _units(t["embedding"].to_numpy()[index].tolist())
-    big = t["keys"].to_numpy()[index]
-    keys = np.stack(big)
+    keys = np.stack(t["keys"].to_numpy()[index])
     weight = t["weight"].to_numpy()[index].astype(np.int64)
+    ball = t["ball"].to_numpy()[index]
     at = np.searchsorted(reps, inverse)
     links, ends = np.zeros(len(reps), np.int64), []
     groups = t.assign(at=at).sort_values(["key", "b1", "b2", "block", "rep"])
@@ -121,6 +123,8 @@ def _compare(t: pd.DataFrame) -> pd.DataFrame:
             right = at[s:e][block[s:e] == b2[s]]
             i, j = np.nonzero(x[left] @ x[right].T >= THRESHOLD)
             i, j = left[i], right[j]
+        apart = ball[i] != ball[j]
+        i, j = i[apart], j[apart]
         if len(i):
             ends.append((i, j))
             for a in range(0, len(i), 4096):
@@ -188,13 +192,51 @@ def _links(points: DataFrame, hashes: int) -> DataFrame:
     coded = settle(points.select("rep", "embedding").mapInArrow(post, "rep long, keys array<long>"))
     posts = coded.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n")
-    shared = posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("rep", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    shared = settle(shared.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    packs = max(1, shared.count() // PACK)
-    pairs = shared.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("rep", "key", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("pack"))
-    full = pairs.join(points, "rep").join(coded, "rep")
-    return full.select("pack", "rep", "key", "block", "b1", "b2", "embedding", "weight", "keys").groupBy("pack").applyInPandas(lambda t: _compare(t), "rep long, links long, root long")
+    shared = settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("rep", "key", "n"))
+    balls = settle(_balls(shared.where(F.col("n") > BLOCK), points))
+    sums = balls.join(points, "rep").groupBy("ball").agg(F.sum("weight").alias("total"), F.min("rep").alias("root")).select((F.col("ball") + F.lit(0)).alias("b"), "total", "root")
+    inside = balls.join(points, "rep").hint("merge").join(sums, F.col("ball") == F.col("b")).select("rep", (F.col("total") - F.col("weight")).alias("links"), "root")
+
+    shared = shared.join(balls, "rep", "left").withColumn("ball", F.coalesce("ball", "rep"))
+    rows = settle(_blocks(shared))
+    packs = max(1, rows.count() // PACK)
+    small = F.pmod(F.xxhash64("key"), F.lit(packs))
+    full = rows.withColumn("pack", F.when(F.col("n") <= BLOCK, small).otherwise(F.xxhash64("key", "b1", "b2"))).join(points, "rep").join(coded, "rep")
+    full = full.select("pack", "rep", "key", "ball", "block", "b1", "b2", "embedding", "weight", "keys")
+    return inside.union(full.groupBy("pack").applyInPandas(lambda t: _compare(t), "rep long, links long, root long"))
+
+
+def _balls(hot: DataFrame, points: DataFrame) -> DataFrame:
+    """(rep, ball): the points of the large buckets that lie within half the threshold's angle of a bucket's pivot, its
+    least point. Two points of one ball are linked whatever their places, so they need not be compared. A point near
+    several pivots belongs to the least."""
+    pivots = hot.groupBy("key").agg(F.min("rep").alias("pivot")).select((F.col("key") + F.lit(0)).alias("k"), "pivot")
+    pairs = hot.hint("merge").join(pivots, F.col("key") == F.col("k")).select("rep", "pivot").distinct()
+    own, other = points.select("rep", F.col("embedding").alias("x")), points.select(F.col("rep").alias("pivot"), F.col("embedding").alias("y"))
+    pairs = pairs.join(own, "rep").join(other, "pivot")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, c: t + c)
+    cosine = dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))
+    return pairs.where(cosine >= math.sqrt((1 + THRESHOLD) / 2) + 1e-9).groupBy("rep").agg(F.min("pivot").alias("ball"))
+
+
+def _blocks(shared: DataFrame) -> DataFrame:
+    """Rows (rep, key, n, ball) once for each pair of blocks, b1 and b2, that their block of the bucket is compared in.
+
+    A ball with more than BLOCK points in a bucket has blocks of its own, which are not compared with each other; all other
+    points of the bucket are dealt to blocks that are compared with every block.
+    """
+    parts = shared.groupBy("key", "ball").agg(F.count("*").alias("m")).withColumn("part", F.when(F.col("m") > BLOCK, F.col("ball").cast("string")).otherwise(""))
+    widths = parts.groupBy("key", "part").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("width"))
+    widths = widths.groupBy("key").agg(F.collect_list(F.struct("part", "width")).alias("widths"))  # a row for each BLOCK points at most, and one
+    own = parts.select((F.col("key") + F.lit(0)).alias("k"), F.col("ball").alias("b"), "part").join(widths.select((F.col("key") + F.lit(0)).alias("k"), "widths"), "k")
+    rows = shared.hint("merge").join(own, (F.col("key") == F.col("k")) & (F.col("ball") == F.col("b"))).drop("k", "b")
+    width = F.filter("widths", lambda w: w["part"] == F.col("part"))[0]["width"]
+    name = lambda part, i: F.concat_ws(":", part, i.cast("string"))
+    rows = rows.withColumn("block", name(F.col("part"), F.pmod(F.xxhash64("rep"), width)))
+    facing = F.filter("widths", lambda w: (w["part"] != F.col("part")) | (F.col("part") == ""))
+    others = F.flatten(F.transform(facing, lambda w: F.transform(F.sequence(F.lit(0), w["width"] - 1), lambda i: name(w["part"], i))))
+    rows = rows.select("rep", "key", "n", "ball", "block", F.explode(others).alias("other"))
+    return rows.select("rep", "key", "n", "ball", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
