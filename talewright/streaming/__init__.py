@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Empty: the rules that the jobs follow have no streams, so none are made up."""
