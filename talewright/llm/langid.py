@@ -190,7 +190,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     turn = F.xxhash64("id", F.lit("language"))
     ids = rows.select("id", "lang").orderBy(turn, "id", "lang").limit(SAMPLE_DOCS).select("id").distinct()
     words = rows.join(F.broadcast(ids), "id").select("id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({WORDS})")))).alias("word"))
-    got = words.where(F.col("word").rlike("\\p{L}")).orderBy(F.xxhash64("word", "id"), "word", "id", "lang").limit(SAMPLE_WORDS).select("word", "lang").collect()
+    got = words.where(F.col("word").rlike("\\p{L}")).repartition(4).orderBy(F.xxhash64("word", "id"), "word", "id", "lang").limit(SAMPLE_WORDS).select("word", "lang").collect()
     return train([r.word.encode() for r in got], [r.lang for r in got])
 
 
