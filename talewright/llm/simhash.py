@@ -15,9 +15,10 @@ rows a member, and a value never has more than 33 members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import connected_components
+from .embeddings import BLOCK, _blocks
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
 #: Bytes that two fingerprints within MAX_BITS share at least.
 MIN_SHARED = 8 - MAX_BITS
-#: Lists up to this length are paired, longer ones are posted again by their one-bit neighbours; both ways are exact.
+#: Lists up to this length are paired, longer ones are posted again by their one-bit neighbours; in ``links`` both ways
+#: are exact. ``similar_documents`` compares longer ones in blocks.
 MAX_LIST = 48
 
 
@@ -182,17 +185,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, sig array<long>")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, sig) that may be alike, from twelve lists of four positional bytes each.
-
-    A list up to MAX_LIST is paired. In a longer one (a large group of near copies) every member is paired with two only: the
-    one that meets most others over all its lists, as the text that the group derives from does, and the least.
-    """
+def _lists(nodes: DataFrame) -> DataFrame:
+    """(key, node, sig, n): the nodes (node, sig) in twelve lists of four positional bytes each, and the lists' lengths."""
     word = lambda i: F.shiftrightunsigned(F.col("sig")[i // 2], 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
     keys = F.array(*(word(i).bitwiseOR(F.lit(i << 32)) for i in range(POSITIONS // 4)))
     posts = nodes.select("node", "sig", F.explode(keys).alias("key"))
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n")
-    shared = settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("key", "node", "sig", "n"))
+    return settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("key", "node", "sig", "n"))
+
+
+def _candidates(shared: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that may be alike, from the lists.
+
+    A list up to MAX_LIST is paired. In a longer one (a large group of near copies) every member is paired with two only: the
+    one that meets most others over all its lists, as the text that the group derives from does, and the least. What
+    these do not link is left to ``_rest``.
+    """
     alike = sum((shared_bytes(F.col("sig_a")[i], F.col("sig_b")[i]) for i in range(POSITIONS // 8)), F.lit(0)) >= MIN_POSITIONS
     small = shared.where(F.col("n") <= MAX_LIST)
     left, right = small.select("key", F.col("node").alias("a"), F.col("sig").alias("sig_a")), small.select("key", F.col("node").alias("b"), F.col("sig").alias("sig_b"))
@@ -206,6 +214,96 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return pairs.union(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of left shares with each of right, as products of 0/1 matrices by parts of the elements."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    known = np.intersect1d(x, y)
+    counts = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for flat, sets in ((x, left), (y, right)):
+        at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        mine = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        order = np.argsort(at[mine], kind="stable")
+        sides.append((row[mine][order], at[mine][order], len(sets)))
+    for a in range(0, len(known), 4096):
+        part = []
+        for row, at, n in sides:
+            of = slice(*np.searchsorted(at, (a, a + 4096)))
+            m = np.zeros((n, min(4096, len(known) - a)), np.float32)
+            m[row[of], at[of] - a] = 1
+            part.append(m)
+        counts += part[0] @ part[1].T
+    return counts.astype(np.int64)
+
+
+def _block_links(table: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(src, dst): components that pairs of texts alike to least link, as a forest for each pair of blocks."""
+    hashes: dict[int, np.ndarray] = {}
+    found: set[tuple[int, int]] = set()
+    for (key, b1, b2), t in table.groupby(["key", "b1", "b2"], sort=False):
+        t = t.reset_index(drop=True)
+        sig = np.array(t["sig"].tolist(), np.int64).view(np.uint8).reshape(-1, POSITIONS)
+        ball = t["ball"].to_numpy()
+        size = np.zeros(len(t), np.int64)
+        for i, (node, text) in enumerate(zip(t["rep"].tolist(), t["text"], strict=True)):
+            if node not in hashes:
+                hashes[node] = shingle_hashes(text)
+            size[i] = len(hashes[node])
+        left, right = (np.flatnonzero((t["block"] == b).to_numpy()) for b in (b1, b2))
+        if not len(left) or not len(right):
+            continue
+        earlier = sig.view("<u4")[:, : key >> 32]  # a pair that shares an earlier list is compared there
+        todo = np.zeros((len(left), len(right)), bool)
+        for i, a in enumerate(left):
+            ok = (ball[right] != ball[a]) & (np.minimum(size[right], size[a]) / np.maximum(size[right], size[a]) >= least)
+            if b1 == b2:
+                ok &= right > a
+            ok[ok] = ~(earlier[right[ok]] == earlier[a]).any(1) & ((sig[right[ok]] == sig[a]).sum(1) >= MIN_POSITIONS)
+            todo[i] = ok
+        rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+        if not len(rows):
+            continue
+        nodes = t["rep"].to_numpy()
+        common = _common([hashes[n] for n in nodes[left[rows]].tolist()], [hashes[n] for n in nodes[right[cols]].tolist()])
+        union = size[left[rows]][:, None] + size[right[cols]] - common
+        root: dict[int, int] = {}
+        for i, j in np.argwhere(todo[np.ix_(rows, cols)] & (common / union >= least)).tolist():
+            a, b = int(ball[left[rows[i]]]), int(ball[right[cols[j]]])
+            x, y = a, b
+            while x in root:
+                x = root[x]
+            while y in root:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.add((a, b))
+    return pd.DataFrame(list(found), columns=["src", "dst"], dtype="int64")
+
+
+def _rest(shared: DataFrame, joined: DataFrame, texts_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame | None:
+    """(src, dst): components among ``joined`` that further pairs in the lists over MAX_LIST link, or None if there are no such.
+
+    Every pair of a long list is compared on the whole texts, save those of one component already, those with fewer than
+    MIN_POSITIONS common bytes (as in short lists) and those that another list compares. The list is cut into blocks,
+    each pair of blocks is compared in a group of its own; a large component is never compared with itself.
+    """
+    of_node = joined.select(F.col("node").alias("c_node"), F.col("component").alias("ball"))
+    long = shared.where(F.col("n") > MAX_LIST).select("key", F.col("node").alias("rep"), "n").hint("merge").join(of_node, F.col("rep") == F.col("c_node")).drop("c_node")
+    mixed = long.groupBy("key").agg(F.min("ball").alias("low"), F.max("ball").alias("high")).where("low != high").select((F.col("key") + F.lit(0)).alias("k"))
+    long = settle(long.hint("merge").join(mixed, F.col("key") == F.col("k")).drop("k"))
+    if long.isEmpty():
+        return None
+    rows = settle(_blocks(long))
+    packs = max(1, rows.count() // BLOCK)
+    pack = F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.xxhash64("key", "b1", "b2"))
+    texts = settle(texts_of(rows.select(F.col("rep").alias("node")).distinct()))
+    sigs = shared.select("node", "sig").dropDuplicates(["node"]).join(texts, "node").withColumnRenamed("node", "t_node")
+    full = rows.hint("merge").join(sigs, F.col("rep") == F.col("t_node")).select(pack.alias("pack"), "rep", "key", "ball", "block", "b1", "b2", "sig", F.col("text").cast("binary").alias("text"))
+    links = settle(full.groupBy("pack").applyInPandas(lambda t: _block_links(t, least), "src long, dst long"))
+    return None if links.isEmpty() else links
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) for every row: documents whose sets of five-word shingles are alike to ``least`` or more are
     linked, and component_id is the smallest id that links reach. Candidate pairs are verified on their whole texts.
@@ -215,10 +313,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = settle(signatures(docs, id_col, text_col))
     nodes = settle(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    pairs = settle(_candidates(nodes.where("rep IS NOT NULL").select("node", "sig")))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed.hint("shuffle_hash"), "rep").groupBy("node").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = settle(texts)
+    shared = _lists(nodes.where("rep IS NOT NULL").select("node", "sig"))
+    pairs = settle(_candidates(shared))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        needed = wanted.join(nodes.select("node", "rep"), "node")
+        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+        return texts.join(needed.hint("shuffle_hash"), "rep").groupBy("node").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+
+    texts = settle(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +332,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     component = connected_components(both.select("a", "b", "x", "y").mapInArrow(verify, "src long, dst long"))
     joined = settle(nodes.select("node", "rep").join(component.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("component")))
+    more = _rest(shared, joined, texts_of, least)
+    if more is not None:
+        wider = connected_components(more).select(F.col("node").alias("c_node"), F.col("component").alias("wider"))
+        joined = settle(joined.hint("merge").join(wider, F.col("component") == F.col("c_node"), "left").select("node", "rep", F.coalesce("wider", "component").alias("component")))
     best = joined.groupBy("component").agg(F.min("rep").alias("component_id")).select((F.col("component") + F.lit(0)).alias("c"), "component_id")
     of_node = joined.hint("merge").join(best, F.col("component") == F.col("c")).select((F.col("node") + F.lit(0)).alias("n"), "component_id")
     return rows.hint("merge").join(of_node, F.col("node") == F.col("n")).select("doc_id", "component_id")

@@ -191,6 +191,36 @@ def test_similar_documents_match_brute_force(spark, rng):
     assert all(got[i] == got[500] for i in texts if 300 <= i <= 501 and want[i] == want[500])
 
 
+def _own(tag, n):
+    return [f"{tag}n{k}" for k in range(n)]
+
+
+def test_similar_documents_in_long_lists_match_brute_force(spark, rng):
+    template, drift, lost = _own("licence", 160), _own("drift", 400), _own("origin", 150)
+    texts = {}
+    for i in range(150):  # pairs within one template, which no two pairs have 0.8 in common by
+        own = _own(f"p{i}", 26)
+        texts |= {2 * i: " ".join(template + own), 2 * i + 1: " ".join(template + own[:8] + _own(f"q{i}", 18))}
+    texts |= {1000 + i: " ".join(drift[i : i + 150]) for i in range(100)}  # versions in a chain
+    for i in range(100):  # copies of a text that is not there itself
+        words = list(lost)
+        for _ in range(2):
+            words[rng.randrange(150)] = f"c{i}x{rng.random()}"
+        texts[2000 + i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df.repartition(4)).collect()}
+    want = _brute_similar(texts)
+    assert len({want[i] for i in range(300)}) == 150
+    assert got == want
+
+
+def test_block_links_count_common_shingles(rng):
+    sets = [np.unique(np.array([rng.randrange(9000) for _ in range(rng.randrange(1, 6000))], np.uint64)) for _ in range(9)]
+    common = simhash._common(sets[:4], sets[4:])
+    assert common.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    assert simhash._common([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
 def test_similar_documents_of_odd_rows(spark, odd_documents, no_documents):
     got = simhash.similar_documents(odd_documents).collect()
     by_id = {r.doc_id: r.component_id for r in got}
