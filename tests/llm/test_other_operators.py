@@ -1,4 +1,7 @@
 import math
+import re
+import time
+from html import unescape
 
 import numpy as np
 import pytest
@@ -84,10 +87,64 @@ def test_html_keeps_the_article_only():
     assert html.extract(_PAGE) == "The & title\nFirst paragraph of the text is rather long — it goes on for a while.\nSecond line here.\nThird."
 
 
-def test_html_without_an_article():
-    body = "".join(f"<p>Paragraph {i} with a good number of words to read in it, so that it is dense.</p>" for i in range(6))
-    page = f"<body><div><a href=x>a</a><a href=y>b</a><a href=z>c</a></div><ul>{'<li><a href=q>l</a></li>' * 9}</ul><div>{body}</div><ul>{'<li><a href=q>l</a></li>' * 9}</ul></body>"
-    assert html.extract(page).count("\n") == 5 and html.extract(page).startswith("Paragraph 0")
+def _plain_article(page):
+    """The article of a given page by its markup: what stands between the tags that open and close it, cut at its blocks."""
+    body = re.search("<article>(.*?)</article>", page, re.S)[1]
+    blocks = (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1|br|ul|li|div)[^>]*>", body))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_query_against_a_plain_version(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = html.op4_html(spark, sf_dir).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, _plain_article(pages[r.page_id].html), len(r.text))
+
+
+def test_html_clusters_decide(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    texts = [html.extract(p) for p in pages]
+    monkeypatch.setattr(html, "threshold", lambda values: -math.inf)
+    monkeypatch.setattr(html, "FLOOR", 0.0)
+    assert sum(html.extract(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
+
+
+_BODY = [f"Paragraph {i} with a good number of words to read in it, so that it is dense." for i in range(6)]
+_PROSE = "".join(f"<p>{p}</p>" for p in _BODY)
+_MENU = f"<ul>{'<li><a href=q>some link</a></li>' * 9}</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "around"),
+    [
+        (f'<article class="social-post">{_PROSE}</article>', []),
+        (f"<form>{_PROSE}</form>", []),
+        (f'<div class="content has-sidebar">{_PROSE}</div>', []),
+        (f'<div id="page" class="header-fixed">{_PROSE}</div>', []),
+        (f"<nav>{_MENU}</nav><form><article>{_PROSE}</article></form><footer>A footer of some words</footer>", []),
+        (f'<article><h1>Title</h1><div class="ad">Buy now{_PROSE}</article><footer>foot</footer>', ["Title"]),
+        (f"{_MENU}<div>{_PROSE}</div>{_MENU}<div class=site-footer>(c) some company of the world</div>", []),
+        (f"<article><a href=x>A teaser card</a></article><div id=main>{_PROSE}</div>", []),
+        (f"{_PROSE}<section id=comments><article class=comment-body><p>{'I liked this post very much. ' * 9}</p></article></section>", []),
+        (f"<header><h1>Site</h1></header><article><header><h1>The title</h1><p>by me</p></header>{_PROSE}</article>", ["The title"]),
+    ],
+)
+def test_html_finds_the_content(page, around):
+    assert html.extract(f"<html><body>{page}</body></html>") == "\n".join([*around, *_BODY])
+
+
+def test_html_keeps_several_articles_and_short_blocks_inside():
+    items = "".join(f"<li>{w}</li>" for w in "one two three four five six".split())
+    page = f"<body>{_MENU}<main><article><h2>A</h2>{_PROSE}<ul>{items}</ul>{_PROSE}</article><article><h2>B</h2>{_PROSE}</article></main><aside>Side</aside></body>"
+    assert html.extract(page).split("\n") == ["A", *_BODY, "one", "two", "three", "four", "five", "six", *_BODY, "B", *_BODY]
+
+
+def test_html_without_end_tags_takes_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" * 40_000, "<div>" * 40_000 + "</b></p>" * 40_000, "<div class=ad>x" * 20_000):
+        html.extract(page + "<p>text")
+    assert time.perf_counter() - began < 15
 
 
 def test_html_of_odd_pages(spark):
