@@ -1,10 +1,13 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Texts are brought to a canonical form: lower-case words without punctuation, in which names (capitalised words within a
-sentence), numbers and units are typed placeholders. The windows of five tokens of every document are hash-joined with
-those of the benchmark. Where they meet, the values that fill the placeholders are compared: along one alignment of a
-document with an item, equal values of the item must stand for equal values of the document. A question with other
-numbers or names keeps to that; chance meetings of placeholders do not.
+Texts are brought to a canonical form: lower-case words without punctuation, in which names (capitalised words), numbers
+and units are typed placeholders. A window of five tokens is posted with its names as placeholders and, beside that, with
+its names as plain words, so that a copy in other case still meets its item. The windows of every document are hash-joined
+with those of the benchmark that hold two literal words at least; windows of hardly anything but placeholders say nothing.
+
+Where windows meet, the values that fill the placeholders are compared: along one alignment of a document with an item,
+equal values of the item must stand for equal values of the document, and different names for different names (different
+numbers may come to be equal by chance). A question with other numbers or names keeps to that.
 
 A document is contaminated by an item if consistent alignments hold at least COVERAGE of the item's windows. One changed
 word spoils five windows, so half of the windows still means that about nine words in ten are the same.
@@ -29,53 +32,66 @@ UNITS = (
     "kg|g|mg|km|m|cm|mm|l|ml|mph|kmh|h|min|s|ms|percent|dollars|euros|usd|eur|years|year|days|day|weeks|week|months|month"
     "|hours|hour|minutes|minute|seconds|second|miles|mile|feet|foot|inches|inch|pounds|pound|degrees|grams|meters|metres|liters|litres"
 )
-NAMES_RE = r"([\p{Ll},;:]\x20)(\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*)"
+NAMES_RE = r"(^|[^\p{L}\p{M}\p{N}])(\p{Lu}\p{Ll}+)"
 NUMBERS_RE = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 WORD = r"[\p{L}\p{M}]+"
-
-
-def tokens(text: Column) -> Column:
-    """Canonical tokens of a text."""
-    t = F.regexp_replace(text, f"[{NAME}-{END}]", " ")
-    t = F.regexp_replace(t, NAMES_RE, f"$1{NAME} ")
-    t = F.regexp_replace(t, NUMBERS_RE, f" {NUMBER} ")
-    t = F.regexp_replace(F.lower(t), f"{NUMBER} \\x20?(?:{UNITS})\\b", f"{NUMBER} {UNIT} ")
-    return F.array_remove(F.split(t, f"[^\\p{{L}}\\p{{M}}{NAME}-{UNIT}]+"), "")
+#: Literal words that a window of an item has at least.
+LITERALS = 2
 
 
 def values(text: Column) -> Column:
-    """The same tokens, each placeholder followed by the value that it stands for."""
+    """Tokens of a text: words in lower case, names after their mark, numbers and units between their mark and END."""
     t = F.regexp_replace(text, f"[{NAME}-{END}]", " ")
-    t = F.regexp_replace(t, NAMES_RE, f"$1{NAME}$2{END} ")
+    t = F.regexp_replace(t, NAMES_RE, f"$1{NAME}$2{END}")
     t = F.regexp_replace(t, NUMBERS_RE, f" {NUMBER}$0{END} ")
     t = F.regexp_replace(F.lower(t), f"{END} \\x20?({UNITS})\\b", f"{END} {UNIT}$1{END} ")
     return F.regexp_extract_all(t, F.lit(f"([{NAME}-{UNIT}][^{END}]*{END}|{WORD})"), F.lit(1))
 
 
-def _windows(tokens_col: str) -> Column:
-    """Hashes of all windows."""
-    n = F.size(tokens_col) - WINDOW + 1
-    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(tokens_col, i, WINDOW)))
+def templates(values_col: str) -> Column:
+    """Tokens with names, numbers and units as placeholders."""
+    return F.transform(values_col, lambda x: F.when(x.between(NAME, END), F.substring(x, 1, 1)).otherwise(x))
+
+
+def words(values_col: str) -> Column:
+    """Tokens with numbers and units as placeholders, and names as words."""
+    return F.transform(values_col, lambda x: F.when(x < NAME, x).when(x < NUMBER, F.translate(x, NAME + END, "")).otherwise(F.substring(x, 1, 1)))
+
+
+def windows(rows: DataFrame, at_least: int = 0) -> DataFrame:
+    """rows (with v, the values of a text) exploded to pos and hash of both forms of every window; of those with at_least
+    literals, and with counted, the number of windows whose words and names are so many."""
+    rows = rows.select("*", templates("v").alias("_t"), words("v").alias("_w"))
+    n = F.size("v") - WINDOW + 1
+    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    literals = lambda form, i: F.size(F.filter(F.slice(form, i, WINDOW), lambda x: x < NAME))
+    plain = F.filter(every, lambda i: literals("_w", i) >= at_least) if at_least else every
+    named = F.filter(every, lambda i: F.array_contains(F.slice("_t", i, WINDOW), NAME))
+    if at_least:
+        named = F.filter(named, lambda i: literals("_t", i) >= at_least)
+        rows = rows.withColumn("counted", F.size(plain))
+    posts = lambda form, places: F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(form, i, WINDOW)).alias("hash")))
+    kept = [c for c in rows.columns if c not in ("_t", "_w")]
+    return rows.select(*kept, F.explode(F.concat(posts("_w", plain), posts("_t", named))).alias("_p")).select(*kept, "_p.pos", "_p.hash")
 
 
 def bench_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(hash, item_id, item_pos, n_windows, item_values): the values are those of the window."""
-    text = F.col(text_col).cast("string")
-    rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), tokens(text).alias("t"), values(text).alias("v"))
-    rows = rows.select("item_id", "v", _windows("t").alias("w"))
-    return rows.select("item_id", "v", F.size("w").alias("n_windows"), F.posexplode("w").alias("item_pos", "hash")).select("hash", "item_id", "item_pos", "n_windows", F.slice("v", F.col("item_pos") + 1, WINDOW).alias("item_values"))
+    rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), values(F.col(text_col).cast("string")).alias("v"))
+    rows = windows(rows, LITERALS)
+    return rows.select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("counted").alias("n_windows"), F.slice("v", F.col("pos") + 1, WINDOW).alias("item_values"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage) of every document and item with coverage of COVERAGE or more.
 
-    Null texts and texts or items of fewer than five tokens meet nothing; rows that share an id count as one document
-    each time an alignment is the same in both; rows without an id are left out. Repeated items are one item.
+    Null texts, texts of fewer than five tokens and items without a window of two literal words meet nothing; rows that share an id
+    count as one document each time an alignment is the same in both; rows without an id are left out. Repeated items are one item.
     """
     items = settle(bench_windows(bench, item_col, item_text_col).distinct())
     text = F.col(text_col).cast("string")
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    posts = rows.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.posexplode(_windows("t")).alias("pos", "hash"))
+    posts = windows(rows.select("doc_id", values(F.col("text")).alias("v"))).select("doc_id", "pos", "hash")
     keys = items.select("hash").distinct()
     few = items.count() <= MAX_BROADCAST
     met = settle(posts.join(F.broadcast(keys) if few else keys, "hash", "left_semi"))
@@ -86,17 +102,20 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     places = met.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than the document has windows
     filled = found.join(places, "doc_id").select("doc_id", "v", F.explode("places").alias("pos")).select("doc_id", "pos", F.slice("v", F.col("pos") + 1, WINDOW).alias("doc_values")).distinct()
     pairs = hits.join(filled, ["doc_id", "pos"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    slots = F.filter(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")), lambda x: (x["a"] >= NAME) & (x["a"] < END))
+    filled_by = F.transform(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")), lambda x: F.struct(x["a"].alias("a"), F.translate(x["b"], NAME + END, "").alias("b")))
+    slots = F.filter(filled_by, lambda x: x["a"] >= NAME)
     by_shift = pairs.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("seen"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))) == F.size("slots")
+    of = lambda side, some: F.size(F.array_distinct(F.transform(some, lambda x: x[side])))
+    names = F.filter("slots", lambda x: x["a"] < NUMBER)
+    consistent = (of("a", F.col("slots")) == F.size("slots")) & (of("b", names) == F.size(names))
     covered = by_shift.where(consistent).groupBy("doc_id", "item_id", "n_windows").agg((F.size(F.array_distinct(F.flatten(F.collect_list("seen")))) / F.col("n_windows")).alias("coverage"))
     return covered.where(F.col("coverage") >= COVERAGE).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose document no item contaminates."""
-    bad = contamination(docs, bench, id_col, text_col).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col(id_col) == F.col("_bad"), "left_anti")
+    """The rows of docs, all columns as they are, whose document no item contaminates; rows without an id or a text stay."""
+    bad = contamination(docs, bench, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,12 +236,42 @@ def test_contamination_by_copies_and_new_parameters(spark, rng):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 8] and kept.columns == ["doc_id", "text", "hash", "pos"]
 
 
-def test_tokens_and_values_go_together(spark):
-    df = spark.createDataFrame([("He saw Anna Berg, 12.5 kg and 3 cats in Rome.",), ("",), ("5km x1y  Z",)], "text string")
-    rows = df.select(templates.tokens(templates.F.col("text")).alias("t"), templates.values(templates.F.col("text")).alias("v")).collect()
-    assert rows[0].t == ["he", "saw", templates.NAME, templates.NUMBER, templates.UNIT, "and", templates.NUMBER, "cats", "in", templates.NAME]
-    assert all(len(r.t) == len(r.v) for r in rows)
-    assert [v for v in rows[0].v if v[0] >= templates.NAME] == [f"{templates.NAME}anna berg{templates.END}", f"{templates.NUMBER}12.5{templates.END}", f"{templates.UNIT}kg{templates.END}", f"{templates.NUMBER}3{templates.END}", f"{templates.NAME}rome{templates.END}"]
+def test_templates_and_words_of_a_text(spark):
+    df = spark.createDataFrame([("He saw Anna Berg, 12.5 kg and 3 cats in\nRome.",), ("",), ("5km x1y  Z",)], "text string")
+    rows = df.select(templates.values(templates.F.col("text")).alias("v")).select("v", templates.templates("v").alias("t"), templates.words("v").alias("w")).collect()
+    n, d, u = templates.NAME, templates.NUMBER, templates.UNIT
+    assert rows[0].t == [n, "saw", n, n, d, u, "and", d, "cats", "in", n]
+    assert rows[0].w == ["he", "saw", "anna", "berg", d, u, "and", d, "cats", "in", "rome"]
+    assert [v for v in rows[0].v if v >= d] == [f"{d}12.5{templates.END}", f"{u}kg{templates.END}", f"{d}3{templates.END}"]
+    assert rows[1].v == [] and rows[2].w == [d, u, "x", d, "y", "z"]
+
+
+_APPLES = "Alice has 12 red apples. Bob has 7 green pears. Alice gives away 3 apples. Bob buys 5 more pears. Who has more fruit now?"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "caught"),
+    [
+        (_APPLES, _APPLES.replace("Alice", "Carol").replace("Bob", "David").replace("12", "40").replace("7", "9"), True),
+        (_APPLES, _APPLES.lower(), True),
+        (_APPLES, _APPLES.replace(". ", ".\n"), True),
+        (_APPLES, _APPLES.replace("Alice", "Carol").replace("Bob", "Carol").replace("12", "40"), False),  # two names became one
+        ("What is 3 4 5 6 7 8 9 10?", "Rain in mm: 31 18 4 0 12 7 55 20 3 41 9 10 2 17 8 6 1 30", False),
+        ("What is 3 4 5 6 7 8 9 10?", "so what is 31 18 4 0 12 7 55 20 then", True),
+        ("Anna Berg und Otto Lang kaufen 3 Karten im Park am See", "Emma Kurz und Karl Roth kaufen 8 Karten im Park am See", True),
+    ],
+)
+def test_contamination_of_questions(spark, item, text, caught):
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert templates.contamination(_docs(spark, [text, f"before it {text} and after it"]), bench).count() == 2 * caught
+
+
+def test_contamination_of_rows_that_share_an_id(spark, rng):
+    item = sentence(rng, 20)
+    docs = spark.createDataFrame([(1, item), (1, "other words of no item at all here"), (None, item), (2, "nothing to be found in this text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [tuple(r) for r in templates.contamination(docs, bench).collect()] == [(1, 5, 1.0)]
+    assert sorted(map(str, (r.doc_id for r in templates.decontaminate(docs, bench).collect()))) == ["2", "None"]
 
 
 def test_contamination_of_odd_rows(spark, odd_documents, no_documents):
