@@ -1,7 +1,16 @@
-"""The library's own small lexicons. Jobs take larger ones as tables of the same shape (see ``operators.lexicons``)."""
+"""The library's own small lexicons, and those that a caller brings as a table.
+
+``Lexicon`` holds lists by name. ``DEFAULT`` has the lists of this module; ``read_lexicon`` takes a table (list, ord, key,
+value), one row for each entry, and puts its lists in the place of those of the same name. Jobs take a Lexicon and compile its
+lists into patterns and literals once, when the plan is made.
+"""
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+from pyspark.sql import DataFrame
+
 SURNAMES = "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何高林羅鄭梁謝宋唐許韓馮鄧曹彭曾蕭田董潘袁蔡蔣余于杜葉程蘇魏呂丁任沈姚盧傅鍾狄"
 NICK_PREFIX = "阿小老"
 #: Second characters that make a nickname prefix an ordinary word.
@@ -10,7 +19,7 @@ NICK_BAD = "兒人太師闆頭家時心聲便的了是在有大多少東西樣
 THING_TAIL = "機車船房門窗槍刀劍衣鞋帽紙筆錢藥杯"
 #: Characters before a name besides the start of a text: punctuation, particles, prepositions, complements.
 HARD_BOUND = "，。！？：；、,.!?:;」』】）)…—「『【（( \n\t\r　"
-SOFT_BOUND = "的與和跟對向從把被讓見問看聽給為在有將而則但卻就也都又再還只才便著了完過起"
+SOFT_BOUND = "和跟與同及或對向往朝從由把被讓叫替為給在到的地得著了過完起就也又才便都還但卻而問看見聽"
 NAME_BOUND = HARD_BOUND + SOFT_BOUND
 NOT_NAME_START = "向對跟和與從把被讓給為將而則但卻就也都又再還只才便是在有的說道問答喊叫看聽想見知要能可了先別沒未不"
 BAD_CHARS = "他她它我你您們誰何什怎幾兩三四五六七八九十百千"
@@ -21,8 +30,8 @@ CLAUSE_STOP = ("於是", "然後", "後來", "忽然", "突然", "當時", "眾
 ROLES = ("探長", "警官", "刑警", "醫生", "老闆", "護士", "偵探", "母親", "父親", "船長")
 KIN = ("母親", "父親")
 TITLES = ("探長", "警官", "醫生", "先生", "小姐")
-FULL_NAMES = ("吳正信", "白玉蘭")
-ALIASES = (("信仔", "吳正信"), ("蘭姊", "白玉蘭"))
+FULL_NAMES = ("呂明山", "白玉蘭")
+ALIASES = (("山仔", "呂明山"), ("蘭姊", "白玉蘭"))
 #: Verb and how often it counts.
 SPEAK = (("說道", 2), ("問道", 1), ("答道", 1), ("說", 1), ("問", 1), ("喊", 1))
 MOVES = (("走進", 1), ("推開", 1), ("轉身", 1))
@@ -50,11 +59,11 @@ SEASONS = (
     ("秋", "秋天，落葉堆在角落", (("秋天|秋風|落葉|中秋|深秋", 2), ("九月|十月|十一月", 1))),
 )
 SEASON_POOL = (
-    ("梅雨季，細雨連下好幾天", "近代 現代 古裝"),
-    ("寒流來襲，呼氣成白霧", "近代 現代 古裝"),
-    ("盛夏，柏油路曬得發軟", "近代 現代"),
-    ("入秋後早晚偏涼", "近代 現代 古裝"),
-    ("冬雨綿綿，牆面反潮", "近代 現代 古裝"),
+    ("連日陰雨，簷角滴水不停", "近代 現代 古裝"),
+    ("北風正緊，說話帶著白氣", "近代 現代 古裝"),
+    ("烈日當頭，柏油路燙腳", "近代 現代"),
+    ("早晚有涼意，葉緣轉黃", "近代 現代 古裝"),
+    ("天色陰濕，牆角泛著水痕", "近代 現代 古裝"),
 )
 MODERN_TECH = "手機|電腦|網路|捷運|超商"
 MODERN_BAN = "手機|螢幕|電腦|網路"
@@ -84,11 +93,11 @@ CUES = {
     "jump": (("第二天", "轉場：隔日清晨"), ("後來", "轉場：時間推進")),
 }
 TRAITS = (("忠厚", "神情忠厚老實"), ("憔悴", "面容憔悴"), ("斯文", "舉止斯文"))
-KINDS = (("memory", "想起|回憶|當年|記得"), ("mood", "心裡|不禁|覺得|害怕|擔心|緊張"), ("time", "隔天|不久|後來|當晚"), ("reason", "研判|可見|顯然|線索|證據"), ("case", "命案|屍體|傷口|凶器"), ("weather", "雨|風|雪|月色|天空"))
+KINDS = (("memory", "想起|憶起|往事|小時候"), ("mood", "覺得|心頭|難過|不安|歡喜"), ("time", "後來|次日|傍晚|轉眼"), ("reason", "線索|原因|因此|看來"), ("case", "屍體|命案|失蹤|傷痕"), ("weather", "雨|風|雪|霧|天空"))
 MENTAL = 4
 ADDRESS = "你知道|你以為|你說呢"
 CROWD = "大家|眾人|兩人|他們"
-CREDITS = "轉載自|刊載|徵文|作者|版權|發行|出版"
+CREDITS = "作者|編者|譯者|轉載自|版權|出版社|印刷"
 APPEARANCE = (("戴[著了]?一?副?眼鏡", "戴一副眼鏡"), ("長衫", "穿著長衫"), ("西裝", "穿著西裝"), ("風衣", "穿著風衣"), ("白髮|銀髮", "滿頭白髮"), ("鬍", "蓄著鬍鬚"), ("瘦", "身形瘦削"))
 AGES = ("老年", "中年", "年輕", "少年")
 NATURE = "花園|樹林|河邊|草"
@@ -108,3 +117,47 @@ POOLS = (
 SCENE_TEXTURE = (("室內", ("木桌與書架", "白牆與日光", "舊地板與燭台", "鐵櫃與螢幕")), ("室外", ("石板路面", "泥土小徑", "柏油路與招牌", "水岸與木樁")))
 SCENE_LIGHT = (("室內", ("窗光斜入", "燈籠微光", "檯燈聚光")), ("室外", ("午後斜陽", "清晨薄霧", "路燈與招牌交錯")))
 SCENE_BY_NAME = (("書房|書", "整面書牆與一張木桌"), ("碼頭|河", "潮濕木棧與纜繩"))
+
+
+class Lexicon(SimpleNamespace):
+    """Lists by name: words, pairs of a word and what goes with it, or strings of single characters."""
+
+
+DEFAULT = Lexicon(**{k: v for k, v in globals().items() if k.isupper() and k != "DEFAULT"})
+#: Entries of a lexicon table at most: they become part of every plan that uses them.
+MAX_ENTRIES = 50_000
+#: Lists whose second half is a number.
+WEIGHTED = ("SPEAK", "MOVES")
+
+
+def read_lexicon(table: DataFrame, base: Lexicon = DEFAULT) -> Lexicon:
+    """base with the lists of a table (list, ord, key, value) in place of its own.
+
+    A list is named as in this module in lower case (``roles``, ``places``, ``speak``), a cue list ``cues.face`` and so on.
+    Entries go by ord, then key; those without a key count for nothing, repeated keys once. Values of pairs default to the key (1
+    for weights). An unknown list, or more than MAX_ENTRIES entries, is an error; an empty table changes nothing.
+    """
+    rows = table.where("key <> ''").select("list", "ord", "key", "value").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the lexicon has more than {MAX_ENTRIES} entries")
+    lists: dict[str, dict[str, str | None]] = {}
+    for r in sorted(rows, key=lambda r: (r.list, r.ord is None, r.ord, r.key)):
+        lists.setdefault(r.list, {}).setdefault(r.key, r.value)
+    out = dict(vars(base))
+    for name, entries in lists.items():
+        head, _, part = name.upper().partition(".")
+        known = out.get(head)
+        if known is None or bool(part) != isinstance(known, dict):
+            raise ValueError(f"no list is named {name}")
+        shape = known[part.lower()] if part and part.lower() in known else known
+        pairs = isinstance(shape, dict) or (isinstance(shape, tuple) and len(shape) > 0 and isinstance(shape[0], tuple))
+        if not isinstance(shape, (str, tuple, dict)) or (isinstance(shape, tuple) and pairs and (len(shape[0]) != 2 or not isinstance(shape[0][1], (str, int)))):
+            raise ValueError(f"{name} is no list of words or pairs")
+        if isinstance(known, str):
+            new = ("|" if "|" in known else "").join(entries)
+        elif not pairs:
+            new = tuple(entries)
+        else:
+            new = tuple((k, int(v or 1) if head in WEIGHTED else v if v is not None else k) for k, v in entries.items())
+        out[head] = {**known, part.lower(): new} if part else new
+    return Lexicon(**out)

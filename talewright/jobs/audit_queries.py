@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from talewright.functions import lexicon as lex
 from talewright.functions.zh import NOVELS_SQL, quote, values_sql
-from talewright.operators import audit, classify, looks, mining, shots
+from talewright.operators import audit, classify, looks, mining, people, shots
 
 from .catalog import SHOTS_SQL, novels, query, sentence_shots, table
-from .people_queries import PERSONS_SQL, checked_persons
+from .people_queries import PERSONS_SQL
 from .shot_queries import CAST_SQL, LENS_SQL, PLACES_SQL, SCENED_SQL, WHO_SQL, cast, full_shots, subjects, top_places
 from .text_queries import era_sql, hash_sql
 
@@ -253,7 +253,7 @@ _MISSED = f"([老小][一-鿿]|[一-鿿](?:{'|'.join(lex.TITLES)}))"
 @query("q8_missed_names", f"WITH {PERSONS_SQL}, c AS (SELECT novel_id, name, count(*) AS n FROM (SELECT novel_id, unnest(regexp_extract_all(text, '{_MISSED}', 1)) AS name FROM novels) GROUP BY ALL HAVING count(*) >= 5) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM persons p WHERE p.novel_id = c.novel_id AND (contains(p.name, c.name) OR contains(c.name, p.name)))")
 def q8(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    return audit.missed_names(texts, checked_persons(texts))
+    return audit.missed_names(texts, people.persons(texts))
 
 
 _LEAKS = "CASE era " + " ".join(f"WHEN '{e}' THEN list_sort(list_distinct(regexp_extract_all(text, '{b}')))" for e, b in lex.ERA_BAN) + " END"

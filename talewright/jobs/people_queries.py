@@ -68,6 +68,15 @@ _HIT = {
         WHEN s2 IN {_IN(lex.CLAUSE_STOP)} THEN NULL WHEN {_bare('s2')} THEN s2 END AS name
       FROM (SELECT *, c0 || c1 || c2 AS s3, c0 || c1 AS s2 FROM ch WHERE {_hard('p1')} AND c1 <> '' AND {_han('(c0 || c1)')})) WHERE name IS NOT NULL""",
 }
+_S = lambda n: f"right(t, {n})"
+_C = lambda n: f"CASE WHEN length(t) > {n} THEN substring(t, length(t) - {n}, 1) ELSE '' END"
+# The text before a verb without the adverb at its end; b: thirteen characters at most.
+_HIT["p5"] = f"""SELECT novel_id, len, 'p5' AS rule, name, n, pos - (length(b) - length(t)) - length(name) AS first, loose FROM (
+      SELECT *, CASE WHEN length(t) < 2 OR NOT {_han('s2')} OR NOT {_bound('c2')} THEN NULL WHEN {_name('s2')} THEN s2 WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN s2
+        WHEN length(t) < 3 OR NOT {_han('s3')} OR NOT {_bound('c3')} THEN NULL WHEN {_name('s3')} THEN s3 WHEN {_bare('s3')} AND (free OR {_hard('c3')}) THEN s3 END AS name,
+        CASE WHEN {_name('s2')} THEN FALSE WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN TRUE ELSE NOT {_name('s3')} END AS loose
+      FROM (SELECT *, {_S(2)} AS s2, {_S(3)} AS s3, {_C(2)} AS c2, {_C(3)} AS c3, ends_with(b, '地') AS free FROM (SELECT *, regexp_replace(b, '{people.ADVERB}', '') AS t FROM (
+        SELECT ch.novel_id, ch.len, ch.pos, v.n, substring(x.text, greatest(pos - 12, 1)::BIGINT, least(pos, 13)::BIGINT) AS b FROM ch JOIN {_VERBS} v ON CASE WHEN length(v.v) = 1 THEN c0 ELSE c0 || c1 END = v.v JOIN novels x ON x.novel_id = ch.novel_id)) WHERE t <> b AND t <> '')) WHERE name IS NOT NULL"""
 _TITLES = {
     "p1": "cand_nickname", "p2": "cand_full_name", "p3": "merge_aliases", "p4": "cand_before_verb", "p5": "cand_adverb_verb",
     "p6": "cand_self_intro", "p7": "cand_surname_role", "p8": "cand_name_title", "p9": "cand_clause_initial",
@@ -75,11 +84,11 @@ _TITLES = {
 
 
 def _rule_query(rule: str, title: str) -> None:
-    sql = f"WITH {CHARS_SQL} SELECT novel_id, name, sum(n)::BIGINT AS n, min(first) AS first, bool_or(loose) AS loose FROM ({_HIT[rule]}) GROUP BY novel_id, name" if rule in _HIT else None
+    sql = f"WITH {CHARS_SQL} SELECT novel_id, name, sum(n)::BIGINT AS n, min(first) AS first, bool_or(loose) AS loose FROM ({_HIT[rule]}) GROUP BY novel_id, name"
 
     @query(f"{rule}_{title}", sql)
     def run(spark, sf_dir):
-        return people.candidates(novels(spark, sf_dir)).where(F.col("rule") == rule).select("novel_id", "name", "n", "first", "loose")
+        return people.candidates(novels(spark, sf_dir), (rule,)).select("novel_id", "name", "n", "first", "loose")
 
 
 for _rule, _title in _TITLES.items():
@@ -103,39 +112,29 @@ PERSONS_SQL = f"""{ROLES_SQL}, persons AS (SELECT * FROM (SELECT novel_id, name,
   SELECT novel_id, name, count, first, '' AS role FROM kept UNION ALL SELECT novel_id, name, count, first, name AS role FROM roles)) WHERE rank <= 8)"""
 
 
-def checked_candidates(texts):
-    """All rules but P5, which the SQL leaves out."""
-    return people.candidates(texts).where("rule <> 'p5'")
-
-
-def checked_names(texts):
-    return people.drop_half_names(people.fuse(checked_candidates(texts)))
-
-
-def checked_persons(texts):
-    names = checked_names(texts)
-    return people.top_persons(names, people.role_characters(texts, names), 8)
+def names_of(texts):
+    return people.drop_half_names(people.fuse(people.candidates(texts)))
 
 
 @query("p10_fuse_evidence", f"WITH {FUSED_SQL} SELECT novel_id, name, count, first FROM fused")
 def p10(spark, sf_dir):
-    return people.fuse(checked_candidates(novels(spark, sf_dir)))
+    return people.fuse(people.candidates(novels(spark, sf_dir)))
 
 
 @query("p11_drop_half_names", f"WITH {KEPT_SQL} SELECT novel_id, name, count, first FROM kept")
 def p11(spark, sf_dir):
-    return checked_names(novels(spark, sf_dir))
+    return names_of(novels(spark, sf_dir))
 
 
 @query("p12_role_characters", f"WITH {ROLES_SQL} SELECT novel_id, name, count, first FROM roles")
 def p12(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    return people.role_characters(texts, checked_names(texts))
+    return people.role_characters(texts, names_of(texts))
 
 
 @query("p13_top_persons", f"WITH {PERSONS_SQL} SELECT novel_id, rank, name, count, role FROM persons")
 def p13(spark, sf_dir):
-    return checked_persons(novels(spark, sf_dir))
+    return people.persons(novels(spark, sf_dir))
 
 
 @query(
@@ -149,7 +148,7 @@ SELECT w.novel_id, wo::BIGINT AS wo, wo >= 3 AS first_person, CASE WHEN wo >= 3
 )
 def n1(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    cand = checked_candidates(texts)
+    cand = people.candidates(texts)
     names = people.drop_half_names(people.fuse(cand))
     found = people.top_persons(names, people.role_characters(texts, names), 8)
     return people.narrator(texts, found, cand.where("rule = 'p6'").select("novel_id", "name", "first"))
@@ -165,12 +164,12 @@ def _gender_sql(name: str, word: bool) -> str:
 
 @query("g1_gender_by_word", f"WITH {PERSONS_SQL} SELECT novel_id, name, {_gender_sql('name', True)} AS gender FROM persons")
 def g1(spark, sf_dir):
-    return checked_persons(novels(spark, sf_dir)).select("novel_id", "name", people.gender_by_word(F.col("name")).alias("gender"))
+    return people.persons(novels(spark, sf_dir)).select("novel_id", "name", people.gender_by_word(F.col("name")).alias("gender"))
 
 
 @query("g3_gender_by_name_char", f"WITH {PERSONS_SQL} SELECT novel_id, name, {_gender_sql('name', False)} AS gender FROM persons")
 def g3(spark, sf_dir):
-    return checked_persons(novels(spark, sf_dir)).select("novel_id", "name", people.gender_by_name_char(F.col("name")).alias("gender"))
+    return people.persons(novels(spark, sf_dir)).select("novel_id", "name", people.gender_by_name_char(F.col("name")).alias("gender"))
 
 
 # G2 reads the places of four fixed names, so its check does not hang on the rules above.

@@ -186,10 +186,10 @@ LENS_SQL = f"""{WHO_SQL}, {PLACES_SQL}, hits AS (SELECT s.novel_id, s.shot_no, (
 scened AS (SELECT *, coalesce(last_value(hit IGNORE NULLS) OVER (PARTITION BY novel_id ORDER BY shot_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS scene FROM hits),
 full_ AS (SELECT w.*, s.hit, s.scene, {SIZE_SQL} AS size, {CUES_SQL} FROM who w JOIN scened s USING (novel_id, shot_no)),
 lens_parts AS (SELECT *, list_filter([
-  CASE WHEN who <> '' THEN who || CASE WHEN phrase IS NOT NULL THEN '，' || phrase WHEN face IS NOT NULL THEN '，' || face ELSE '' END || CASE WHEN len(actions) > 0 THEN '，' || array_to_string(actions, '、') WHEN crowd THEN '，與旁人同框的群像' WHEN face IS NULL THEN '，' || size || {_pick(shots.REACTIONS, 'rxn')} ELSE '' END END,
-  CASE WHEN hit <> scene THEN '切到' || hit END, CASE WHEN object IS NOT NULL THEN object || '，清楚可辨' WHEN noun IS NOT NULL AND who = '' THEN noun || '（插入鏡）' END, light, jump, CASE WHEN address THEN '（對讀者說話）直視鏡頭' END], lambda x: x IS NOT NULL) AS p FROM full_),
+  CASE WHEN who <> '' THEN who || CASE WHEN phrase IS NOT NULL THEN '，' || phrase WHEN face IS NOT NULL THEN '，' || face ELSE '' END || CASE WHEN len(actions) > 0 THEN '，' || array_to_string(actions, '、') WHEN crowd THEN '{shots.TOGETHER}' WHEN face IS NULL THEN '，' || size || {_pick(shots.REACTIONS, 'rxn')} ELSE '' END END,
+  CASE WHEN hit <> scene THEN '{shots.CUT_TO}' || hit END, CASE WHEN object IS NOT NULL THEN object || '{shots.CLEAR}' WHEN noun IS NOT NULL AND who = '' THEN noun || '{shots.INSERT}' END, light, jump, CASE WHEN address THEN '{shots.TO_US}' END], lambda x: x IS NOT NULL) AS p FROM full_),
 lenses AS (SELECT novel_id, shot_no, narr, who, scene, size, substring(CASE WHEN len(p) > 0 THEN concat_ws('；', array_to_string(p, '；'), CASE WHEN len(actions) = 0 AND object IS NULL AND jump IS NULL THEN {_OF_KIND(_KINDS[: lex.MENTAL])} END)
-  WHEN contains(narr, '「') OR contains(narr, '『') THEN {_pick(shots.UNSEEN, 'nod')} WHEN kind IS NOT NULL THEN {_OF_KIND(_KINDS)} WHEN scene <> '' THEN scene || {_pick(shots.EMPTY, 'empty')} ELSE '（敘述句，無明確動作）建議用' || size || '空景，或延續上一鏡畫面' END, 1, 80) AS lens FROM lens_parts)"""
+  WHEN contains(narr, '「') OR contains(narr, '『') THEN {_pick(shots.UNSEEN, 'nod')} WHEN kind IS NOT NULL THEN {_OF_KIND(_KINDS)} WHEN scene <> '' THEN scene || {_pick(shots.EMPTY, 'empty')} ELSE '{shots.NOTHING[0]}' || size || '{shots.NOTHING[1]}' END, 1, 80) AS lens FROM lens_parts)"""
 
 
 def full_shots(texts):

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, unused
 
 #: Bound of the fit: so many labelled rows of each class for the dictionaries, and as many for the calibration.
 SAMPLE_ROWS = 1500
@@ -145,11 +145,12 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     return found.withColumn("score", _score(model))
 
 
-def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """docs, all rows and columns, with diff, shrink and score (in place of columns of these names)."""
-    rows = docs.drop("diff", "shrink", "score")
-    found = _measures(rows.select("*", F.col(text_col).cast("string").alias("_text")), model.good, model.bad)
-    return found.withColumn("score", _score(model))
+def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out: str = "quality_score") -> DataFrame:
+    """docs, all rows and columns as they are, with the score as the column out, which must be a new name."""
+    if unused(docs, out) != out:
+        raise ValueError(f"docs has a column {out} already")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return _measures(rows, model.good, model.bad).select("doc.*", _score(model).alias(out))
 
 
 def _score(model: QualityModel) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 try:
     import re._constants as sre
@@ -143,37 +143,44 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the column spans: array<struct<start, ord, end, kind>> by start, then in the order of the rules.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
+    """docs with the column out: array<struct<start, ord, end, kind>> by start, then in the order of the rules.
 
-    All rows and columns stay. Null and empty texts have no spans; rows without an id are searched like any other.
+    All rows and columns stay; a column of docs that is named like out is an error. Null and empty texts have no spans; rows
+    without an id are searched like any other.
     """
+    if unused(docs, out) != out:
+        raise ValueError(f"docs has a column {out} already")
     indexed = tuple(r for r in rules if trigram_query(r.regex))
-    found = candidates(docs, indexed, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"))
-    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    key, kinds = unused(docs, "_id"), unused(docs, "_kinds")
+    found = candidates(docs, indexed, id_col, text_col).select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds))
+    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     parts = []
     for n, rule in enumerate(rules):
         spans = _spans(text, rule, n)
-        parts.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(none) if rule in indexed else spans)
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_id", "_kinds")
-
-
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs (with spans) with each found span's text replaced by the mark; overlapping spans get one."""
-    state = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out"),
-            )
-        ),
-        lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col) - s["at"])),
-    )
-    return docs.withColumn(text_col, F.when(F.size("spans") > 0, state).otherwise(F.col(text_col)))
+        parts.append(F.when(F.array_contains(kinds, rule.kind), spans).otherwise(none) if rule in indexed else spans)
+    return rows.select(*docs.columns, F.array_sort(F.concat(*parts)).alias(out))
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", spans_col: str = "spans") -> DataFrame:
+    """docs (with spans) with each found span's text replaced by the mark; overlapping spans get one. Other texts stay.
+
+    The fold only collects where the kept pieces begin and end; the text is put together once.
+    """
+    piece = "struct<a:int,b:int>"
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{piece}>").alias("pieces"))
+
+    def step(s, x):
+        apart = (x["start"] >= s["at"]) | (F.size(s["pieces"]) == 0)
+        more = F.array_append(s["pieces"], F.struct(s["at"].alias("a"), x["start"].alias("b")).cast(piece))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(s["pieces"]).alias("pieces"))
+
+    text = F.col(text_col)
+    last = lambda s: F.array_append(s["pieces"], F.struct(s["at"].alias("a"), F.length(text).alias("b")).cast(piece))
+    kept = F.transform(F.aggregate(spans_col, state, step, last), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
+    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, F.array_join(kept, mark)).otherwise(text))
 
 
 def _joined(spans: Column) -> Column:

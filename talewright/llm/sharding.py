@@ -1,28 +1,34 @@
 """Sharding by a k-d tree over the rows' metadata, in DataFrame operations only.
 
-Every node is split at its weighted median along the metadata dimension in which its rows spread widest, until there are
-as many leaves as shards (or leaves of the target bytes). All nodes of a level are split together. The medians come from
-distributed histograms: each round sums the bytes per node and bin, the bin that holds the median is cut into finer bins,
-and the driver only ever sees MAX_BINS sums.
-
-A row's place along a dimension is 60 bits: 20 of the dimension, 20 of the text's checksum, 20 of a hash of the id. So
-equal values are no obstacle: a hot value splits by text, and a group of equal texts stays together unless it would put
-the node out of balance by more than SNAP of its bytes; then it splits by id.
+Every node is split at its weighted median along the metadata dimension (language, source, logarithm of the size) in which
+its rows spread widest, until there are as many leaves as shards (or leaves of the target bytes). All nodes of a level are
+split together. The medians come from distributed histograms: each round sums the bytes per node and bin and finds the bin
+that holds the median, which the next round cuts into finer bins. The driver holds one row for each node of the tree, and
+rows find their node's cut by a broadcast join with that table, which has no more rows than there are shards.
+
+A row's place along a dimension is 60 bits: 20 of the dimension, then, as a tie only, 20 of the text's checksum and 20 of a
+hash of the id. So equal values are no obstacle: a hot value splits by text, and a group of equal texts stays together
+unless it would put the node out of balance by more than SNAP of its bytes; then it splits by id.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, settle, table
 
 SHARDS = 16
-#: Sums that a round of histograms returns at most (or two for each node, if there are more nodes).
-MAX_BINS = 1 << 15
 PART_BITS = 20
+#: Bits that a round of histograms adds to a median; it divides PART_BITS.
+STEP = 10
 #: Share of a node's bytes by which a group of equal texts may shift its median.
 SNAP = 0.004
+#: Levels of the tree between two cuts of the lineage.
+LEVELS = 4
+DIMENSIONS = ("d0", "d1", "d2")
 
 
 def _scaled(value: Column, low: float, high: float) -> Column:
@@ -32,84 +38,76 @@ def _scaled(value: Column, low: float, high: float) -> Column:
     return F.coalesce(F.floor((value - F.lit(low)) / F.lit(span) * top).cast("long"), F.lit(0).cast("long"))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, size, text_crc32 and the dimensions d0, d1, d2: language, log of the size, checksum) of every row."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, text_crc32 and the dimensions d0, d1, d2: language, source, log of the size) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.crc32(F.col(lang_col).cast("string")).cast("double").alias("d0"))
-    return rows.withColumns({"d1": F.log2("size"), "d2": F.col("text_crc32").cast("double")})
-
-
-DIMENSIONS = ("d0", "d1", "d2")
+    name = lambda c, n: F.crc32(F.col(c).cast("string")).cast("double").alias(n)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), name(lang_col, "d0"), name(source_col, "d1"))
+    return rows.withColumn("d2", F.log2("size"))
 
 
-def _choose(by_node: dict[int, object], column: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for pair in by_node.items() for x in pair)), column)
+def _nodes(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows of the driver's tree as a table; broadcast, as there are no more of them than shards."""
+    return F.broadcast(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("n")).select("n.*"))
 
 
 def kd_assign(rows: DataFrame, shards: int) -> DataFrame:
     """rows (of ``measures``) with the column shard, 0 to shards - 1, of about equal bytes."""
     total = rows.agg(F.sum("size"), *(f(d) for d in DIMENSIONS for f in (F.min, F.max))).first()
     if total[0] is None or shards < 2:
-        return rows.withColumn("shard", F.lit(0))
+        return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"))
     bounds = [(total[1 + 2 * i] or 0.0, total[2 + 2 * i] or 0.0) for i in range(len(DIMENSIONS))]
     tie = F.shiftleft(F.shiftright("text_crc32", 32 - PART_BITS), PART_BITS).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << PART_BITS) - 1)))
     places = [F.shiftleft(_scaled(F.col(d), *b), 2 * PART_BITS).bitwiseOR(tie).alias(f"k{i}") for i, (d, b) in enumerate(zip(DIMENSIONS, bounds, strict=True))]
-    points = settle(rows.select("doc_id", "size", "text_crc32", *places, F.lit(0).alias("node")))
-    ranges = {0: (0, shards)}  # node: its shards
+    points = settle(rows.select("doc_id", "size", "text_crc32", *places, F.lit(0).cast("long").alias("node")))
+    ranges, level = {0: (0, shards)}, 0  # node: its shards
     while any(b - a > 1 for a, b in ranges.values()):
         points, ranges = _split(points, ranges)
-    return points.withColumn("shard", _choose({n: a for n, (a, _) in ranges.items()}, F.col("node"))).select("doc_id", "size", "text_crc32", "shard")
+        level += 1
+        if level % LEVELS == 0:
+            points = settle(points)
+    leaves = _nodes(points.sparkSession, [{"node": n, "shard": a} for n, (a, _) in ranges.items()], "node:long,shard:int")
+    return points.join(leaves, "node").select("doc_id", "size", "text_crc32", "shard")
 
 
 def _split(points: DataFrame, ranges: dict[int, tuple[int, int]]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """One level of the tree: every node with more than one shard becomes two."""
     spread = points.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(f"k{i}").alias(f"{f.__name__}{i}") for i in range(len(DIMENSIONS)) for f in (F.min, F.max))).collect()
-    axis, low, bits, need, total = {}, {}, {}, {}, {}
+    todo, cut = {}, {}
     for r in spread:
         a, b = ranges[r.node]
-        if b - a < 2:
-            continue
-        axis[r.node] = max(range(len(DIMENSIONS)), key=lambda i: ((r[f"max{i}"] >> 2 * PART_BITS) - (r[f"min{i}"] >> 2 * PART_BITS), -i))
-        low[r.node], bits[r.node] = 0, 3 * PART_BITS
-        total[r.node] = r.bytes
-        need[r.node] = r.bytes * ((b - a) // 2) / (b - a)  # bytes still to be found below the cut
-    cut: dict[int, int] = {}
-    step = max(1, (MAX_BINS // max(1, len(axis))).bit_length() - 1)
-    place = F.lit(None).cast("long")
-    if axis:
-        place = F.element_at(F.array(*(F.col(f"k{i}") for i in range(len(DIMENSIONS)))), _choose({n: i + 1 for n, i in axis.items()}, F.col("node")))
-    while open_nodes := [n for n in axis if n not in cut]:
-        # never a bin that runs over from the group's part of the place into the id's
-        shift = {n: max(bits[n] - step, PART_BITS if bits[n] > PART_BITS else 0) for n in open_nodes}
-        mine = points.where(F.col("node").isin(open_nodes)).select("node", "size", place.alias("k"))
-        inside = (F.col("k") >= _choose({n: low[n] for n in open_nodes}, F.col("node"))) & (F.col("k") <= _choose({n: low[n] + (1 << bits[n]) - 1 for n in open_nodes}, F.col("node")))
-        bins = F.expr("shiftright(k, s)")
-        sums = mine.where(inside).withColumn("s", _choose(shift, F.col("node"))).groupBy("node", bins.alias("bin")).agg(F.sum("size").alias("bytes")).collect()
-        by_node: dict[int, list] = {}
-        for r in sums:
-            by_node.setdefault(r.node, []).append((r.bin, r.bytes))
-        for n in open_nodes:
-            for place_bin, size in sorted(by_node.get(n, [])):
-                low[n], bits[n] = place_bin << shift[n], shift[n]
-                if size >= need[n]:
-                    break
-                need[n] -= size
-            under, over = need[n], size - need[n]
-            if min(under, over) <= SNAP * total[n] and bits[n] >= PART_BITS or bits[n] == 0 or len(by_node.get(n, [])) == 0:
-                cut[n] = low[n] if under <= over else low[n] + (1 << bits[n])  # the first place above the cut
-    out = {}
-    children = {}
+        if b - a > 1:
+            axis = max(range(len(DIMENSIONS)), key=lambda i: ((r[f"max{i}"] >> 2 * PART_BITS) - (r[f"min{i}"] >> 2 * PART_BITS), -i))
+            # need: bytes still to be found below the cut
+            todo[r.node] = {"node": r.node, "axis": axis + 1, "low": 0, "bits": 3 * PART_BITS, "need": r.bytes * ((b - a) // 2) / (b - a), "total": r.bytes}
+    axes = {n: t["axis"] for n, t in todo.items()}
+    place = F.element_at(F.array(*(F.col(f"k{i}") for i in range(len(DIMENSIONS)))), F.col("axis"))
+    while todo:
+        nodes = [{**{k: t[k] for k in ("node", "axis", "low", "need")}, "high": t["low"] + (1 << t["bits"]) - 1, "shift": t["bits"] - STEP} for t in todo.values()]
+        mine = points.select("node", "size", *(f"k{i}" for i in range(len(DIMENSIONS)))).join(_nodes(points.sparkSession, nodes, "node:long,axis:int,low:long,need:double,high:long,shift:int"), "node")
+        mine = mine.withColumn("k", place).where(F.col("k").between(F.col("low"), F.col("high")))
+        sums = mine.groupBy("node", "need", F.expr("shiftright(k, shift)").alias("bin")).agg(F.sum("size").alias("bytes"))
+        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin"))  # a node has 2 ** STEP bins at most
+        for r in sums.withColumn("upto", upto).where("upto >= need AND upto - bytes < need").collect():
+            t = todo[r.node]
+            t["bits"] -= STEP
+            t["low"] = r.bin << t["bits"]
+            under, over = t["need"] - (r.upto - r.bytes), r.upto - t["need"]
+            t["need"] = under
+            if (min(under, over) <= SNAP * t["total"] and t["bits"] >= PART_BITS) or t["bits"] == 0:
+                cut[r.node] = t["low"] if under <= over else t["low"] + (1 << t["bits"])  # the first place above the cut
+                del todo[r.node]
+    out, cuts = {}, []
     for n, (a, b) in ranges.items():
         middle = a + (b - a) // 2
         if n in cut:
-            children[n] = (2 * n, 2 * n + 1)
             out[2 * n], out[2 * n + 1] = (a, middle), (middle, b)
+            cuts.append({"node": n, "axis": axes[n], "cut": cut[n]})
         else:  # one shard, or no rows
-            children[n] = (2 * n, 2 * n)
             out[2 * n] = (a, a + 1)
-    above = F.coalesce(place >= _choose({n: c for n, c in cut.items()}, F.col("node")), F.lit(False)) if cut else F.lit(False)
-    node = F.when(above, F.col("node") * 2 + 1).otherwise(F.col("node") * 2)
-    return points.withColumn("node", node), out
+    known = _nodes(points.sparkSession, cuts, "node:long,axis:int,cut:long")
+    node = F.col("node") * 2 + F.when(place >= F.col("cut"), 1).otherwise(0)
+    return points.join(known, "node", "left").withColumn("node", node).drop("axis", "cut"), out
 
 
 def number_slots(rows: DataFrame, shard_col: str = "shard", id_col: str = "doc_id") -> DataFrame:
@@ -126,14 +124,14 @@ def number_slots(rows: DataFrame, shard_col: str = "shard", id_col: str = "doc_i
     return parts.withColumn("_row", within).join(begins, [shard_col, "_part"]).withColumn("slot", F.col("_begin") + F.col("_row") - 1).drop("_part", "_row", "_begin")
 
 
-def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row.
 
     ``shards`` leaves of about equal bytes, or as many as give leaves of ``target_bytes`` at most on average. Null texts
-    have size 1; rows without an id, language or text are dealt like any other; equal rows get slots of their own. An
-    empty table gives an empty one.
+    have size 1; rows without an id, language, source or text are dealt like any other; equal rows get slots of their own;
+    other columns are left out. An empty table gives an empty one.
     """
-    rows = settle(measures(docs, id_col, text_col, lang_col))
+    rows = settle(measures(docs, id_col, text_col, lang_col, source_col))
     if target_bytes:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))

@@ -1,16 +1,20 @@
 """SimHash near-duplicates through a byte-position inverted index.
 
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share six
-bytes at the same positions. A posting list of one positional byte would hold one row in 256, so the index posts
-positional bytes four at a time: the eight positions form four pairs, and a list is keyed by the four bytes of two of
-the pairs (six lists for each fingerprint). Whichever two bytes differ, some list avoids both, so every pair of near
-fingerprints meets. In a list the shared positional bytes of each pair are tallied, pairs with fewer than six go, and the
-rest are verified by their differing bits.
+positional bytes (a position and the byte there) at least: the guaranteed minimum of the count filter.
+
+Lists of single positional bytes would hold one fingerprint in 256 each, and a tally over them would touch a share of all
+pairs. So the index posts positional bytes four at a time: the eight positions form four pairs of neighbours, and a list is
+keyed by the four bytes of two of the pairs, which makes six lists for each fingerprint. That loses nothing: whichever two
+bytes differ, two of the pairs are whole, so every pair of fingerprints with six shared bytes meets in some list. And it
+counts the same: a fingerprint is in the list of a positional byte exactly if it has that byte, so the number of single-byte
+lists that two fingerprints share is the number of their equal bytes, which the posting itself tells. Where two postings meet,
+the shared positional bytes are tallied, pairs with fewer than six go, and the rest are verified by their differing bits.
 
 A list longer than ``MAX_LIST`` is not paired. Its members are posted once more, under every value that differs from
 them in at most one of the 32 bits that the list leaves open. Members of one such value differ in two bits at most, so
 all of them link, and two members that differ in two bits or fewer share one: the value halfway. That is exact, takes 33
-rows a member, and a value never has more than 33 members.
+rows a member, and a value never has more than 33 members. So both ways find the same components.
 """
 
 from __future__ import annotations

@@ -6,10 +6,11 @@ window of the block's length is a probe. A block that another document's probe m
 the runs of ``window`` words are compared by 96-bit hashes, each with the smallest id it starts in; overlapping runs that
 start in an earlier document merge to the maximal repeats, which go.
 
-Documents are dealt to batches by their id. What the batches tell each other goes through two exchanges, of anchors and
-of runs, as sorted binary blocks, one for each batch and range of hash values. Each batch sends a value once, so a
-passage that stands in a third of all documents costs a few bytes a batch, and no task ever holds the places where a
-value occurs.
+Documents are dealt to batches of about BATCH_BYTES by a hash of id and text, so the number of batches follows the data and
+a task holds no more text at once, whatever the settings. What the batches tell each other goes through two exchanges, of
+anchors and of runs, as sorted binary blocks, one for each batch and range of hash values; empty blocks are not sent, so
+there are never more of them than words. Each batch sends a value once, so a passage that stands in a third of all documents
+costs a few bytes a batch, and no task ever holds the places where a value occurs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import partitions, table
 WINDOW = 50
 #: Ids of rows without one: after all others.
 NO_ID = (1 << 63) - 1
-#: Batches for each shuffle partition: a task holds one batch at a time.
+#: Bytes of text of a batch, on average; a worker holds one batch at a time. Longer texts are batches of their own size.
+BATCH_BYTES = 32 << 20
+#: Batches for each shuffle partition at least, so that all tasks have work.
 BATCHES = 2
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
@@ -160,12 +163,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take nothing from each other. An empty table gives an empty one; other columns are left out.
     """
     block = window // 2
-    n = BATCHES * partitions(docs.sparkSession)
-    bits = max(8, (n // BATCHES - 1).bit_length())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(BATCHES * partitions(docs.sparkSession), -(-held // BATCH_BYTES))
+    bits = min(64 - ANCHOR_BITS, max(8, (n // BATCHES - 1).bit_length()))
     ranges = 1 << bits
     rest = np.uint64(ANCHOR_BITS)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def anchor_of(values: np.ndarray) -> np.ndarray:
         return values >> np.uint64(64 - bits - ANCHOR_BITS)

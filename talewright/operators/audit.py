@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from talewright.functions import lexicon as lex
 
-from .shots import in_row, n_chars
+from .shots import NO_ACTION, in_row, n_chars
 
-NO_ACTION = "無明確動作"
-FILLS = (("unseen", "說話者不露臉|說話者在焦外|臉留在畫外"), ("reaction", "反應鏡頭|視線落在畫面外|肩線入鏡"), ("memory", "閃回"), ("time", "過場"), ("reason", "桌面俯視"), ("case", "現場俯角"), ("weather", "環境空景"), ("none", NO_ACTION))
+FILLS = (("unseen", "聽者正對鏡頭|只見影子|話聲來自畫外"), ("reaction", "目光落到鏡頭外|背景化開|右邊留白|靜靜站著"), ("memory", "回想："), ("time", "光陰流過"), ("reason", "物證排開"), ("case", "事發之處"), ("weather", "天候："), ("none", NO_ACTION))
 
 
 def quality_audit(shots: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from talewright.llm import pieces, queries, templates
 
@@ -51,3 +53,35 @@ def test_stages_take_an_empty_table(spark, sf_dir, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_stages_keep_the_columns_of_odd_rows(spark, sf_dir, odd_documents):
+    """Columns that are named like the operators' own, nulls in every column and repeated rows go through as they are."""
+    names = ("diff", "shrink", "_id", "_kinds", "_bad", "_gone", "_t", "hash", "pos", "node", "component_id", "_starts")
+    docs = odd_documents.selectExpr("*", *(f"'{n} of its own' AS `{n}`" for n in names))
+    before = {str(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = [str(r) for r in out.collect()]
+        assert set(rows) <= before and rows, name
+        if name == "secrets":
+            assert len(rows) == 10
+        if name == "near_duplicates":  # copies and texts without words are one group each; rows without an id stay
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["-8", "2", "5", "7", "None", "None"]
+    assert corpus_pipeline.encode(spark, docs, sf_dir).count() == 10
+
+
+def test_no_local_folder_stands_in_for_a_shared_one(spark, monkeypatch):
+    from talewright.llm import common
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Elsewhere)

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from talewright.llm import langid, quality, secrets, sharding, simhash, substring
@@ -62,6 +65,34 @@ def test_language_learns_and_handles_odd_rows(spark, odd_documents, no_documents
     assert {r.lang_pred for r in langid.identify(odd_documents, empty).collect()} == {"und"}
 
 
+def test_only_letters_make_a_language():
+    assert [langid.has_letter(w) for w in ("a", "é", "日", "²", "½", "Ⅷ", "12", "_", "²é")] == [True, True, True, False, False, False, False, False, True]
+
+
+def test_long_words_are_read_whole():
+    model = _language_model()
+    word = ("ouaire" * 40).encode()
+    p = langid.position_probabilities(model.weights, langid._matrix([langid.marked(word)]))
+    sums = langid.word_sums(model, [word, b"zuge", b"12"])
+    assert np.allclose(sums[0, :-1], p.sum(0)[0], atol=1e-3) and sums[0, -1] == len(word) + 2 and not sums[2].any()
+
+
+def test_language_query_on_held_out_documents(spark, sf_dir):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.lang}
+    got = [r for r in langid.op1_language(spark, sf_dir).collect() if r.held_out and r.doc_id in truth]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got) and len(got) > 20
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) > 0.95
+
+
+def test_quality_query_on_held_out_documents(spark, sf_dir):
+    """The share of pairs of a good and a bad held-out document that the score puts in order."""
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+    got = [r for r in quality.op5_quality(spark, sf_dir).collect() if r.held_out and r.doc_id in truth]
+    good, bad = ([r.score for r in got if truth[r.doc_id] == label] for label in (1, 0))
+    assert good and bad and np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.85
+    assert all(r.predicted == (r.score >= 0.7) for r in got)
+
+
 def test_language_counts_equal_a_run_over_all_words(spark):
     model = _language_model()
     text = "ouaire schung ouaire quevi 12 zuge"
@@ -83,8 +114,9 @@ def test_quality_separates_and_handles_odd_rows(spark, odd_documents, no_documen
     held = [i for i, _ in good + bad if zlib.crc32(str(i).encode()) % 4 == 2]
     assert held and np.mean([(got[i] >= quality.THRESHOLD) == (i < 1000) for i in held]) > 0.95
     odd = quality.with_quality(odd_documents, model)
-    assert odd.columns == ["doc_id", "text", "lang", "source", "n_chars", "spans", "diff", "shrink", "score"]
-    assert odd.count() == 10 and odd.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert odd.columns == [*odd_documents.columns, "quality_score"]
+    assert odd.count() == 10 and odd.where("quality_score IS NULL OR quality_score < 0 OR quality_score > 1").count() == 0
+    assert sorted(map(str, odd.drop("quality_score").collect())) == sorted(map(str, odd_documents.collect()))
     assert quality.score_quality(no_documents, model).count() == 0
     flat = quality.fit_quality(no_documents, labels.limit(0))
     assert {round(r.score, 6) for r in quality.score_quality(odd_documents, flat).collect()} == {0.5}
@@ -147,6 +179,28 @@ def test_links_match_brute_force(spark, rng):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def test_links_of_short_and_long_lists_agree(spark, rng, monkeypatch):
+    """One input with every list paired, and with every list posted again."""
+    from talewright.llm.components import connected_components
+
+    hub = [rng.getrandbits(64) for _ in range(6)]
+    fps = {h ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for h in hub for _ in range(60)} | set(hub)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp long")
+    found = []
+    for most in (0, 48, 1 << 20):
+        monkeypatch.setattr(simhash, "MAX_LIST", most)
+        found.append(sorted(map(tuple, connected_components(simhash.links(df)).collect())))
+    assert found[0] == found[1] == found[2] and found[0]
+
+
+def test_simhash_query_against_brute_force(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    fps = {i: _brute_fingerprint(t) for i, t in texts.items()}
+    low = _brute_components(fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op7_simhash(spark, sf_dir).collect()}
+    assert got == {i: (f"{fps[i]:016x}", low[i]) for i in texts}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_documents, no_documents):
     got = simhash.near_duplicates(odd_documents).collect()
     by_id = {r.doc_id: r.component_id for r in got}
@@ -300,7 +354,10 @@ def test_trigram_queries():
 
 
 def test_secrets_of_odd_rows_and_redaction(spark, odd_documents, no_documents):
-    got = secrets.scan(odd_documents)
+    with pytest.raises(ValueError):
+        secrets.scan(odd_documents)
+    got = secrets.scan(odd_documents.withColumnRenamed("spans", "_kinds").withColumnRenamed("score", "_id"))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "_id", "_kinds", "spans"] and got.where("_id = 0.9 AND _kinds = 'y'").count() == 2
     assert got.count() == 10 and got.where("size(spans) > 0").count() == 0
     assert secrets.scan(no_documents).count() == 0
     df = spark.createDataFrame(list(enumerate(_TEXTS)), "doc_id long, text string")
@@ -327,6 +384,60 @@ def test_shards_are_even_and_slots_gapless(spark, rng):
     assert all(r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
 
 
+def _plain_tree(rows, shards):
+    """The shard of every row (id, text, lang, source), by loops over lists."""
+    points = []
+    for i, text, lang, source in rows:
+        raw = (text or "").encode()
+        dims = [None if v is None else float(zlib.crc32(v.encode())) for v in (lang, source)] + [math.log2(len(raw) + 1)]
+        tie = (zlib.crc32(raw) >> 12) << 20 | xxhash.xxh64_intdigest(struct.pack("<q", i), 42) & 0xFFFFF
+        points.append((i, len(raw) + 1, dims, tie))
+    low, high = ([f(d[k] for *_, d, _ in points if d[k] is not None) for k in range(3)] for f in (min, max))
+    place = lambda d, k: 0 if d[k] is None else math.floor((d[k] - low[k]) / ((high[k] - low[k]) or 1.0) * 0xFFFFF)
+    left, out = [([(i, size, [place(d, k) << 40 | tie for k in range(3)]) for i, size, d, tie in points], 0, shards)], {}
+    while left:
+        node, a, b = left.pop()
+        if b - a == 1 or not node:
+            out |= {i: a for i, *_ in node}
+            continue
+        axis = max(range(3), key=lambda k: ((max(p[k] for *_, p in node) >> 40) - (min(p[k] for *_, p in node) >> 40), -k))
+        total = sum(s for _, s, _ in node)
+        start, bits, need = 0, 60, total * ((b - a) // 2) / (b - a)
+        while True:
+            bits -= 10
+            sums = Counter()
+            for _, size, p in node:
+                if start >> (bits + 10) == p[axis] >> (bits + 10):
+                    sums[p[axis] >> bits] += size
+            for at, size in sorted(sums.items()):
+                if size >= need:
+                    break
+                need -= size
+            start = at << bits
+            if (min(need, size - need) <= sharding.SNAP * total and bits >= 20) or bits == 0:
+                cut = start if need <= size - need else start + (1 << bits)
+                break
+        left += [([x for x in node if x[2][axis] < cut], a, a + (b - a) // 2), ([x for x in node if x[2][axis] >= cut], a + (b - a) // 2, b)]
+    return out
+
+
+def test_shards_match_a_plain_tree(spark, rng):
+    rows = [(i, sentence(rng, rng.randrange(1, 80)), rng.choice(("en", "de", None)), rng.choice(("a", "b", "b", "b", None))) for i in range(1500)] + [(5000 + i, "one hot text " * 10, "en", "b") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for shards in (2, 5, 16):
+        assert {r.doc_id: r.shard for r in sharding.shard(df, shards).collect()} == _plain_tree(rows, shards)
+
+
+def test_many_shards_and_one_hot_id(spark, rng):
+    rows = [(7, sentence(rng, 5), "en", "s", i) for i in range(300)] + [(i, sentence(rng, 5), "en", "s", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long")
+    got = sharding.shard(df, None, 300).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 600 and len(slots) > 40 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shards_of_odd_rows(spark, odd_documents, no_documents):
     got = sharding.shard(odd_documents, 4).collect()
     assert len(got) == 10 and sorted((r.shard, r.slot) for r in got) == sorted(set((r.shard, r.slot) for r in got))
@@ -337,5 +448,5 @@ def test_shards_of_odd_rows(spark, odd_documents, no_documents):
 def test_digest_of_no_spans(spark, odd_documents):
     from talewright.llm.secrets import _joined
 
-    row = secrets.scan(odd_documents).select(_joined(secrets.F.col("spans")).alias("j")).first()
+    row = secrets.scan(odd_documents.drop("spans")).select(_joined(secrets.F.col("spans")).alias("j")).first()
     assert row.j == "" and hashlib.sha256(b"").hexdigest()
