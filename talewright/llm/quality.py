@@ -1,22 +1,20 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from pieces of good and of bad labelled texts. A text is compressed piece by piece
-with either; the difference of the compressed sizes over their sum tells which kind it resembles. A logistic curve, fitted
-on other labelled texts, turns the difference into a score. It also sees how far the text shrinks at all, since a text
-that only repeats itself shrinks to nothing with either dictionary and shows no difference. Only the fit runs on the
-driver, on samples of documented size.
+with either; the difference of the compressed sizes over the text's own size tells which kind it resembles, and is next to nothing for
+a text that only repeats itself, as that shrinks to nothing with either. A logistic curve, fitted on other labelled texts, turns
+the difference into a score. Only the fit runs on the driver, on samples of documented size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table, unused
@@ -35,7 +33,7 @@ THRESHOLD = 0.7
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, float]
+    weight: float
     bias: float
 
 
@@ -53,61 +51,53 @@ def pieces(text: bytes) -> list[bytes]:
     return [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
 
 
-def measure(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """(bad - good) / (bad + good) of the compressed sizes of the whole text, and the log of their mean over its length;
-    zeros for an empty text."""
-    g = b = 0
-    for p in pieces(text):
-        g += max(1, len(good.compress(p)) - _FRAME)
-        b += max(1, len(bad.compress(p)) - _FRAME)
-    return ((b - g) / (b + g), max(-4.0, min(0.0, math.log((g + b) / 2 / len(text))))) if text else (0.0, 0.0)
+def measure(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
+    """How many bytes fewer the whole text takes with the good dictionary than with the bad one, over its own bytes; 0 for an empty
+    text."""
+    saved = sum(max(1, len(bad.compress(p)) - _FRAME) - max(1, len(good.compress(p)) - _FRAME) for p in pieces(text))
+    return saved / len(text) if text else 0.0
 
 
 def _measures(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
-    """docs (its text as the last column) with the columns diff and shrink instead of the text."""
+    """docs (its text as the last column) with the column diff instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, b = _compressor(good), _compressor(bad)
         for batch in batches:
-            both = [measure(t or b"", g, b) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64())],
-                names=[*batch.schema.names[:-1], "diff", "shrink"],
-            )
+            diff = [measure(t or b"", g, b) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(diff, pa.float64())], names=[*batch.schema.names[:-1], "diff"])
 
     *kept, _ = docs.schema.fields
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "diff double, shrink double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "diff double"]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], float]:
-    """Weights and bias of a logistic curve, by Newton steps with a small ridge."""
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
-    z = np.concatenate([x / scale, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Weight and bias of a logistic curve, by Newton steps with a small ridge."""
+    scale = float(x.std()) or 1.0
+    z = np.stack([x / scale, np.ones(len(x))], 1)
+    w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (weight * (p - y)) + 1e-2 * w
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(z.shape[1])
+        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return (float(w[0] / scale[0]), float(w[1] / scale[1])), float(w[2])
+    return float(w[0] / scale), float(w[1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on labelled rows (label 0 or 1; others count for nothing).
 
-    The rows are chosen by the hash of their id: SAMPLE_ROWS of each class for the dictionaries, as many others for the
-    calibration. With one class only, or none, the curve is flat and gives the share of label 1 (0.5 without labels).
+    The rows are chosen by the hash of their id: by turns for the dictionaries and for the calibration, SAMPLE_ROWS of each class
+    for either. With one class only, or none, the curve is flat and gives the share of label 1 (0.5 without labels).
     """
     ids = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     turn = F.xxhash64("id", F.lit("quality"))
-    chosen = None
-    for label in (0, 1):
-        for half in (0, 1):
-            part = ids.where((F.col("label") == label) & (F.pmod(turn, F.lit(2)) == half)).orderBy(turn).limit(SAMPLE_ROWS).select("id", "label", F.lit(half).alias("half"))
-            chosen = part if chosen is None else chosen.union(part)
+    firsts = [ids.where(F.col("label") == label).orderBy(turn, "id").limit(2 * SAMPLE_ROWS) for label in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("label").orderBy(turn, "id"))  # over the sample only
+    chosen = firsts[0].union(firsts[1]).select("id", "label", (place % 2).alias("half"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), "id")  # 4 * SAMPLE_ROWS ids at most
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / PIECE)).cast("int"))
@@ -117,17 +107,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         got = cut.where(F.col("label") == label).orderBy(F.xxhash64("id", "n"), "piece").limit(SAMPLE_PIECES).select("piece").collect()
         dicts.append(_dictionary([r.piece.encode() for r in got]))
     other = _measures(rows.where("half = 1").select("label", "text"), *dicts).collect()
-    x, y = np.array([(r.diff, r.shrink) for r in other], float).reshape(-1, 2), np.array([r.label for r in other], float)
+    x, y = np.array([r.diff for r in other], float), np.array([r.label for r in other], float)
     sizes = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if 0 < y.sum() < len(y):
         # the sample has other shares of the classes than the labels
         share = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (len(y) - y.sum()))
-        weights, bias = _logistic(x, y, share * len(y) / share.sum())
+        slope, bias = _logistic(x, y, share * len(y) / share.sum())
     else:
         mean = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
         mean = min(max(mean, 0.01), 0.99)
-        weights, bias = (0.0, 0.0), float(np.log(mean / (1 - mean)))
-    return QualityModel(*dicts, weights, bias)
+        slope, bias = 0.0, float(np.log(mean / (1 - mean)))
+    return QualityModel(*dicts, slope, bias)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -140,7 +130,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, diff, shrink, score) of every row; null and empty texts have zeros and the score that goes with them."""
+    """(doc_id, diff, score) of every row; null and empty texts have diff 0 and the score that goes with it."""
     found = _measures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), model.good, model.bad)
     return found.withColumn("score", _score(model))
 
@@ -154,8 +144,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", o
 
 
 def _score(model: QualityModel) -> Column:
-    a, b = model.weights
-    return 1 / (1 + F.exp(-(F.col("diff") * a + F.col("shrink") * b + F.lit(model.bias))))
+    return 1 / (1 + F.exp(-(F.col("diff") * model.weight + F.lit(model.bias))))
 
 
 def learnable(labels: DataFrame) -> DataFrame:

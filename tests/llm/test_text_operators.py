@@ -1,3 +1,4 @@
+import os
 import hashlib
 import math
 import re
@@ -85,11 +86,13 @@ def test_language_query_on_held_out_documents(spark, sf_dir):
 
 
 def test_quality_query_on_held_out_documents(spark, sf_dir):
-    """The share of pairs of a good and a bad held-out document that the score puts in order."""
+    """The share of pairs of a good and a bad held-out document that the score puts in order; on the table of 1,000 documents, as
+    the smallest has three bad ones held out."""
+    sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
     got = [r for r in quality.op5_quality(spark, sf_dir).collect() if r.held_out and r.doc_id in truth]
     good, bad = ([r.score for r in got if truth[r.doc_id] == label] for label in (1, 0))
-    assert good and bad and np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.85
+    assert good and bad and np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.95
     assert all(r.predicted == (r.score >= 0.7) for r in got)
 
 
@@ -126,7 +129,7 @@ def test_quality_measure_reads_whole_texts():
     g, b = (quality._compressor(x) for x in (b"good words here " * 20, b"BAD!! WORDS%% " * 20))
     text = b"good words here " * 400 + b"BAD!! WORDS%% " * 400
     assert len(quality.pieces(text)) == -(-len(text) // quality.PIECE) and b"".join(quality.pieces(text)) == text
-    assert quality.measure(b"", g, b) == (0.0, 0.0)
+    assert quality.measure(b"", g, b) == 0.0
     assert quality.measure(text, g, b) != quality.measure(text[: len(text) // 2], g, b)
 
 
