@@ -1,6 +1,7 @@
 import os
 import hashlib
 import math
+import os
 import re
 import struct
 import zlib
