@@ -114,9 +114,19 @@ POOLS = (
     ("outfit", "近代", "n", ("深色中式短衫", "素色旗袍", "舊呢外套", "白襯衫配吊帶褲", "洋裝")),
     ("outfit", "現代", "n", ("深灰風衣內搭白襯衫", "深色夾克", "針織衫配長褲", "素色洋裝", "制服外套")),
 )
+#: Outfits by a calling that the name shows, and by style.
+ROLE_OUTFITS = (
+    ("探長|警官|刑警|偵探", ("長風衣敞著，內裡一件灰毛衣", "藏青夾克，證件夾在腰側", "皂色公服，腰繫一條舊革帶")),
+    ("醫生|護士", ("白袍罩著淡色襯衣", "粗布長衫，袖口捲起")),
+    ("母親|老闆", ("碎花上衣套著布圍裙", "深藍對襟衫，髮際別一支木簪")),
+    ("船長", ("雙排扣呢外套，領口磨白",)),
+)
+STYLE_OUTFITS = (("黑色電影", ("雨痕未乾的長風衣", "高領黑毛衣配寬褲", "領帶鬆開的灰西裝", "舊皮衣，拉鍊半開")),)
 SCENE_TEXTURE = (("室內", ("木桌與書架", "白牆與日光", "舊地板與燭台", "鐵櫃與螢幕")), ("室外", ("石板路面", "泥土小徑", "柏油路與招牌", "水岸與木樁")))
 SCENE_LIGHT = (("室內", ("窗光斜入", "燈籠微光", "檯燈聚光")), ("室外", ("午後斜陽", "清晨薄霧", "路燈與招牌交錯")))
-SCENE_BY_NAME = (("書房|書", "整面書牆與一張木桌"), ("碼頭|河", "潮濕木棧與纜繩"))
+SCENE_BY_NAME = (("書房|書", ("整面書牆與一張木桌", "線裝書與油燈", "書櫃玻璃映著螢幕光")), ("碼頭|河", ("潮濕木棧與纜繩", "石階沒入水面")))
+#: Textures that belong to a place of their own.
+PLACE_SPECIFIC = "水岸|鐵櫃"
 
 
 class Lexicon(SimpleNamespace):

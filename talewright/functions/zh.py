@@ -17,12 +17,17 @@ TOKENS = (
 )
 
 
+# Two of three manuscripts declare a place at their start, by the number of the document.
+MARKERS = ("場景：舊倉庫，", "【河邊】", "")
+
+
 def manuscripts(documents: DataFrame) -> DataFrame:
     """(novel_id, source_name, text) of every row of documents."""
+    lead = F.element_at(F.array(*(F.lit(m) for m in MARKERS)), (F.col("doc_id") % len(MARKERS) + 1).cast("int"))
     tokens = F.array(*(F.lit(t) for t in TOKENS))
     words = F.split(F.coalesce("text", F.lit("")), " ")
     text = F.array_join(F.transform(words, lambda w: F.element_at(tokens, (F.lit(1) + (F.length(w) * 31 + F.ascii(w)) % len(TOKENS)).cast("int"))), "")
-    return documents.select(F.col("doc_id").alias("novel_id"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_name"), text.alias("text"))
+    return documents.select(F.col("doc_id").alias("novel_id"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_name"), F.concat(lead, text).alias("text"))
 
 
 def quote(value: str) -> str:
@@ -40,6 +45,6 @@ _LIST = ", ".join("'" + t.replace("\n", "'||chr(10)||'") + "'" for t in TOKENS)
 #: CTE ``novels`` for DuckDB.
 NOVELS_SQL = f"""novels AS (
   SELECT doc_id AS novel_id, source || '_' || doc_id || '.txt' AS source_name,
-    array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: [{_LIST}][1 + (length(w) * 31 + ascii(w)) % {len(TOKENS)}]), '') AS text
+    [{', '.join(f"'{m}'" for m in MARKERS)}][1 + doc_id % {len(MARKERS)}] || array_to_string(list_transform(string_split(coalesce(text, ''), ' '), lambda w: [{_LIST}][1 + (length(w) * 31 + ascii(w)) % {len(TOKENS)}]), '') AS text
   FROM documents
 )"""

@@ -137,21 +137,18 @@ def p13(spark, sf_dir):
     return people.persons(novels(spark, sf_dir))
 
 
-@query(
-    "n1_detect_narrator",
-    f"""WITH {PERSONS_SQL}, plain AS (SELECT novel_id, regexp_replace(text, '「[^」]*」|『[^』]*』', '', 'g') AS t FROM novels),
+NARRATOR_SQL = f"""{PERSONS_SQL}, plain AS (SELECT novel_id, regexp_replace(text, '「[^」]*」|『[^』]*』', '', 'g') AS t FROM novels),
 wo AS (SELECT novel_id, t, len(regexp_extract_all(t, '我')) AS wo FROM plain),
 intro AS (SELECT h.novel_id, arg_min(h.name, {{'f': h.first, 'n': h.name}}) AS introduced FROM (SELECT novel_id, name, min(first) AS first FROM ({_HIT['p6']}) GROUP BY ALL) h JOIN persons p ON p.novel_id = h.novel_id AND p.name = h.name GROUP BY h.novel_id),
 apposed AS (SELECT p.novel_id, arg_min(p.name, p.rank) AS apposed FROM persons p JOIN wo USING (novel_id) WHERE wo >= 3 AND regexp_matches(t, '我[，、,]?\\s*' || p.name) GROUP BY p.novel_id),
-sole AS (SELECT novel_id, CASE WHEN count(*) = 1 THEN max(name) END AS sole FROM persons WHERE role = '' AND name NOT IN {_IN(lex.ROLES + lex.TITLES + lex.KIN)} GROUP BY novel_id)
-SELECT w.novel_id, wo::BIGINT AS wo, wo >= 3 AS first_person, CASE WHEN wo >= 3 THEN coalesce(introduced, apposed, sole, '') ELSE '' END AS name FROM wo w LEFT JOIN intro USING (novel_id) LEFT JOIN apposed USING (novel_id) LEFT JOIN sole USING (novel_id)""",
-)
+sole AS (SELECT novel_id, CASE WHEN count(*) = 1 THEN max(name) END AS sole FROM persons WHERE role = '' AND name NOT IN {_IN(lex.ROLES + lex.TITLES + lex.KIN)} GROUP BY novel_id),
+narrators AS (SELECT w.novel_id, wo::BIGINT AS wo, wo >= 3 AS first_person, CASE WHEN wo >= 3 THEN coalesce(introduced, apposed, sole, '') ELSE '' END AS name FROM wo w LEFT JOIN intro USING (novel_id) LEFT JOIN apposed USING (novel_id) LEFT JOIN sole USING (novel_id))"""
+
+
+@query("n1_detect_narrator", f"WITH {NARRATOR_SQL} SELECT * FROM narrators")
 def n1(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    cand = people.candidates(texts)
-    names = people.drop_half_names(people.fuse(cand))
-    found = people.top_persons(names, people.role_characters(texts, names), 8)
-    return people.narrator(texts, found, cand.where("rule = 'p6'").select("novel_id", "name", "first"))
+    return people.narrator(texts, people.persons(texts), people.introduced(texts))
 
 
 def _gender_sql(name: str, word: bool) -> str:
@@ -172,30 +169,21 @@ def g3(spark, sf_dir):
     return people.persons(novels(spark, sf_dir)).select("novel_id", "name", people.gender_by_name_char(F.col("name")).alias("gender"))
 
 
-# G2 reads the places of four fixed names, so its check does not hang on the rules above.
-_CAST = ("狄明", "馬華", "王美麗", "母親")
+GENDERS_SQL = f"""{NARRATOR_SQL}, pr AS (SELECT novel_id, pos, CASE WHEN c0 = '她' THEN 'f' ELSE 'm' END AS gender FROM ch WHERE c0 IN ('他', '她') AND p1 <> '其'),
+mentioned AS (SELECT ch.novel_id, ch.pos, p.rank, p.name FROM ch JOIN persons p ON p.novel_id = ch.novel_id AND starts_with(c0 || c1 || c2 || c3, p.name)),
+near AS (SELECT pr.novel_id, pr.pos, pr.gender, arg_max(m.name, m.pos * 100 - m.rank) AS name FROM pr JOIN mentioned m ON m.novel_id = pr.novel_id AND m.pos < pr.pos AND pr.pos - m.pos <= 20 GROUP BY ALL),
+told AS (SELECT novel_id, name, arg_min(gender, pos) AS gender FROM near GROUP BY novel_id, name),
+genders AS (SELECT p.novel_id, p.name, coalesce(nullif({_gender_sql('p.name', True)}, ''), t.gender, nullif({_gender_sql('p.name', False)}, ''), '') AS gender FROM persons p LEFT JOIN told t ON t.novel_id = p.novel_id AND t.name = p.name)"""
 
 
-@query(
-    "g2_gender_by_pronoun",
-    f"""WITH {CHARS_SQL}, cast_ AS (SELECT ord, name FROM {values_sql(_CAST, 'name')}),
-m AS (SELECT novel_id, pos, ord AS rank, name FROM ch JOIN cast_ ON c0 || c1 = name OR c0 || c1 || c2 = name),
-pr AS (SELECT novel_id, pos, CASE WHEN c0 = '她' THEN 'f' ELSE 'm' END AS gender FROM ch WHERE c0 IN ('他', '她') AND p1 <> '其'),
-near AS (SELECT pr.novel_id, pr.pos, pr.gender, arg_max(m.name, m.pos * 100 - m.rank) AS name FROM pr JOIN m ON m.novel_id = pr.novel_id AND m.pos < pr.pos AND pr.pos - m.pos <= 20 GROUP BY ALL)
-SELECT novel_id, name, arg_min(gender, pos) AS gender FROM near GROUP BY novel_id, name""",
-)
+@query("g2_gender_by_pronoun", f"WITH {GENDERS_SQL} SELECT novel_id, name, gender FROM told")
 def g2(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    cast = texts.sparkSession.createDataFrame([(i, n) for i, n in enumerate(_CAST)], "rank int, name string")
-    mentions = positions(texts, F.array(*(F.lit(n) for n in _CAST))).join(F.broadcast(cast), F.col("word") == F.col("name")).select("novel_id", "pos", "rank", "name")  # four names
-    shown = positions(texts, F.array(F.lit("他"), F.lit("她"))).join(positions(texts, F.array(F.lit("其他"), F.lit("其她"))).select("novel_id", (F.col("pos") + 1).alias("pos")), ["novel_id", "pos"], "left_anti")
-    return people.gender_by_pronoun(mentions, shown.select("novel_id", "pos", F.when(F.col("word") == "她", "f").otherwise("m").alias("gender")))
-
-
-def positions(texts, words):
-    """(novel_id, word, pos) of every occurrence of the words (which do not overlap themselves), by the lengths of the
-    pieces between them."""
-    split = texts.select("novel_id", F.explode(words).alias("word"), "text").where(F.expr("contains(text, word)"))
-    lengths = split.select("novel_id", "word", F.transform(F.split("text", F.concat(F.lit("\\Q"), F.col("word"), F.lit("\\E")), -1), lambda x: F.length(x)).alias("n"))
-    steps = F.aggregate("n", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + x + F.length("word")).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")), lambda s: s["out"])
-    return lengths.select("novel_id", "word", F.explode(F.slice(steps, 1, F.size("n") - 1)).alias("pos"))
+    return people.gender_by_pronoun(texts, people.persons(texts))
+
+
+@query("g4_genders", f"WITH {GENDERS_SQL} SELECT novel_id, name, gender FROM genders")
+def g4(spark, sf_dir):
+    """All three rules in turn."""
+    texts = novels(spark, sf_dir)
+    return people.genders(texts, people.persons(texts))

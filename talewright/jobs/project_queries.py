@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talewright.functions import lexicon as lex
-from talewright.operators import project, shots
+from talewright.operators import places, project, shots
+from talewright.plans import storyboard as plan
 
 from .catalog import SHOTS_SQL, novels, query, table
-from .shot_queries import CHARS_SQL, DUR_SQL, SCENED_SQL, SIZE_SQL, WHO_SQL, cast, scened, subjects, top_places
+from .desc_queries import DESC_SQL, FACTS_SQL, SCENES_SQL
+from .shot_queries import CHARS_SQL, DUR_SQL, LENS_SQL, SCENED_SQL, SIZE_SQL, WHO_SQL, full_shots, scened, subjects
 
 # Manuscripts of the projection are short, so units are a tenth of the usual length here.
 LEAST, MOST, TAIL = 60, 90, 30
 _TIMED = f"timed AS (SELECT novel_id, shot_no, narr, scene, {CHARS_SQL} AS n_chars, round({DUR_SQL} * 10)::BIGINT AS t FROM scened)"
 _CUT = f"(w.e >= {LEAST * 10} AND n.scene <> '' AND n.scene <> w.scene)"
-UNITS_SQL = f"""{SCENED_SQL}, {_TIMED}, w(novel_id, shot_no, scene, u, e, hard) AS (
+#: Units of timed shots.
+WALK_SQL = f"""w(novel_id, shot_no, scene, u, e, hard) AS (
   SELECT novel_id, shot_no, scene, 0, t, FALSE FROM timed WHERE shot_no = 0
   UNION ALL SELECT n.novel_id, n.shot_no, n.scene, CASE WHEN {_CUT} OR w.e > {MOST * 10} THEN w.u + 1 ELSE w.u END, CASE WHEN {_CUT} OR w.e > {MOST * 10} THEN n.t ELSE w.e + n.t END, NOT {_CUT} AND w.e > {MOST * 10}
   FROM w JOIN timed n ON n.novel_id = w.novel_id AND n.shot_no = w.shot_no + 1
@@ -23,19 +26,20 @@ UNITS_SQL = f"""{SCENED_SQL}, {_TIMED}, w(novel_id, shot_no, scene, u, e, hard)
 ), placed AS (SELECT novel_id, shot_no, narr, scene, n_chars, t, CASE WHEN merged AND u = last_u THEN u - 1 ELSE u END AS unit_no, hard, u FROM tails
 ), units AS (SELECT p.novel_id, p.unit_no, min(p.shot_no) AS from_shot, max(p.shot_no) AS to_shot, sum(p.t)::BIGINT AS t, coalesce(bool_or(h.hard), FALSE) AS hard FROM placed p
   LEFT JOIN (SELECT novel_id, u - 1 AS unit_no, bool_or(hard) AS hard FROM tails GROUP BY ALL) h ON h.novel_id = p.novel_id AND h.unit_no = p.unit_no GROUP BY p.novel_id, p.unit_no)"""
+UNITS_SQL = f"{SCENED_SQL}, {_TIMED}, {WALK_SQL}"
 
 
 def timed(texts):
     return scened(texts).withColumns({"dur": shots.shot_duration(F.col("narr")), "n_chars": shots.n_chars(F.col("narr"))})
 
 
-def units_of(rows):
-    return project.plan_units(rows, LEAST, MOST, TAIL)
+def with_units(rows):
+    return project.with_units(rows, LEAST, MOST, TAIL)
 
 
 @query("u1_plan_units", f"WITH RECURSIVE {UNITS_SQL} SELECT novel_id, unit_no, from_shot, to_shot, t / 10 AS dur, hard FROM units")
 def u1(spark, sf_dir):
-    return units_of(timed(novels(spark, sf_dir)))
+    return project.plan_units(timed(novels(spark, sf_dir)), LEAST, MOST, TAIL)
 
 
 _STATS = "stats AS (SELECT novel_id, count(*) AS shots, sum(n_chars)::BIGINT AS total_chars, sum(t)::BIGINT AS t FROM timed GROUP BY novel_id)"
@@ -43,8 +47,7 @@ _STATS = "stats AS (SELECT novel_id, count(*) AS shots, sum(n_chars)::BIGINT AS
 
 @query("u2_novel_stats", f"WITH RECURSIVE {UNITS_SQL}, {_STATS} SELECT novel_id, shots, total_chars, t / 10 AS total_dur, floor(t / 60 + 0.5) / 10 AS minutes, (SELECT count(*) FROM units u WHERE u.novel_id = stats.novel_id) AS units FROM stats")
 def u2(spark, sf_dir):
-    rows = timed(novels(spark, sf_dir))
-    return project.novel_stats(rows, units_of(rows))
+    return project.novel_stats(with_units(timed(novels(spark, sf_dir))))
 
 
 @query(
@@ -53,9 +56,7 @@ def u2(spark, sf_dir):
 SELECT s.novel_id, s.unit_no, shots, chars, first_scene, last_scene, (sum(s.t) OVER w - s.t) / 10 AS start, sum(s.t) OVER w / 10 AS "end", s.t / 10 AS dur, s.t < {LEAST * 10} AS short, u.hard FROM s JOIN units u ON u.novel_id = s.novel_id AND u.unit_no = s.unit_no WINDOW w AS (PARTITION BY s.novel_id ORDER BY s.unit_no)""",
 )
 def u3(spark, sf_dir):
-    rows = timed(novels(spark, sf_dir))
-    units = units_of(rows)
-    return project.unit_summary(project.assign_unit(rows, units), units, LEAST)
+    return project.unit_summary(with_units(timed(novels(spark, sf_dir))), LEAST)
 
 
 @query("u4_pace_check", f"WITH {SCENED_SQL}, {_TIMED}, {_STATS} SELECT novel_id, CASE WHEN t > 0 THEN round(total_chars / (t / 10) * 60, 3) END AS pace, coalesce(abs(round(total_chars / (t / 10) * 60, 3) - 260) > 26, FALSE) AS off FROM stats")
@@ -84,8 +85,7 @@ def u6(spark, sf_dir):
 
 @query("u7_assign_unit", f"WITH RECURSIVE {UNITS_SQL} SELECT novel_id, shot_no, unit_no FROM placed")
 def u7(spark, sf_dir):
-    rows = timed(novels(spark, sf_dir))
-    return project.assign_unit(rows, units_of(rows)).select("novel_id", "shot_no", "unit_no")
+    return with_units(timed(novels(spark, sf_dir))).select("novel_id", "shot_no", "unit_no")
 
 
 # Cast cards made from documents: the project's from even sources, the incoming ones from all.
@@ -107,6 +107,19 @@ def u8(spark, sf_dir):
     return project.merge_cast(old, cards)
 
 
+_NEW_SCENES = "SELECT lang || '-' || source AS name, CASE WHEN count(*) % 2 = 0 THEN '室內' ELSE '室外' END AS type, max(lang) AS \"desc\" FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY lang, source"
+_OLD_SCENES = "SELECT DISTINCT lang || '-' || source AS name, '室外' AS type, 'kept look' AS \"desc\", 's.png' AS ref, 0.4::DOUBLE AS body FROM documents WHERE source IS NOT NULL AND lang = 'en'"
+
+
+@query("u8_merge_scenes", f"WITH c AS ({_NEW_SCENES}), o AS ({_OLD_SCENES}) SELECT * FROM o UNION ALL SELECT name, type, \"desc\", '', 0.65::DOUBLE FROM c WHERE name NOT IN (SELECT name FROM o)")
+def u8_scenes(spark, sf_dir):
+    """Scenes of every language and series, of which the project has those of one language."""
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL").withColumn("name", F.concat_ws("-", "lang", "source"))
+    new = docs.groupBy("name").agg(F.when(F.count("*") % 2 == 0, "室內").otherwise("室外").alias("type"), F.max("lang").alias("desc"))
+    old = docs.where("lang = 'en'").select("name", F.lit("室外").alias("type"), F.lit("kept look").alias("desc"), F.lit("s.png").alias("ref"), F.lit(0.4).alias("body")).distinct()
+    return project.merge_scenes(old, new)
+
+
 @query(
     "u9_import_cast_cards",
     f"""WITH c AS ({_CARDS}), o AS ({_OLD}) SELECT coalesce(o.name, c.name) AS name, coalesce(nullif(c.role, ''), o.role, '') AS role, coalesce(nullif(c."desc", ''), o."desc", '') AS "desc", coalesce(nullif(c.ref, ''), o.ref, '') AS ref,
@@ -119,40 +132,29 @@ def u9(spark, sf_dir):
 
 @query(
     "u10_replace_unit_shots",
-    """WITH p AS (SELECT role AS project_id, 'U' || conv_id % 7 AS unit, conv_id * 100 + turn AS seq, text AS narr FROM conversations WHERE conv_id % 2 = 0),
-i AS (SELECT role AS project_id, 'U' || conv_id % 7 AS unit, conv_id * 100 + turn AS seq, text AS narr FROM conversations WHERE conv_id % 2 = 1 AND conv_id % 7 < 3),
+    """WITH p AS (SELECT conv_id AS project_id, 'U' || turn // 2 AS unit, turn AS seq, text AS narr FROM conversations),
+i AS (SELECT conv_id AS project_id, 'U' || turn // 2 AS unit, turn AS seq, '+' || text AS narr FROM conversations WHERE role = 'assistant'),
 a AS (SELECT *, 0 AS turn FROM p WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.project_id = p.project_id AND i.unit = p.unit) UNION ALL SELECT *, 1 FROM i), n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY turn, unit, seq)::VARCHAR AS k FROM a)
-SELECT project_id, unit, seq, narr, 'S' || left(lpad(k, 3, '0'), 3) AS shot_id FROM n""",
+SELECT project_id, unit, seq, narr, 'S' || CASE WHEN length(k) < 3 THEN lpad(k, 3, '0') ELSE k END AS shot_id FROM n""",
 )
 def u10(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("project_id"), F.concat(F.lit("U"), (F.col("conv_id") % 7).cast("string")).alias("unit"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), F.col("text").alias("narr"), "conv_id")
-    return project.replace_unit_shots(rows.where("conv_id % 2 = 0").drop("conv_id"), rows.where("conv_id % 2 = 1 AND conv_id % 7 < 3").drop("conv_id"))
+    """Each conversation is a project of units of two turns; the turns of the assistant come in anew."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("project_id"), F.concat(F.lit("U"), F.floor(F.col("turn") / 2).cast("string")).alias("unit"), F.col("turn").alias("seq"), F.col("text").alias("narr"), "role")
+    return project.replace_unit_shots(rows.drop("role"), rows.where("role = 'assistant'").withColumn("narr", F.concat(F.lit("+"), "narr")).drop("role"))
 
 
-_STYLE = "寫實電影感"
-#: The scenes' CTEs without those of the shots, which come first in any chain.
-SCENES_SQL = SCENED_SQL.removeprefix(f"{SHOTS_SQL}, ")
-_SCENE_DESC = "name || '：' || type || '；' || CASE WHEN count % 2 = 0 THEN '夏天，空氣悶熱' ELSE '冬天，濕冷' END"
+#: Prompts of shots with who, scene and lens.
+PROMPT_SQL = """concat_ws(chr(10) || chr(10), nullif(trim(p."desc"), ''), nullif(trim(q."desc"), ''), nullif(trim(l.lens), ''), f.style) AS prompt"""
+PROMPT_FROM = """lenses l JOIN facts f ON f.novel_id = l.novel_id LEFT JOIN described p ON p.novel_id = l.novel_id AND p.name = l.who LEFT JOIN scenes q ON q.novel_id = l.novel_id AND q.name = l.scene"""
 
 
-def scene_descs(texts):
-    return top_places(texts).select("novel_id", "name", F.concat("name", F.lit("："), "type", F.lit("；"), F.when(F.col("count") % 2 == 0, "夏天，空氣悶熱").otherwise("冬天，濕冷")).alias("desc"))
-
-
-def _subject_scenes(texts):
-    who = subjects(texts).select("novel_id", "shot_no", "who")
-    return timed(texts).join(who, ["novel_id", "shot_no"]).withColumn("lens", shots.shot_size(F.col("narr")))
-
-
-@query(
-    "b1_build_prompt",
-    f"""WITH {WHO_SQL}, {SCENES_SQL}, d AS (SELECT novel_id, name, {_SCENE_DESC} AS dsc FROM places)
-SELECT w.novel_id, w.shot_no, concat_ws(chr(10) || chr(10), CASE WHEN EXISTS (SELECT 1 FROM people p WHERE p.novel_id = w.novel_id AND p.name = w.who) THEN who || '，主角' END, d.dsc, {SIZE_SQL.replace('narr', 'w.narr')}, '{_STYLE}') AS prompt FROM who w JOIN scened s ON s.novel_id = w.novel_id AND s.shot_no = w.shot_no LEFT JOIN d ON d.novel_id = w.novel_id AND d.name = s.scene""",
-)
+@query("b1_build_prompt", f"WITH {LENS_SQL}, {DESC_SQL}, {SCENES_SQL} SELECT l.novel_id, l.shot_no, {PROMPT_SQL} FROM {PROMPT_FROM}")
 def b1(spark, sf_dir):
-    texts = novels(spark, sf_dir)
-    chars = cast(texts).select("novel_id", "name", F.concat("name", F.lit("，主角")).alias("desc"))
-    return project.build_prompt(_subject_scenes(texts), chars, scene_descs(texts), _STYLE).select("novel_id", "shot_no", "prompt")
+    texts = plan.facts(novels(spark, sf_dir))
+    persons, narrators = plan.cast(texts)
+    scenes = plan.scenes_of(texts)
+    rows = full_shots(texts, persons, narrators, scenes).join(texts.select("novel_id", "style"), "novel_id")
+    return project.build_prompt(rows, plan.described(texts, persons), scenes, F.col("style")).select("novel_id", "shot_no", "prompt")
 
 
 _FACE = "CASE " + " ".join(f"WHEN size = '{n}' AND who <> '' THEN {f if f is not None else 'NULL'}::DOUBLE" for n, f, _ in lex.STRENGTHS) + " END"
@@ -160,7 +162,10 @@ _BODY = "CASE " + " ".join(f"WHEN size = '{n}' THEN {b}::DOUBLE" for n, _, b in
 _DOT = lambda x: f"regexp_replace(format('{{:.2f}}', {x}), '^0', '')"
 
 
-@query("b2_ref_strength", f"WITH {WHO_SQL}, z AS (SELECT novel_id, shot_no, who, {SIZE_SQL} AS size FROM who), f AS (SELECT *, {_FACE} AS face, {_BODY} AS body FROM z) SELECT novel_id, shot_no, face, body, concat_ws('／', '臉部 ' || {_DOT('face')}, '主體 ' || {_DOT('body')}) AS text FROM f")
+STRENGTH_SQL = f"SELECT novel_id, shot_no, face, body, concat_ws('／', '臉部 ' || {_DOT('face')}, '主體 ' || {_DOT('body')}) AS text FROM (SELECT *, {_FACE} AS face, {_BODY} AS body FROM (SELECT novel_id, shot_no, who, {SIZE_SQL} AS size FROM who))"
+
+
+@query("b2_ref_strength", f"WITH {WHO_SQL} {STRENGTH_SQL}")
 def b2(spark, sf_dir):
     rows = subjects(novels(spark, sf_dir)).withColumn("size", shots.shot_size(F.col("narr")))
     return rows.select("novel_id", "shot_no", project.ref_strength(F.col("size"), F.col("who")).alias("r")).select("novel_id", "shot_no", "r.*")
@@ -172,20 +177,28 @@ def b3(spark, sf_dir):
 
 
 # Ten shots make a unit here.
-@query("b4_unit_cast", f"WITH {WHO_SQL}, q AS (SELECT novel_id, shot_no // 10 AS unit_no, who FROM who) SELECT u.novel_id, u.unit_no, p.name, EXISTS (SELECT 1 FROM q WHERE q.novel_id = u.novel_id AND q.unit_no = u.unit_no AND q.who = p.name) AS used FROM (SELECT DISTINCT novel_id, unit_no FROM q) u JOIN people p ON p.novel_id = u.novel_id")
+@query(
+    "b4_unit_cast",
+    f"""WITH {WHO_SQL}, {SCENED_SQL.removeprefix(SHOTS_SQL + ', ')}, q AS (SELECT w.novel_id, w.shot_no // 10 AS unit_no, w.who, s.scene FROM who w JOIN scened s ON s.novel_id = w.novel_id AND s.shot_no = w.shot_no), u AS (SELECT DISTINCT novel_id, unit_no FROM q)
+SELECT u.novel_id, u.unit_no, 'person' AS kind, p.name, EXISTS (SELECT 1 FROM q WHERE q.novel_id = u.novel_id AND q.unit_no = u.unit_no AND q.who = p.name) AS used FROM u JOIN persons p ON p.novel_id = u.novel_id
+UNION ALL SELECT u.novel_id, u.unit_no, 'scene', p.name, EXISTS (SELECT 1 FROM q WHERE q.novel_id = u.novel_id AND q.unit_no = u.unit_no AND q.scene = p.name) FROM u JOIN places p ON p.novel_id = u.novel_id""",
+)
 def b4(spark, sf_dir):
     texts = novels(spark, sf_dir)
-    return project.unit_cast(subjects(texts).withColumn("unit_no", F.floor(F.col("shot_no") / 10)), cast(texts))
+    persons, narrators = plan.cast(texts)
+    scenes = plan.settled(places.places(texts))
+    rows = full_shots(texts, persons, narrators, scenes).withColumn("unit_no", F.floor(F.col("shot_no") / 10))
+    return project.unit_cast(rows, persons, scenes)
 
 
 @query(
     "b5_unit_season",
-    f"""WITH {SCENED_SQL}, d AS (SELECT novel_id, name, string_split({_SCENE_DESC}, '；')[-1] AS season FROM places), c AS (SELECT s.novel_id, s.shot_no // 10 AS unit_no, d.season, count(*) AS n, min(s.shot_no) AS first FROM scened s JOIN d ON d.novel_id = s.novel_id AND d.name = s.scene GROUP BY ALL)
+    f"""WITH {SCENED_SQL}, {FACTS_SQL}, {SCENES_SQL}, d AS (SELECT novel_id, name, string_split("desc", '；')[-1] AS season FROM scenes), c AS (SELECT s.novel_id, s.shot_no // 10 AS unit_no, d.season, count(*) AS n, min(s.shot_no) AS first FROM scened s JOIN d ON d.novel_id = s.novel_id AND d.name = s.scene GROUP BY ALL)
 SELECT novel_id, unit_no, arg_min(season, {{'n': -n, 'f': first}}) AS season FROM c GROUP BY ALL""",
 )
 def b5(spark, sf_dir):
-    texts = novels(spark, sf_dir)
-    return project.unit_season(scened(texts).withColumn("unit_no", F.floor(F.col("shot_no") / 10)), scene_descs(texts))
+    texts = plan.facts(novels(spark, sf_dir))
+    return project.unit_season(scened(texts).withColumn("unit_no", F.floor(F.col("shot_no") / 10)), plan.scenes_of(texts))
 
 
 @query(
@@ -198,3 +211,22 @@ def b6(spark, sf_dir):
     e = F.col("event_id")
     path = F.concat(F.lit("U"), (F.col("user_id") % 9).cast("string"), F.lit("_S"), F.lpad((e % 40).cast("string"), 3, "0"), F.lit("_v"), (e % 6).cast("string"), F.when(e % 17 == 0, ".jpg").otherwise(".png"))
     return project.asset_latest(table(spark, sf_dir, "events").select(path.alias("path"), F.col("event_type").alias("status"))).select("unit", "shot", "version", "path")
+
+
+_NAMED = r"regexp_matches(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$')"
+
+
+@query(
+    "b6_asset_report",
+    rf"""WITH a AS (SELECT 'U' || user_id % 9 || '_S' || lpad((event_id % 40)::VARCHAR, 3, '0') || '_v' || event_id % 6 || CASE WHEN event_id % 17 = 0 THEN '.jpg' ELSE '.png' END AS path, event_type AS status FROM events),
+r AS (SELECT regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 1) AS unit, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 2) AS shot, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 3)::INT AS version, min(status) AS status FROM a WHERE {_NAMED} GROUP BY ALL),
+l AS (SELECT unit, shot, arg_max(status, version) AS status FROM r GROUP BY ALL), w AS (SELECT DISTINCT 'U' || user_id % 12 AS unit, 'S' || lpad((event_id % 40)::VARCHAR, 3, '0') AS shot FROM events)
+SELECT unit, count(*) AS wanted, count(*) FILTER (status IS NOT NULL AND status <> 'click') AS done, count(*) FILTER (status = 'click') AS redo, count(*) FILTER (status IS NULL) AS pending FROM w LEFT JOIN l USING (unit, shot) GROUP BY unit""",
+)
+def b6_report(spark, sf_dir):
+    """Pictures of nine units; twelve are wanted. Of files of one version the first status by name counts."""
+    e, events = F.col("event_id"), table(spark, sf_dir, "events")
+    path = F.concat(F.lit("U"), (F.col("user_id") % 9).cast("string"), F.lit("_S"), F.lpad((e % 40).cast("string"), 3, "0"), F.lit("_v"), (e % 6).cast("string"), F.when(e % 17 == 0, ".jpg").otherwise(".png"))
+    files = events.select(path.alias("path"), F.col("event_type").alias("status")).groupBy("path").agg(F.min("status").alias("status"))
+    wanted = events.select(F.concat(F.lit("U"), (F.col("user_id") % 12).cast("string")).alias("unit"), F.concat(F.lit("S"), F.lpad((e % 40).cast("string"), 3, "0")).alias("shot"))
+    return project.asset_report(wanted, files, ("click",))

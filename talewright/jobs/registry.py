@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, people_queries, project_queries, shot_queries, source_queries, text_queries  # noqa: F401
+from . import audit_queries, desc_queries, people_queries, project_queries, shot_queries, source_queries, text_queries  # noqa: F401
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

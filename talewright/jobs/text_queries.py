@@ -9,43 +9,23 @@ from talewright.functions import lexicon as lex
 from talewright.functions import segment
 from talewright.operators import classify
 
-from .catalog import NOVELS_SQL, novels, query, table
-
-TARGET = 17  # round(260 / 60 * 4) characters a shot
-
-_STARTER_SQL = r"^\s*(第\s*[0-9一二三四五六七八九十百零〇]+\s*[章節回篇]|【|——|─|[0-9]+[、.．]|[（(][0-9]+[)）]|[-*+]\s|#)"
-_CLEAN_SQL = "regexp_replace(translate(translate(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(65279), ''), chr(12288), ' '), '[ \\t]+', ' ', 'g')"
-_PREV = r"regexp_extract(acc, '[^\n]*$')"
-_JOIN_SQL = f"""list_reduce(string_split({_CLEAN_SQL}, chr(10)), lambda acc, ln: CASE
-  WHEN {_PREV} <> '' AND trim(ln, ' ') <> '' AND NOT regexp_matches({_PREV}, '[。！？…」』：；、,;:]$') AND NOT regexp_matches(ln, '{_STARTER_SQL}') AND NOT regexp_matches({_PREV}, '{_STARTER_SQL}')
-  THEN acc || CASE WHEN regexp_matches({_PREV}, '[A-Za-z0-9]$') AND regexp_matches(trim(ln, ' '), '^[A-Za-z0-9]') THEN ' ' ELSE '' END || trim(ln, ' ')
-  ELSE acc || chr(10) || ln END)"""
-_NORM_SQL = f"""trim(regexp_replace(regexp_replace(regexp_replace({_JOIN_SQL}, '(?m)^[ \\t]*[-—=*_#~]{{3,}}[ \\t]*$', chr(10), 'g'),
-  '(?m)^[ \\t]*第[ \\t]*[0-9一二三四五六七八九十百零〇]+[ \\t]*[章節回篇].*$', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"""
-
+from .catalog import JOIN_SQL, NORM_SQL, NOVELS_SQL, PACK_SQL, SENTENCES_SQL, TARGET, hard_split_sql, novels, query, table
 
 def _docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("novel_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query("tx1_normalize_text", f"SELECT doc_id AS novel_id, {_NORM_SQL} AS text FROM documents")
+@query("tx1_normalize_text", f"SELECT doc_id AS novel_id, {NORM_SQL} AS text FROM documents")
 def tx1(spark, sf_dir):
     return segment.normalize(_docs(spark, sf_dir))
 
 
-@query("tx2_join_wrapped_lines", f"SELECT doc_id AS novel_id, {_JOIN_SQL} AS joined FROM documents")
+@query("tx2_join_wrapped_lines", f"SELECT doc_id AS novel_id, {JOIN_SQL} AS joined FROM documents")
 def tx2(spark, sf_dir):
     rows = _docs(spark, sf_dir).withColumn("text", segment.clean_start(F.col("text")))
     return segment.arrow_column(rows, "text", "joined", "string", segment.join_wrapped).select("novel_id", "joined")
 
 
-_Q0 = "[「『][^「」『』]*[」』]"
-_Q1 = f"[「『][^「」『』]*(?:{_Q0}[^「」『』]*)*[」』]"
-_Q2 = f"[「『][^「」『』]*(?:{_Q1}[^「」『』]*)*[」』]"
-_SENTENCE = rf"(?s)(?:{_Q2}|[「『].*$|[^「『。！？!?…\n.]+|\.)*?(?:[。！？!?…\n]|\.(?:\s|$)|$)"
-SENTENCES_SQL = NOVELS_SQL + f", sents AS (SELECT novel_id, list_filter(list_transform(regexp_extract_all(text, '{_SENTENCE}'), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '') AS s FROM novels)"
-
-
 @query("tx3_split_sentences", f"WITH {SENTENCES_SQL} SELECT novel_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_no FROM sents")
 def tx3(spark, sf_dir):
     rows = segment.arrow_column(novels(spark, sf_dir).select("novel_id", "text"), "text", "s", "array<string>", segment.split_sentences)
@@ -70,21 +50,18 @@ def tx4(spark, sf_dir):
     return rows.select("novel_id", F.size(F.filter("s", lambda x: x.rlike(lex.CREDITS))).cast("long").alias("n_credits"), (F.size("s") > 0).alias("has_body"))
 
 
-_PACK_SQL = f"""packs AS (
-  SELECT novel_id, list_reduce(list_transform(s, lambda x: {{'buf': x, 'out': []::VARCHAR[]}}), lambda a, x: CASE
-    WHEN length(a.buf) >= 0.7 * {TARGET} OR (length(a.buf) + length(x.buf) > 2 * {TARGET} AND length(a.buf) >= 0.5 * {TARGET}) THEN {{'buf': x.buf, 'out': list_append(a.out, a.buf)}}
-    ELSE {{'buf': a.buf || x.buf, 'out': a.out}} END) AS r FROM sents WHERE len(s) > 0
-), chunks AS (SELECT novel_id, list_append(r.out, r.buf) AS c FROM packs)"""
-
-
-@query("tx5_pack_shots", f"WITH {SENTENCES_SQL}, {_PACK_SQL} SELECT novel_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS chunk_no FROM chunks")
+@query("tx5_pack_shots", f"WITH {SENTENCES_SQL}, {PACK_SQL} SELECT novel_id, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS chunk_no FROM chunks")
 def tx5(spark, sf_dir):
     rows = novels(spark, sf_dir).select("novel_id", "text")
     rows = segment.arrow_column(rows, "text", "c", "array<string>", lambda t: segment.pack(segment.split_sentences(t), TARGET))
     return rows.select("novel_id", F.posexplode("c").alias("chunk_no", "chunk"))
 
 
-@query("tx6_hard_split")
+@query(
+    "tx6_hard_split",
+    f"""WITH l AS (SELECT doc_id AS novel_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents), p AS (SELECT novel_id, line_no, {hard_split_sql('line', 40)} AS parts FROM l)
+SELECT novel_id, line_no, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS part_no FROM p""",
+)
 def tx6(spark, sf_dir):
     """The lines of the documents as they are, cut near 40 characters."""
     lines = _docs(spark, sf_dir).select("novel_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -153,13 +130,13 @@ def _pool_sql(era: str, h: str) -> str:
     return f"[{', '.join(repr(s) for s in pool)}][1 + {h} % {len(pool)}]"
 
 
-_CL4_HASH = hash_sql("substring(text, 1, 200)")
+def season_for_sql(text: str, era: str) -> str:
+    """The season of a text, else one of its era's pool by the hash of its start."""
+    season, h = season_sql(text), hash_sql(f"substring({text}, 1, 200)")
+    return f"CASE WHEN {season} <> '' THEN {season} WHEN {era} = '古裝' THEN {_pool_sql('古裝', h)} WHEN {era} = '近代' THEN {_pool_sql('近代', h)} ELSE {_pool_sql('現代', h)} END"
 
 
-@query(
-    "cl4_season_for_novel",
-    f"WITH {NOVELS_SQL}, f AS (SELECT novel_id, {era_sql()} AS era, {season_sql()} AS season, {_CL4_HASH} AS h FROM novels WHERE text <> '') SELECT novel_id, CASE WHEN season <> '' THEN season WHEN era = '古裝' THEN {_pool_sql('古裝', 'h')} WHEN era = '近代' THEN {_pool_sql('近代', 'h')} ELSE {_pool_sql('現代', 'h')} END AS season FROM f",
-)
+@query("cl4_season_for_novel", f"WITH {NOVELS_SQL}, f AS (SELECT novel_id, text, {era_sql()} AS era FROM novels WHERE text <> '') SELECT novel_id, {season_for_sql('text', 'era')} AS season FROM f")
 def cl4(spark, sf_dir):
     rows = novels(spark, sf_dir).where("text <> ''")
     return rows.select("novel_id", classify.season_for_novel(F.col("text"), classify.detect_era(F.col("text"))).alias("season"))
@@ -177,22 +154,28 @@ def hash1(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("source IS NOT NULL").select("source").distinct().select("source", h.alias("hash"), (h % 7).alias("pick"))
 
 
-_GARBLED = r"length(regexp_replace(t, '\s', '', 'g'))"
+# What bytes of a double-byte text look like when they are read as Western ones: accented letters, signs and quotes.
+ODD = "[\u201a\u0192\u201e\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178\u00a0-\u00ff]"
+#: Documents as they are, and as they look when their UTF-8 bytes are read as Latin ones, by turns.
+_READ_SQL = "regexp_replace(CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE replace(replace(replace(coalesce(text, ''), 'e', 'Ã©'), 'a', 'Ã¤'), 'o', 'Ã¶') END, '\\s', '', 'g')"
 
 
 @query(
     "src6_looks_garbled",
-    r"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s', '', 'g') AS t FROM documents)
-SELECT doc_id, length(t) >= 200 AND len(regexp_extract_all(t, '[一-鿿]')) <= 0.1 * length(t) AND len(regexp_extract_all(t, '[^\p{L}\p{N}一-鿿，。,.!?;:、]')) > 0.05 * length(t) AND len(regexp_extract_all(t, '[A-Za-z]')) < 0.6 * length(t) AS garbled FROM x""",
+    f"""WITH x AS (SELECT doc_id, {_READ_SQL} AS t FROM documents)
+SELECT doc_id, length(t) >= 200 AND len(regexp_extract_all(t, '[一-鿿]')) <= 0.1 * length(t) AND len(regexp_extract_all(t, '{ODD}')) > 0.05 * length(t) AND len(regexp_extract_all(t, '[A-Za-z]')) < 0.6 * length(t) AS garbled FROM x""",
 )
 def src6(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", looks_garbled(F.coalesce("text", F.lit(""))).alias("garbled"))
+    text = F.coalesce("text", F.lit(""))
+    read = F.replace(F.replace(F.replace(text, F.lit("e"), F.lit("Ã©")), F.lit("a"), F.lit("Ã¤")), F.lit("o"), F.lit("Ã¶"))
+    return table(spark, sf_dir, "documents").select("doc_id", looks_garbled(F.when(F.col("doc_id") % 2 == 0, text).otherwise(read)).alias("garbled"))
 
 
 def looks_garbled(text):
+    """SRC6: whether a text looks like one that was read in a wrong encoding: long, hardly any Han, many odd signs, few letters."""
     t = F.regexp_replace(text, "\\s", "")
     n = F.length(t)
-    return (n >= 200) & (F.regexp_count(t, F.lit("[一-鿿]")) <= 0.1 * n) & (F.regexp_count(t, F.lit(r"[^\p{L}\p{N}一-鿿，。,.!?;:、]")) > 0.05 * n) & (F.regexp_count(t, F.lit("[A-Za-z]")) < 0.6 * n)
+    return (n >= 200) & (F.regexp_count(t, F.lit("[一-鿿]")) <= 0.1 * n) & (F.regexp_count(t, F.lit(ODD)) > 0.05 * n) & (F.regexp_count(t, F.lit("[A-Za-z]")) < 0.6 * n)
 
 
 @query(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from talewright.functions import lexicon as lex
+from talewright.functions.lexicon import DEFAULT, Lexicon
 
 
 def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def guess_style(text: Column, chosen: Column | None = None) -> Column:
+def guess_style(text: Column, chosen: Column | None = None, lex: Lexicon = DEFAULT) -> Column:
     """The style with most hits, the earlier on ties, else the default; a valid choice of the caller's wins."""
     counts = [hits(text, p) for _, p in lex.STYLES]
     most = F.greatest(*counts)
@@ -24,12 +26,12 @@ def guess_style(text: Column, chosen: Column | None = None) -> Column:
     return style
 
 
-def detect_era(text: Column) -> Column:
+def detect_era(text: Column, lex: Lexicon = DEFAULT) -> Column:
     modern, weak = hits(text, lex.ERA_MODERN), hits(text, lex.ERA_WEAK)
     return F.when(text.rlike(lex.ERA_CERTAIN), "古裝").when(text.rlike(lex.ERA_NEAR) & (modern == 0), "近代").when((weak >= 3) & (weak > modern), "古裝").otherwise("現代")
 
 
-def season_scores(text: Column) -> list[Column]:
+def season_scores(text: Column, lex: Lexicon = DEFAULT) -> list[Column]:
     out = []
     for _, _, groups in lex.SEASONS:
         score = F.lit(0)
@@ -39,9 +41,9 @@ def season_scores(text: Column) -> list[Column]:
     return out
 
 
-def detect_season(text: Column) -> Column:
+def detect_season(text: Column, lex: Lexicon = DEFAULT) -> Column:
     """Phrase of the season with the highest score, in the order winter, spring, summer, autumn on ties; else empty."""
-    scores = season_scores(text)
+    scores = season_scores(text, lex)
     most = F.greatest(*scores)
     season = F.when(most == 0, "")
     for (_, phrase, _), s in zip(lex.SEASONS, scores, strict=True):
@@ -49,7 +51,7 @@ def detect_season(text: Column) -> Column:
     return season
 
 
-def has_modern_tech(text: Column) -> Column:
+def has_modern_tech(text: Column, lex: Lexicon = DEFAULT) -> Column:
     return text.rlike(lex.MODERN_TECH)
 
 
@@ -73,16 +75,14 @@ def pick(values: list[str] | tuple[str, ...], seed: Column, salt: str, rank: Col
     return F.element_at(F.array(*(F.lit(v) for v in values)), (at + 1).cast("int"))
 
 
-def era_allows(value: str, era: str, modern_tech: bool = True) -> bool:
-    import re
-
+def era_allows(value: str, era: str, modern_tech: bool = True, lex: Lexicon = DEFAULT) -> bool:
     ban = dict(lex.ERA_BAN).get(era)
     return not (ban and re.search(ban, value)) and (modern_tech or not re.search(lex.MODERN_BAN, value))
 
 
-def season_for_novel(text: Column, era: Column) -> Column:
+def season_for_novel(text: Column, era: Column, lex: Lexicon = DEFAULT) -> Column:
     """The season found in the text, else one of the era's pool that the first 200 characters choose."""
-    found = detect_season(text)
+    found = detect_season(text, lex)
     chosen = F.lit("")
     for name in ("古裝", "近代", "現代"):
         pool = [s for s, eras in lex.SEASON_POOL if name in eras.split()]

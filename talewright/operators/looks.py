@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talewright.functions import lexicon as lex
+from talewright.functions.lexicon import DEFAULT, Lexicon
+from talewright.functions.segment import arrow_column
 
 from .classify import era_allows, stable_hash
 
@@ -14,27 +16,36 @@ CLAUSE_MARKS = "[。！？，、；：\n「」『』（）]"
 ERAS = ("古裝", "近代", "現代")
 
 
-def appearance_hints(novels: DataFrame, people: DataFrame) -> DataFrame:
+def _cast(people: DataFrame) -> DataFrame:
+    """(novel_id, _p): the names of a novel's few people, so that a text meets them all in its own row."""
+    return people.groupBy("novel_id").agg(F.sort_array(F.collect_set("name")).alias("_p"))
+
+
+def appearance_hints(novels: DataFrame, people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """(novel_id, name, hints): what the clauses that hold the name say of a look, in the order of the rules."""
-    clauses = F.split("text", CLAUSE_MARKS)
-    joined = novels.select("novel_id", clauses.alias("c")).join(people.select("novel_id", "name"), "novel_id")
-    near = joined.select("novel_id", "name", F.array_join(F.filter("c", lambda x: F.contains(x, F.col("name"))), "｜").alias("near"))
+    joined = novels.select("novel_id", F.split("text", CLAUSE_MARKS).alias("c")).join(_cast(people), "novel_id")
+    near = F.transform("_p", lambda n: F.struct(n.alias("name"), F.array_join(F.filter("c", lambda x: F.contains(x, n)), "｜").alias("near")))
+    rows = joined.select("novel_id", F.explode(near).alias("n")).select("novel_id", "n.*")
     hints = F.array_compact(F.array(*(F.when(F.col("near").rlike(p), h) for p, h in lex.APPEARANCE)))
-    return near.select("novel_id", "name", F.array_join(hints, "，").alias("hints"))
+    return rows.select("novel_id", "name", F.array_join(hints, "，").alias("hints"))
 
 
-def age_and_job(novels: DataFrame, people: DataFrame) -> DataFrame:
+def age_and_job(novels: DataFrame, people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """(novel_id, name, age, job) from the contexts of the first six mentions, 12 characters to either side.
 
     job: the longest role that the name ends in, else the role right after the first mention, else the first role word of the
     lexicon, no kin, in the contexts.
     """
-    rows = novels.select("novel_id", "text").join(people.select("novel_id", "name"), "novel_id").where(F.expr("contains(text, name)"))
-    rows = rows.withColumn("pieces", F.split("text", F.concat(F.lit("\\Q"), "name", F.lit("\\E")), 8))
-    # piece i lies between mentions i - 1 and i; a context may reach over a neighbouring mention
-    ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size("pieces") - 1)), lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length("name"))
-    near = F.array_join(F.transform(ends, lambda k: F.substring("text", F.greatest(k - 12, F.lit(0)) + 1, F.length("name") + 12 + F.least(k, F.lit(12)))), "｜")
-    rows = rows.withColumn("near", near).withColumn("after", F.substring(F.element_at("pieces", 2), 1, 4))
+    joined = novels.select("novel_id", "text").join(_cast(people), "novel_id")
+
+    def around(n: Column) -> Column:
+        pieces = F.split("text", F.concat(F.lit("\\Q"), n, F.lit("\\E")), 8)
+        # piece i lies between mentions i - 1 and i; a context may reach over a neighbouring mention
+        ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(pieces) - 1)), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length(n))
+        near = F.array_join(F.transform(ends, lambda k: F.substring("text", F.greatest(k - 12, F.lit(0)) + 1, F.length(n) + 12 + F.least(k, F.lit(12)))), "｜")
+        return F.struct(n.alias("name"), near.alias("near"), F.substring(F.element_at(pieces, 2), 1, 4).alias("after"))
+
+    rows = joined.select("novel_id", F.explode(F.transform(F.filter("_p", lambda n: F.contains(F.col("text"), n)), around)).alias("n")).select("novel_id", "n.*")
     age = F.coalesce(*(F.when(F.contains("near", F.lit(a)), a) for a in lex.AGES), F.lit(""))
     by_length = sorted(lex.ROLES, key=lambda r: -len(r))
     suffix = [F.when(F.endswith("name", F.lit(r)) & (F.length("name") > len(r)), r) for r in by_length]
@@ -44,19 +55,22 @@ def age_and_job(novels: DataFrame, people: DataFrame) -> DataFrame:
     return rows.select("novel_id", "name", age.alias("age"), F.coalesce(*suffix, *after, *close, F.lit("")).alias("job"))
 
 
-def allowed(kind: str, era: str, sex: str, modern_tech: bool) -> list[str]:
+def allowed(kind: str, era: str, sex: str, modern_tech: bool, lex: Lexicon = DEFAULT) -> list[str]:
     """D5 for one pool: its values for era and sex without those that the era bans, or modern things where there are none."""
-    return [v for k, e, s, values in lex.POOLS if k == kind and e in ("", era) and s in ("n", sex) for v in values if era_allows(v, era, modern_tech)]
-
-
-def pools_by_era() -> list[tuple[str, str, int, str]]:
-    return [(k, e, i, v) for k, only, _, values in lex.POOLS for e in ERAS if only in ("", e) for i, v in enumerate(values)]
-
-
-def era_filter(pools: DataFrame, modern_tech: bool) -> DataFrame:
-    """Pools (pool, era, ord, value) without the values that their era bans."""
-    bans = pools.sparkSession.createDataFrame([(e, p if modern_tech else f"{p}|{lex.MODERN_BAN}") for e, p in lex.ERA_BAN], "era string, ban string")
-    return pools.join(F.broadcast(bans), "era").where(~F.regexp_like("value", F.col("ban"))).drop("ban")  # a row for each era
+    return [v for k, e, s, values in lex.POOLS if k == kind and e in ("", era) and s in ("n", sex) for v in values if era_allows(v, era, modern_tech, lex)]
+
+
+def era_filter(era: Column, modern_tech: Column, lex: Lexicon = DEFAULT) -> Column:
+    """Array of (pool, ord, value): of all pools the values for an era, without those that it bans, or modern things where
+    there are none. The lexicon's pools are filtered when the plan is made; a row only chooses."""
+    kind = "array<struct<pool:string,ord:int,value:string>>"
+    out = F.array().cast(kind)
+    for e in ERAS:
+        for modern in (False, True):
+            every = [(k, i, v) for k, only, _, values in lex.POOLS if only in ("", e) for i, v in enumerate(values) if era_allows(v, e, modern, lex)]
+            listed = F.array(*(F.struct(F.lit(k).alias("pool"), F.lit(i).alias("ord"), F.lit(v).alias("value")) for k, i, v in every)).cast(kind)
+            out = F.when((era == e) & (modern_tech == F.lit(modern)), listed).otherwise(out)
+    return out
 
 
 def fnv(text: str) -> int:
@@ -69,30 +83,43 @@ def fnv(text: str) -> int:
     return h ^ h >> 16
 
 
-def suggest_look(people: DataFrame) -> DataFrame:
-    """D3: (novel_id, name, hair, face, eyes, mark, outfit) of people with rank, gender, era and modern: hash-chosen, and all
-    but the eyes without a repeat within a novel while the pools last. One small group per novel, in the order of rank."""
+def outfits(name: str, era: str, sex: str, modern: bool, style: str, lex: Lexicon = DEFAULT) -> list[str]:
+    """The outfits to choose from: those of the first calling that the name shows, as far as the era allows them; else, but for the
+    old era, those of the style; else those of the era."""
+    for pattern, values in lex.ROLE_OUTFITS:
+        if re.search(pattern, name) and (some := [v for v in values if era_allows(v, era, modern, lex)]):
+            return some
+    some = [v for v in dict(lex.STYLE_OUTFITS).get(style, ()) if era_allows(v, era, modern, lex)] if era != ERAS[0] else []
+    return some or allowed("outfit", era, sex, modern, lex)
+
+
+#: Parts of a look, and how far a person's rank moves the choice of each.
+PARTS = (("hair", 1), ("face", 1), ("eyes", 2), ("mark", 5), ("outfit", 1))
 
-    def dress(t: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, set[str]] = {}
+
+def suggest_look(people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+    """D3: (novel_id, name, hair, face, eyes, mark, outfit) of people with rank, gender, era, modern and style: hash-chosen, and
+    all but the eyes without a repeat within a novel while the pools last. The few people of a novel are dressed in one row, in the
+    order of rank."""
+    pools = {(k, e, s, m): allowed(k, e, s, m, lex) or [""] for k, _ in PARTS for e in ERAS for s in "fm" for m in (False, True)}
+
+    def dress(cast: list[dict]) -> list[list[str]]:
+        taken: dict[str, set[str]] = {k: set() for k, _ in PARTS}
         rows = []
-        for p in t.sort_values("rank").itertuples():
-            sex, look = ("f" if p.gender == "f" else "m"), []
-            for kind, step in (("hair", 1), ("face", 1), ("eyes", 2), ("mark", 5), ("outfit", 1)):
-                pool = allowed(kind, p.era, sex, bool(p.modern)) or [""]
-                at = (fnv(f"{p.name}#{kind}") + p.rank * step) % len(pool)
-                if kind != "eyes":
-                    used = taken.setdefault(kind, set())
-                    for _ in pool:
-                        if pool[at] not in used:
-                            break
-                        at = (at + 1) % len(pool)
-                    used.add(pool[at])
-                look.append(pool[at])
-            rows.append((p.novel_id, p.name, *look))
-        return pd.DataFrame(rows, columns=["novel_id", "name", "hair", "face", "eyes", "mark", "outfit"])
-
-    return people.select("novel_id", "rank", "name", "gender", "era", "modern").groupBy("novel_id").applyInPandas(dress, "novel_id long, name string, hair string, face string, eyes string, mark string, outfit string")
+        for p in cast:
+            sex, look = ("f" if p["gender"] == "f" else "m"), []
+            for kind, step in PARTS:
+                pool = outfits(p["name"], p["era"], sex, p["modern"], p["style"], lex) or [""] if kind == "outfit" else pools[kind, p["era"], sex, p["modern"]]
+                at = (fnv(f"{p['name']}#{kind}") + p["rank"] * step) % len(pool)
+                turn = pool[at:] + pool[:at]
+                look.append(next((v for v in turn if v not in taken[kind]), turn[0]) if kind != "eyes" else turn[0])
+                taken[kind].add(look[-1])
+            rows.append([p["name"], *look])
+        return rows
+
+    cast = people.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "gender", "era", "modern", "style"))).alias("p"))  # the people of one novel
+    rows = arrow_column(cast, "p", "l", "array<array<string>>", dress).select("novel_id", F.explode("l").alias("l"))
+    return rows.select("novel_id", *(F.col("l")[i].alias(n) for i, n in enumerate(("name", *(k for k, _ in PARTS)))))
 
 
 def draft_person_desc(p: DataFrame) -> DataFrame:
@@ -111,24 +138,20 @@ def _choose(values_by_case: list[tuple[object, list[str]]], h) -> object:
     return out
 
 
-def scene_pool(pairs, kind: str, era: str, nature: bool = False) -> list[str]:
-    every = list(dict(pairs)[kind])
-    some = [v for v in every if era_allows(v, era)]
-    if nature:
-        import re
-
-        some = [v for v in some if not re.search(lex.URBAN_LIGHT, v)]
-    return some or every
+def scene_pool(values: tuple[str, ...], era: str, ban: str = "", lex: Lexicon = DEFAULT) -> list[str]:
+    """The values that an era allows, without those that ban matches where some are left; all if none is."""
+    some = [v for v in values if era_allows(v, era, lex=lex)]
+    return [v for v in some if not (ban and re.search(ban, v))] or some or list(values)
 
 
-def draft_scene_desc(places: DataFrame) -> DataFrame:
-    """Desc of places with name, rank, type, era and season: texture, light and season; natural places get no town light."""
-    cases = [(t, e) for t in ("室內", "室外") for e in ERAS]
+def draft_scene_desc(places: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+    """Desc of places with name, rank, type, era and season: texture, light and season. The texture is that of the place's
+    name where there is one, else one of its type that belongs to no other place; natural places get no town light."""
     on = lambda t, e: (F.col("type") == t) & (F.col("era") == e)
-    texture = _choose([(on(t, e), scene_pool(lex.SCENE_TEXTURE, t, e)) for t, e in cases], stable_hash(F.concat("name", F.lit("#tex"))) + F.col("rank"))
-    for pattern, value in reversed(lex.SCENE_BY_NAME):
-        texture = F.when(F.col("name").rlike(pattern), value).otherwise(texture)
+    seeded = lambda salt: stable_hash(F.concat("name", F.lit(f"#{salt}"))) + F.col("rank")
+    texture = _choose([(on(t, e), scene_pool(values, e, lex.PLACE_SPECIFIC, lex)) for t, values in lex.SCENE_TEXTURE for e in ERAS], seeded("tex"))
+    for pattern, values in reversed(lex.SCENE_BY_NAME):
+        texture = F.when(F.col("name").rlike(pattern), _choose([(F.col("era") == e, scene_pool(values, e, "", lex)) for e in ERAS], seeded("name"))).otherwise(texture)
     nature = F.col("name").rlike(lex.NATURE)
-    h = stable_hash(F.concat("name", F.lit("#slight"))) + F.col("rank")
-    light = _choose([(on(t, e) & (nature == F.lit(n)), scene_pool(lex.SCENE_LIGHT, t, e, n)) for t, e in cases for n in (False, True)], h)
+    light = _choose([(on(t, e) & (nature == F.lit(n)), scene_pool(values, e, lex.URBAN_LIGHT if n else "", lex)) for t, values in lex.SCENE_LIGHT for e in ERAS for n in (False, True)], seeded("slight"))
     return places.withColumn("desc", F.concat("name", F.lit("："), texture, F.lit("；"), light, F.lit("；"), F.col("season")))

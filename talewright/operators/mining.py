@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talewright.functions.lexicon import MAX_ENTRIES
+
+
+def alternatives(key: str) -> list[str]:
+    """The words that a key stands for: itself, or the alternatives of a regex."""
+    return [re.sub(r"[\\^$.*+?()\[\]{}]", "", part) for part in key.split("|")]
+
+
+def _words(lexicon: DataFrame) -> list[tuple[str, bool]]:
+    rows = lexicon.select("key", "is_regex").where("key <> ''").distinct().limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the lexicon has more than {MAX_ENTRIES} keys")
+    return [(r.key, bool(r.is_regex)) for r in rows]
+
+
+def _counts(texts: DataFrame, words: list[str], text_col: str) -> DataFrame:
+    """(word, n) of the words that the texts hold, not overlapping; the words are literals, so only counts leave a row."""
+    count = lambda w: F.struct(w.alias("word"), ((F.length(text_col) - F.length(F.replace(F.col(text_col), w, F.lit("")))) / F.length(w)).cast("long").alias("n"))
+    listed = F.array(*(F.lit(w) for w in words)).cast("array<string>")
+    return texts.select(F.explode(F.filter(F.transform(listed, count), lambda x: x["n"] > 0)).alias("c")).groupBy("c.word").agg(F.sum("c.n").alias("n"))
+
 
 def term_hits(texts: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
-    """M1: (list, key, hits) of every key over the corpus, zeros too.
+    """M1: (list, key, hits) of every key (list, key, is_regex) over the corpus, zeros too; of a regex the first alternative counts.
 
-    The keys ride along as one array (a lexicon is small by nature), so texts are scanned in place and only counts leave.
+    The keys become part of the plan (MAX_ENTRIES at most), so texts are scanned in place and only counts leave.
     """
-    keys = lexicon.select("key").distinct().agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    counts = texts.crossJoin(F.broadcast(keys)).select(F.explode(F.filter(F.transform("keys", lambda k: F.struct(k.alias("key"), ((F.length(text_col) - F.length(F.replace(F.col(text_col), k, F.lit("")))) / F.length(k)).cast("long").alias("n"))), lambda x: x["n"] > 0)).alias("c"))
-    sums = counts.groupBy("c.key").agg(F.sum("c.n").alias("hits"))
-    return lexicon.join(sums, "key", "left").select("list", "key", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+    words = {key: alternatives(key)[0] if regex else key for key, regex in _words(lexicon)}
+    of = F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,string>")
+    sums = _counts(texts, sorted({w for w in words.values() if w}), text_col)
+    return lexicon.withColumn("word", F.try_element_at(of, F.col("key"))).join(sums, "word", "left").select("list", "key", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
+
 
+def hit_rates(hits: DataFrame) -> DataFrame:
+    """M1 by list: (list, keys, hit, rate) of term hits; lists without a key are not there."""
+    return hits.groupBy("list").agg(F.count("*").alias("keys"), F.count_if(F.col("hits") > 0).alias("hit")).withColumn("rate", F.round(F.col("hit") / F.col("keys"), 6))
 
-def dead_entries(hits: DataFrame) -> DataFrame:
-    """M2: (list, key) of keys longer than one character without a hit."""
-    return hits.where((F.length("key") > 1) & (F.col("hits") == 0)).select("list", "key")
+
+def dead_entries(texts: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """M2: (list, key) of keys longer than one character without a hit; a regex lives if an alternative of more than one does."""
+    words = {key: [w for w in alternatives(key) if len(w) > 1] if regex else [key] for key, regex in _words(lexicon) if len(key) > 1}
+    alive = _counts(texts, sorted({w for some in words.values() for w in some}), text_col).select("word")
+    pairs = lexicon.sparkSession.createDataFrame([(k, w) for k, some in sorted(words.items()) for w in some], "key string, word string")
+    living = pairs.join(alive, "word", "left_semi").select("key").distinct()
+    return lexicon.where(F.length("key") > 1).join(living, "key", "left_anti").select("list", "key")
 
 
 def harvest_candidates(sentences: DataFrame, patterns: list[tuple[str, str]], known: DataFrame, least: int = 3, top: int = 40) -> DataFrame:
@@ -36,13 +68,15 @@ def harvest_candidates(sentences: DataFrame, patterns: list[tuple[str, str]], kn
     return fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("list", "word", "n", "rank")
 
 
-def mine_tagged_tokens(tokens: DataFrame, known: DataFrame, thresholds: dict[str, int]) -> DataFrame:
-    """M4: (list, word, n) from (doc_id, pos, word, flag): a noun before a speech verb (role), a place noun or a noun before a
-    locative (place), verbs (action) and adjectives (face)."""
+def mine_tagged_tokens(tokens: DataFrame, known: DataFrame, thresholds: dict[str, int], suffixes: str, manner: tuple[str, ...]) -> DataFrame:
+    """M4: (list, word, n) from (doc_id, pos, word, flag): a noun before a speech verb (role; of up to three characters, or with a
+    role's suffix), a place noun or a noun before a locative (place), verbs of two or three characters (action), adjectives and the
+    words after a word of manner (face)."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    after = F.lead("flag").over(w)
+    after, before = F.lead("flag").over(w), F.lag("word").over(w)
     noun = F.col("flag") == "n"
-    kind = F.when(noun & (after == "vs"), "role").when((F.col("flag") == "ns") | (noun & (after == "f")), "place").when((F.col("flag") == "v") & F.length("word").between(2, 8), "action").when(F.col("flag") == "a", "face")
+    role = noun & (after == "vs") & ((F.length("word") <= 3) | F.col("word").rlike(f"(?:{suffixes})$"))
+    kind = F.when(role, "role").when((F.col("flag") == "ns") | (noun & (after == "f")), "place").when((F.col("flag") == "v") & F.length("word").between(2, 3), "action").when((F.col("flag") == "a") | before.isin(*manner), "face")
     counts = tokens.withColumn("list", kind).where("list IS NOT NULL").groupBy("list", "word").agg(F.count("*").alias("n"))
     need = F.lit(1 << 30)
     for name, n in thresholds.items():
@@ -60,28 +94,50 @@ def concordance(sentences: DataFrame, terms: list[str], reach: int = 12) -> Data
     return first.select("term", F.concat(F.when(start > 1, "…").otherwise(""), F.substring("s", start, end - start), F.when(end <= F.length("s"), "…").otherwise("")).alias("example"))
 
 
+def numbered(rows: DataFrame, part: list, order: list) -> DataFrame:
+    """rows with ord, from 0 within each list, by the columns of part and then by those of order. Each part is numbered on its own
+    and begins where the ones before it end, so that no task sorts a whole list."""
+    cut = [c.alias(f"_p{i}") for i, c in enumerate(part)]
+    names = [f"_p{i}" for i in range(len(part))]
+    rows = rows.select("*", *cut)
+    sizes = rows.groupBy("list", *names).agg(F.count("*").alias("_n"))
+    begins = sizes.withColumn("_at", F.sum("_n").over(Window.partitionBy("list").orderBy(*names)) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("list", *names).orderBy(*order))
+    return rows.withColumn("_k", place).join(begins, ["list", *names]).withColumn("ord", F.col("_at") + F.col("_k") - 1).drop("_at", "_k", *names)
+
+
 def merge_lexicons(old: DataFrame, new: DataFrame) -> DataFrame:
     """M6: (list, ord, key, value): new entries first, one per key, plain keys given a close-up value, longest keys first. A list
-    without a new key stays as it is."""
+    without a new key stays as it is. Lists have no null names or keys."""
     fresh = new.join(old.select("list", "key"), ["list", "key"], "left_anti").select("list").distinct().withColumn("changed", F.lit(True))
-    rows = new.withColumn("src", F.lit(0)).unionByName(old.withColumn("src", F.lit(1))).join(F.broadcast(fresh), "list", "left")  # a row for each list
-    rows = rows.where(F.col("changed") | (F.col("src") == 1))
-    one = F.row_number().over(Window.partitionBy("list", "key").orderBy("src", "ord"))
-    rows = rows.withColumn("n", one).where("n = 1")
-    turn = F.row_number().over(Window.partitionBy("list").orderBy(F.when(F.col("changed"), -F.length("key")).otherwise(0), "src", "ord"))
-    return rows.select("list", (turn - 1).alias("ord"), "key", F.coalesce("value", F.concat("key", F.lit("特寫"))).alias("value"))
+    both = new.withColumn("src", F.lit(0)).unionByName(old.withColumn("src", F.lit(1))).join(F.broadcast(fresh), "list", "left")  # a row for each list
+    both = both.where(F.col("changed") | (F.col("src") == 1))
+    one = both.groupBy("list", "key").agg(F.min(F.struct("src", "ord", "value", "changed")).alias("e")).select("list", "key", "e.*")
+    rows = numbered(one.withColumnRenamed("ord", "was"), [F.when(F.col("changed"), -F.length("key")).otherwise(0), F.col("src")], ["was", "key"])
+    return rows.select("list", "ord", "key", F.coalesce("value", F.concat("key", F.lit("特寫"))).alias("value"))
 
 
 def lexicon_checks(lexicon: DataFrame) -> DataFrame:
-    """M7: (list, key, problem): repeated keys, empty keys, and keys that stand before a longer key that they are part of."""
+    """M7: (list, key, problem): repeated keys, empty keys, and keys that stand before a longer key that they are part of. Each key
+    brings its proper parts, which are joined by (list, key): a few rows for each character of the lexicon, never pairs of keys."""
     repeated = lexicon.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1").select("list", "key", F.lit("repeated").alias("problem"))
     empty = lexicon.where(F.trim("key") == "").select("list", "key", F.lit("empty").alias("problem"))
-    a, b = lexicon.select("list", F.col("ord").alias("ord_a"), "key"), lexicon.select("list", F.col("ord").alias("ord_b"), F.col("key").alias("longer"))
-    hidden = a.join(b, "list").where((F.col("ord_a") < F.col("ord_b")) & (F.length("longer") > F.length("key")) & F.contains("longer", F.col("key")) & (F.col("key") != ""))
-    return repeated.union(empty).union(hidden.select("list", "key", F.lit("hides a longer key").alias("problem")).distinct())
+    first = lexicon.where("key <> ''").groupBy("list", "key").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    n = F.length("key")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("key", i, k))))
+    longer = first.where(n > 1).select("list", F.explode(F.array_distinct(parts)).alias("key"), F.col("last").alias("ord_of_longer")).groupBy("list", "key").agg(F.max("ord_of_longer").alias("ord_of_longer"))
+    hidden = first.join(longer, ["list", "key"]).where(F.col("first") < F.col("ord_of_longer"))
+    return repeated.union(empty).union(hidden.select("list", "key", F.lit("hides a longer key").alias("problem")))
+
+
+#: Entries of an exported row at most.
+EXPORT = 1000
 
 
 def export_lexicon(lexicon: DataFrame) -> DataFrame:
-    """M8: (list, n, entries): each list as one JSON array in its order; lists are small by nature."""
-    rows = lexicon.groupBy("list").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("e"))
-    return rows.select("list", "n", F.to_json(F.transform("e", lambda x: x["key"])).alias("entries"))
+    """M8: (list, part, n, entries): each list (ord from 0 without gaps) in its order as JSON arrays of EXPORT keys. An empty list is no
+    list: it has no rows, and a lexicon without entries is an error."""
+    if lexicon.isEmpty():
+        raise ValueError("the lexicon is empty")
+    rows = lexicon.groupBy("list", F.floor(F.col("ord") / EXPORT).alias("part")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("e"))
+    return rows.select("list", "part", "n", F.to_json(F.transform("e", lambda x: x["key"])).alias("entries"))

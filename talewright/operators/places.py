@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talewright.functions import lexicon as lex
+from talewright.functions.lexicon import DEFAULT, Lexicon
 
 
-def place_counts(novels: DataFrame) -> DataFrame:
+def place_counts(novels: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """L1: (novel_id, name, n, first) of the lexicon's places that a text holds; a place within another counts for both.
 
     The lexicon is folded into the row, so a text is scanned but never copied per word.
@@ -26,7 +26,7 @@ def place_markers(novels: DataFrame) -> DataFrame:
     return scene.union(bracket).where("name <> ''").groupBy("novel_id", "name").agg(F.sum("n").alias("n"))
 
 
-def top_places(counts: DataFrame, limit: int = 6) -> DataFrame:
+def top_places(counts: DataFrame, limit: int = 6, lex: Lexicon = DEFAULT) -> DataFrame:
     """L3: (novel_id, rank, name, count, type): the most frequent, ties in the lexicon's order, then by name."""
     known = counts.sparkSession.createDataFrame([(p, t, i) for i, (p, t) in enumerate(lex.PLACES)], "name string, type string, ord int")
     sums = counts.groupBy("novel_id", "name").agg(F.sum("n").alias("count")).join(F.broadcast(known), "name", "left")  # a row for each place of the lexicon
@@ -35,5 +35,5 @@ def top_places(counts: DataFrame, limit: int = 6) -> DataFrame:
     return ranked.select("novel_id", "rank", "name", "count", F.coalesce("type", F.lit("室外")).alias("type"))
 
 
-def places(novels: DataFrame, limit: int = 6) -> DataFrame:
-    return top_places(place_counts(novels).unionByName(place_markers(novels)), limit)
+def places(novels: DataFrame, limit: int = 6, lex: Lexicon = DEFAULT) -> DataFrame:
+    return top_places(place_counts(novels, lex).unionByName(place_markers(novels)), limit, lex)

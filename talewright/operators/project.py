@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talewright.functions import lexicon as lex
+from talewright.functions.lexicon import DEFAULT, Lexicon
 
-
-
-def order():
-    return Window.partitionBy("novel_id").orderBy("shot_no")
 UNIT_MIN, UNIT_MAX, TAIL = 600, 900, 300
 
 
@@ -36,46 +32,52 @@ def unit_numbers(scene: list[str], tenths: list[int], least: int, most: int, tai
     return of, hard
 
 
-def plan_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
-    """(novel_id, unit_no, from_shot, to_shot, dur, hard) of shots with scene and dur: one fold along each novel."""
+def unit_of_shots(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
+    """(novel_id, unit, hard): of shots with scene and dur, per novel two arrays: the unit of each shot by its place, and whether
+    each unit ends in a hard cut. A fold along one novel's shots, which is one row of it; numbers and scenes only, no texts."""
+
+    def fold(batches):
+        for b in batches:
+            both = [unit_numbers([x["scene"] for x in t], [x["t"] for x in t], least, most, tail) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u for u, _ in both], pa.list_(pa.int32())), pa.array([h for _, h in both], pa.list_(pa.bool_()))], names=["novel_id", "unit", "hard"])
+
+    rows = shots.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("shot_no", "scene", tenths(F.col("dur")).alias("t")))).alias("s"))
+    return rows.mapInArrow(fold, "novel_id long, unit array<int>, hard array<boolean>")
+
+
+def with_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
+    """Shots (numbered from 0 without gaps, with scene and dur) with unit_no and hard, whether the unit ends in a hard cut."""
+    units = unit_of_shots(shots, least, most, tail)
+    rows = shots.join(units, "novel_id").withColumn("unit_no", F.get("unit", F.col("shot_no")))
+    return rows.withColumn("hard", F.get("hard", F.col("unit_no"))).drop("unit")
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("shot_no")
-        tenths = (t["dur"] * 10).round().astype("int64")
-        of, hard = unit_numbers(t["scene"].tolist(), tenths.tolist(), least, most, tail)
-        g = pd.DataFrame({"unit_no": of, "shot_no": t["shot_no"].to_numpy(), "t": tenths.to_numpy()}).groupby("unit_no")
-        out = g.agg(from_shot=("shot_no", "min"), to_shot=("shot_no", "max"), t=("t", "sum")).reset_index()
-        out.insert(0, "novel_id", t["novel_id"].iloc[0])
-        out["dur"], out["hard"] = out.pop("t") / 10, hard
-        return out
 
-    return shots.select("novel_id", "shot_no", "scene", "dur").groupBy("novel_id").applyInPandas(fold, "novel_id long, unit_no int, from_shot int, to_shot int, dur double, hard boolean")
+def units_of_shots(shots: DataFrame) -> DataFrame:
+    """(novel_id, unit_no, from_shot, to_shot, dur, hard) of shots with unit_no and hard."""
+    sums = shots.groupBy("novel_id", "unit_no").agg(F.min("shot_no").alias("from_shot"), F.max("shot_no").alias("to_shot"), (F.sum(tenths(F.col("dur"))) / 10).alias("dur"), F.max("hard").alias("hard"))
+    return sums.select("novel_id", "unit_no", "from_shot", "to_shot", "dur", "hard")
 
 
-def assign_unit(shots: DataFrame, units: DataFrame) -> DataFrame:
-    """Shots with unit_no, by a range join within the novel."""
-    u = units.select(F.col("novel_id").alias("_n"), "unit_no", "from_shot", "to_shot")
-    return shots.join(u, (F.col("novel_id") == F.col("_n")) & F.col("shot_no").between(F.col("from_shot"), F.col("to_shot"))).drop("_n", "from_shot", "to_shot")
+def plan_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
+    """(novel_id, unit_no, from_shot, to_shot, dur, hard) of shots with scene and dur."""
+    return units_of_shots(with_units(shots.select("novel_id", "shot_no", "scene", "dur"), least, most, tail))
 
 
 def tenths(column):
     return F.round(column * 10).cast("long")
 
 
-def novel_stats(shots: DataFrame, units: DataFrame) -> DataFrame:
-    """U2."""
-    n = units.groupBy("novel_id").agg(F.count("*").alias("units"))
-    s = shots.groupBy("novel_id").agg(F.count("*").alias("shots"), F.sum("n_chars").cast("long").alias("total_chars"), F.sum(tenths(F.col("dur"))).alias("t"))
-    return s.join(n, "novel_id", "left").select("novel_id", "shots", "total_chars", (F.col("t") / 10).alias("total_dur"), (F.floor(F.col("t") / 60 + 0.5) / 10).alias("minutes"), F.greatest(F.coalesce("units", F.lit(1)), F.lit(1)).cast("long").alias("units"))
+def novel_stats(shots: DataFrame) -> DataFrame:
+    """Of shots with unit_no."""
+    s = shots.groupBy("novel_id").agg(F.count("*").alias("shots"), F.sum("n_chars").cast("long").alias("total_chars"), F.sum(tenths(F.col("dur"))).alias("t"), (F.max("unit_no") + 1).cast("long").alias("units"))
+    return s.select("novel_id", "shots", "total_chars", (F.col("t") / 10).alias("total_dur"), (F.floor(F.col("t") / 60 + 0.5) / 10).alias("minutes"), "units")
 
 
-def unit_summary(shots: DataFrame, units: DataFrame, least: int = UNIT_MIN) -> DataFrame:
-    """Of shots with unit_no: per unit length, counts, first and last scene, start and end within the novel, flags."""
-    s = shots.groupBy("novel_id", "unit_no").agg(F.count("*").alias("shots"), F.sum("n_chars").cast("long").alias("chars"), F.sum(tenths(F.col("dur"))).alias("t"), F.min_by("scene", "shot_no").alias("first_scene"), F.max_by("scene", "shot_no").alias("last_scene"))
-    before = Window.partitionBy("novel_id").orderBy("unit_no")
-    end = F.sum("t").over(before)
-    s = s.withColumns({"start": (end - F.col("t")) / 10, "end": end / 10, "dur": F.col("t") / 10, "short": F.col("t") < least * 10}).drop("t")
-    return s.join(units.select("novel_id", "unit_no", "hard"), ["novel_id", "unit_no"])
+def unit_summary(shots: DataFrame, least: int = UNIT_MIN) -> DataFrame:
+    """Of shots with unit_no and hard: per unit length, counts, first and last scene, start and end within the novel, flags."""
+    s = shots.groupBy("novel_id", "unit_no").agg(F.count("*").alias("shots"), F.sum("n_chars").cast("long").alias("chars"), F.sum(tenths(F.col("dur"))).alias("t"), F.min_by("scene", "shot_no").alias("first_scene"), F.max_by("scene", "shot_no").alias("last_scene"), F.max("hard").alias("hard"))
+    end = F.sum("t").over(Window.partitionBy("novel_id").orderBy("unit_no"))
+    return s.withColumns({"start": (end - F.col("t")) / 10, "end": end / 10, "dur": F.col("t") / 10, "short": F.col("t") < least * 10}).drop("t")
 
 
 def pace_check(stats: DataFrame, wpm: int = 260) -> DataFrame:
@@ -104,6 +106,12 @@ def merge_cast(cast: DataFrame, persons: DataFrame) -> DataFrame:
     return cast.select("name", "role", "desc", "ref", "face", "body").unionByName(new)
 
 
+def merge_scenes(scenes: DataFrame, places: DataFrame) -> DataFrame:
+    """U8 for scenes: the project's, with new ones (body .65) for places whose name it lacks."""
+    new = places.join(scenes.select("name"), "name", "left_anti").select("name", "type", "desc", F.lit("").alias("ref"), F.lit(0.65).alias("body"))
+    return scenes.select("name", "type", "desc", "ref", "body").unionByName(new)
+
+
 def import_cast_cards(cast: DataFrame, cards: DataFrame) -> DataFrame:
     """Upsert by name; non-empty texts and given strengths of a card win. outcome: kept, updated or added."""
     c = cards.where("name <> ''").select("name", *(F.col(x).alias(f"c_{x}") for x in ("role", "desc", "ref", "face", "body")), F.lit(True).alias("card"))
@@ -113,25 +121,31 @@ def import_cast_cards(cast: DataFrame, cards: DataFrame) -> DataFrame:
     return m.select("name", text("role"), text("desc"), text("ref"), F.coalesce("c_face", "face", F.lit(0.85)).alias("face"), F.coalesce("c_body", "body", F.lit(0.5)).alias("body"), outcome.alias("outcome"))
 
 
+def shot_id(number: Column) -> Column:
+    """S001, S002 ... S1000: padded to three digits, never cut."""
+    return F.format_string("S%03d", number.cast("long"))
+
+
 def replace_unit_shots(project: DataFrame, incoming: DataFrame) -> DataFrame:
     """The project's shots (project_id, unit, seq, narr) without the units that come in, then the incoming ones, numbered
     anew S001, S002 ... within the project."""
     kept = project.join(incoming.select("project_id", "unit").distinct(), ["project_id", "unit"], "left_anti").withColumn("turn", F.lit(0))
     rows = kept.unionByName(incoming.withColumn("turn", F.lit(1)))
     n = F.row_number().over(Window.partitionBy("project_id").orderBy("turn", "unit", "seq"))
-    return rows.select("project_id", "unit", "seq", "narr", F.concat(F.lit("S"), F.lpad(n.cast("string"), 3, "0")).alias("shot_id"))
+    return rows.select("project_id", "unit", "seq", "narr", shot_id(n).alias("shot_id"))
 
 
-def build_prompt(shots: DataFrame, chars: DataFrame, scenes: DataFrame, style: str) -> DataFrame:
-    """B1 (after the documentation): description of the character and of the scene, lens and style, empty parts skipped."""
-    c = chars.select("novel_id", F.col("name").alias("who"), F.col("desc").alias("char_desc"))
-    s = scenes.select("novel_id", F.col("name").alias("scene"), F.col("desc").alias("scene_desc"))
-    part = lambda x: F.nullif(F.trim(F.coalesce(F.col(x), F.lit(""))), F.lit(""))
-    rows = shots.join(c, ["novel_id", "who"], "left").join(s, ["novel_id", "scene"], "left")
-    return rows.withColumn("prompt", F.concat_ws("\n\n", part("char_desc"), part("scene_desc"), part("lens"), F.nullif(F.lit(style), F.lit("")))).drop("char_desc", "scene_desc")
+def build_prompt(shots: DataFrame, chars: DataFrame, scenes: DataFrame, style: Column) -> DataFrame:
+    """B1 (after the documentation): shots with prompt: description of the character and of the scene, lens and style, empty parts
+    skipped. The descriptions of a novel's few characters and scenes travel as maps, so that no shot is joined to rows."""
+    of = lambda rows, name: rows.where("desc IS NOT NULL").groupBy("novel_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "desc"))).alias(name))
+    part = lambda x: F.nullif(F.trim(F.coalesce(x, F.lit(""))), F.lit(""))
+    rows = shots.join(of(chars, "_c"), "novel_id", "left").join(of(scenes, "_s"), "novel_id", "left")
+    prompt = F.concat_ws("\n\n", part(F.try_element_at("_c", F.col("who"))), part(F.try_element_at("_s", F.col("scene"))), part(F.col("lens")), part(style))
+    return rows.withColumn("prompt", prompt).drop("_c", "_s")
 
 
-def ref_strength(size, who):
+def ref_strength(size, who, lex: Lexicon = DEFAULT):
     """B2 (after the documentation): strengths of the references; the face only with a character."""
     face, body = F.lit(None).cast("double"), F.lit(None).cast("double")
     for name, f, b in lex.STRENGTHS:
@@ -143,17 +157,20 @@ def ref_strength(size, who):
     return F.struct(face.alias("face"), body.alias("body"), text.alias("text"))
 
 
-def timecode(shots: DataFrame) -> DataFrame:
-    """With start (seconds) and code m:ss, the time before each shot; the seconds may print as 60."""
-    t = F.coalesce(F.sum(tenths(F.col("dur"))).over(order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+def timecode(shots: DataFrame, within: tuple[str, ...] = ("novel_id",)) -> DataFrame:
+    """With start (seconds) and code m:ss, the time before each shot within the novel (or unit); the seconds may print as 60."""
+    before = Window.partitionBy(*within).orderBy("shot_no").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.coalesce(F.sum(tenths(F.col("dur"))).over(before), F.lit(0).cast("long"))
     return shots.withColumn("_t", t).withColumns({"start": F.col("_t") / 10, "code": F.concat(F.floor(F.col("_t") / 600).cast("string"), F.lit(":"), F.lpad(F.floor((F.col("_t") % 600) / 10 + 0.5).cast("string"), 2, "0"))}).drop("_t")
 
 
-def unit_cast(shots: DataFrame, people: DataFrame) -> DataFrame:
-    """Of shots with unit_no: (novel_id, unit_no, name, used) for every person of the novel and every unit."""
-    units = shots.select("novel_id", "unit_no").distinct()
-    used = shots.where("who <> ''").select("novel_id", "unit_no", F.col("who").alias("name")).distinct().withColumn("used", F.lit(True))
-    return units.join(people.select("novel_id", "name"), "novel_id").join(used, ["novel_id", "unit_no", "name"], "left").select("novel_id", "unit_no", "name", F.coalesce("used", F.lit(False)).alias("used"))
+def unit_cast(shots: DataFrame, people: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Of shots with unit_no: (novel_id, unit_no, kind, name, used) for every person and scene of the novel and every unit."""
+    every = people.select("novel_id", F.lit("person").alias("kind"), "name").unionByName(scenes.select("novel_id", F.lit("scene").alias("kind"), "name"))
+    of_novel = every.groupBy("novel_id").agg(F.collect_list(F.struct("kind", "name")).alias("every"))  # a few rows of one novel
+    units = shots.groupBy("novel_id", "unit_no").agg(F.collect_set("who").alias("person"), F.collect_set("scene").alias("scene")).join(of_novel, "novel_id")
+    used = F.when(F.col("x.kind") == "person", F.array_contains("person", F.col("x.name"))).otherwise(F.array_contains("scene", F.col("x.name")))
+    return units.select("novel_id", "unit_no", "person", "scene", F.explode("every").alias("x")).select("novel_id", "unit_no", "x.kind", "x.name", used.alias("used"))
 
 
 def unit_season(shots: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -169,3 +186,11 @@ def asset_latest(assets: DataFrame) -> DataFrame:
     rows = assets.where(F.col("path").rlike(name)).select(F.regexp_extract("path", name, 1).alias("unit"), F.regexp_extract("path", name, 2).alias("shot"), F.regexp_extract("path", name, 3).cast("int").alias("version"), "status", "path")
     last = F.row_number().over(Window.partitionBy("unit", "shot").orderBy(F.desc("version"), "path"))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+
+
+def asset_report(wanted: DataFrame, assets: DataFrame, redo: tuple[str, ...]) -> DataFrame:
+    """Per unit the wanted shots (unit, shot), those with a file, those whose latest status asks to do them again, and those that
+    are still to be made."""
+    rows = wanted.select("unit", "shot").distinct().join(asset_latest(assets).select("unit", "shot", "status"), ["unit", "shot"], "left")
+    again = F.col("status").isin(*redo)
+    return rows.groupBy("unit").agg(F.count("*").alias("wanted"), F.count_if(F.col("status").isNotNull() & ~again).alias("done"), F.count_if(again).alias("redo"), F.count_if(F.col("status").isNull()).alias("pending"))

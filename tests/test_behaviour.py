@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from talewright.functions import segment
@@ -88,9 +87,12 @@ def test_aliases_count_for_the_full_name(spark):
 
 
 def test_pronouns_go_to_the_nearest_name(spark):
-    mentions = spark.createDataFrame([(1, 0, 0, "甲"), (1, 10, 1, "乙")], "novel_id long, pos int, rank int, name string")
-    pronouns = spark.createDataFrame([(1, 5, "m"), (1, 15, "f"), (1, 16, "m"), (1, 60, "m")], "novel_id long, pos int, gender string")
-    assert {(r.name, r.gender) for r in people.gender_by_pronoun(mentions, pronouns).collect()} == {("甲", "m"), ("乙", "f")}
+    """A name's first pronoun decides; 其他 is none, and nothing is looked for beyond twenty characters."""
+    cast = spark.createDataFrame([(1, 0, "甲子"), (1, 1, "乙丑")], "novel_id long, rank int, name string")
+    text = "甲子坐下其他人他，後來乙丑來，她笑他" + "。" * 40 + "她"
+    assert {(r.name, r.gender) for r in people.gender_by_pronoun(_novel(spark, text), cast).collect()} == {("甲子", "m"), ("乙丑", "f")}
+    far = "甲子" + "，" * 19 + "她"
+    assert people.gender_by_pronoun(_novel(spark, far), cast).count() == 0 and people.gender_by_pronoun(_novel(spark, far[:2] + far[3:]), cast).count() == 1
 
 
 # -- shots
@@ -178,5 +180,5 @@ def test_docx_and_html_give_their_text():
 
 
 def test_runs_drawn_twice_count_once():
-    runs = pd.DataFrame([(0, 10, 700, "字"), (1, 10.5, 700, "字"), (2, 24, 699, "母"), (3, 10, 680, "二")], columns=["seq", "x", "y", "text"])
+    runs = [(0, 10, 700, "字"), (1, 10.5, 700, "字"), (2, 24, 699, "母"), (3, 10, 680, "二")]
     assert readers.page_text(runs) == "字母\n二"
