@@ -18,9 +18,11 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,9 @@ PENALTY = 10.0
 _UNITS = re.compile(f" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 #: Longer units are solved one at a time.
 LONG = 40
-#: Documents whose ids are put together at once.
-ROWS = 400
+#: Bytes of text that a task works on at once, and units that it remembers.
+SLICE = 1 << 20
+UNITS = 50_000
 _INF = float("-inf")
 
 
@@ -239,6 +242,58 @@ def combine(options: list[list[tuple[float, int]]], n: int) -> list[tuple[float,
     return sums
 
 
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about SLICE bytes of its column ``text``, one row at least."""
+    column = batch.column(text)
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(upto // SLICE, prepend=0)) if len(upto) else np.zeros(0, np.int64)
+    edges_ = [0, *(c for c in cuts.tolist() if c), batch.num_rows]
+    for a, b in zip(edges_, edges_[1:], strict=False):
+        if a < b or not batch.num_rows:
+            yield batch.slice(a, b - a)
+
+
+class _Known:
+    """The units that a task has solved, forgotten when there are more than UNITS of them."""
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.index = v, {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index.clear()
+        self.names: list[str] = []
+        self.score: list[float] = []
+        self.cost: list[float] = []
+        self.ids: list[np.ndarray] = []
+        self.others: dict[int, list[tuple[float, int]]] = {}
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The units of each text by number; new ones are solved together."""
+        if len(self.index) > UNITS:
+            self._forget()
+        first = len(self.index)
+        out = [np.fromiter((self.index.setdefault(u, len(self.index)) for u in units), np.int32, len(units)) for units in texts]
+        new = list(islice(self.index, first, None))
+        names = [_lattice_text(u) for u in new]
+        score, cost, ids = solve(self.v, names)
+        for i, u in enumerate(new):
+            if u == MARK:
+                ids[i] = np.array([self.v.byte[c] for c in MARK.encode()])
+        self.names += names
+        self.score += score.tolist()
+        self.cost += cost.tolist()
+        self.ids += ids
+        return out
+
+    def alternatives(self, u: int, n: int) -> list[tuple[float, int]]:
+        """(cost, tokens more) of the n best segmentations of a unit against the best."""
+        if u not in self.others:
+            found = n_best(self.v, self.names[u], n)
+            self.others[u] = [(found[0][0] - s, len(x) - len(found[0][1])) for s, x in found]
+        return self.others[u]
+
+
 def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids, n_tokens, scores, lengths and the columns to keep) of every row.
 
@@ -250,20 +305,18 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         kind = "<u2" if v.size <= 1 << 16 else "<u4"
-        for b in batches:
-            index: dict[str, int] = {}
-            docs_units = [np.fromiter((index.setdefault(u, len(index)) for u in (units_of(t) if t else ())), np.int32) for t in b.column(1).to_pylist()]
-            names = [_lattice_text(u) for u in index]
-            score, cost, ids = solve(v, names)
-            for i in (k for k, x in enumerate(names) if x == "\0" and MARK in index):
-                if i == index[MARK]:
-                    ids[i] = np.array([v.byte[c] for c in MARK.encode()])
+        known = _Known(v)
+        for b in (part for batch in batches for part in _slices(batch, 1)):
+            docs_units = known.numbers([units_of(t) if t else [] for t in b.column(1).to_pylist()])
+            used, at_used = np.unique(np.concatenate(docs_units), return_inverse=True) if docs_units else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            ids = [known.ids[u] for u in used.tolist()]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate(ids).astype(kind) if ids else np.zeros(0, kind)
             start = np.cumsum(size) - size
-            alternatives: dict[int, list[tuple[float, int]]] = {}
+            score, cost = (np.array([c[u] for u in used.tolist()]) for c in (known.score, known.cost))
+            ends = np.cumsum([len(u) for u in docs_units])
             out_ids, tokens, scores, lengths = [], [], [], []
-            for units in docs_units:
+            for units in np.split(at_used, ends[:-1]) if docs_units else ():
                 k = size[units]
                 total = int(k.sum())
                 at = np.repeat(start[units] - (np.cumsum(k) - k), k) + np.arange(total)
@@ -273,11 +326,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
                 if n > 1 and len(units):
                     c = cost[units]
                     cheap = np.argpartition(c, n - 1)[: n - 1] if len(c) > n - 1 else np.arange(len(c))
-                    for u in units[cheap[np.isfinite(c[cheap])]].tolist():
-                        if u not in alternatives:
-                            found = n_best(v, names[u], n)
-                            alternatives[u] = [(found[0][0] - s, len(x) - len(found[0][1])) for s, x in found]
-                        options.append(alternatives[u])
+                    options = [known.alternatives(u, n) for u in used[units[cheap[np.isfinite(c[cheap])]]].tolist()]
                 sums = combine(options, n)
                 best = float(score[units].sum())
                 scores.append([best - c for c, _ in sums])
@@ -299,7 +348,7 @@ def decode(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         kind = "<u2" if v.size <= 1 << 16 else "<u4"
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch, len(names))):
             texts = [None if x is None else b"".join(map(v.bytes.__getitem__, np.frombuffer(x, kind).tolist()))[1:].decode("utf-8", "replace") for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=[*names, text_col])
 
