@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
+#: Parts that the neighbours of a node are dealt to, so that a node with very many is no hot key.
+SALTS = 64
+
+
 def _hub(edges: DataFrame, both_ways: bool) -> DataFrame:
     """(src, dst, low): the edges with the least node among src and its neighbours.
 
-    ``src + 0`` hides the grouping from the planner, so both sides of the join get an exchange of their own and the
-    adaptive planner can split the rows of a node that has very many neighbours.
+    The least is found in two steps, of each part of the neighbours and then of the parts, and told to the parts that there are.
+    ``src + 0`` hides the grouping from the planner, so both sides of the join get an exchange of their own and the adaptive
+    planner can split a part that is still large.
     """
     sym = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both_ways else edges
-    low = sym.groupBy("src").agg(F.min("dst").alias("m")).select((F.col("src") + F.lit(0)).alias("node"), F.least("src", "m").alias("low"))
-    return sym.hint("merge").join(low, sym.src == low.node).select("src", "dst", "low")
+    sym = sym.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    parts = sym.groupBy("src", "salt").agg(F.min("dst").alias("m"))
+    low = parts.groupBy("src").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))  # SALTS at most
+    told = low.select((F.col("src") + F.lit(0)).alias("node"), F.explode("salts").alias("part"), F.least("src", "m").alias("low"))
+    return sym.hint("merge").join(told, (F.col("src") == F.col("node")) & (F.col("salt") == F.col("part"))).select("src", "dst", "low")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
