@@ -48,38 +48,51 @@ def values(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(f"([{NAME}-{UNIT}][^{END}]*{END}|{WORD})"), F.lit(1))
 
 
-def templates(values_col: str) -> Column:
-    """Tokens with names, numbers and units as placeholders."""
-    return F.transform(values_col, lambda x: F.when(x.between(NAME, END), F.substring(x, 1, 1)).otherwise(x))
+def template(value: Column) -> Column:
+    """A token with a name, number or unit as its placeholder."""
+    return F.when(value < NAME, value).otherwise(F.substring(value, 1, 1))
 
 
-def words(values_col: str) -> Column:
-    """Tokens with numbers and units as placeholders, and names as words."""
-    return F.transform(values_col, lambda x: F.when(x < NAME, x).when(x < NUMBER, F.translate(x, NAME + END, "")).otherwise(F.substring(x, 1, 1)))
+def word(value: Column) -> Column:
+    """A token with a number or unit as its placeholder, and a name as the word that it is."""
+    return F.when(value < NAME, value).when(value < NUMBER, F.translate(value, NAME + END, "")).otherwise(F.substring(value, 1, 1))
 
 
-def windows(rows: DataFrame, at_least: int = 0) -> DataFrame:
-    """rows (with v, the values of a text) exploded to pos and hash of both forms of every window; of those with at_least
-    literals, and with counted, the number of windows whose words and names are so many."""
-    rows = rows.select("*", templates("v").alias("_t"), words("v").alias("_w"))
-    n = F.size("v") - WINDOW + 1
-    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    literals = lambda form, i: F.size(F.filter(F.slice(form, i, WINDOW), lambda x: x < NAME))
-    plain = F.filter(every, lambda i: literals("_w", i) >= at_least) if at_least else every
-    named = F.filter(every, lambda i: F.array_contains(F.slice("_t", i, WINDOW), NAME))
-    if at_least:
-        named = F.filter(named, lambda i: literals("_t", i) >= at_least)
-        rows = rows.withColumn("counted", F.size(plain))
-    posts = lambda form, places: F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(form, i, WINDOW)).alias("hash")))
-    kept = [c for c in rows.columns if c not in ("_t", "_w")]
-    return rows.select(*kept, F.explode(F.concat(posts("_w", plain), posts("_t", named))).alias("_p")).select(*kept, "_p.pos", "_p.hash")
+def windows(rows: DataFrame) -> DataFrame:
+    """rows (with v, the values of a text) exploded to pos and the hashes of both forms of every window, as_words and as_template.
+
+    A token is hashed once for each form; the hashes of two, four and five tokens that stand together are made of those."""
+    n = F.greatest(F.size("v") - WINDOW + 1, F.lit(0))
+    from_ = lambda c, start: F.slice(c, start, F.size(c))
+    joined = lambda a, b: F.xxhash64(a, b)
+    both = {"_w": word, "_t": template}
+    kept = rows.columns
+    hashed = lambda form: F.transform("v", lambda x: F.xxhash64(form(x)))
+    rows = rows.select(*kept, *(hashed(form).alias(c) for c, form in both.items()))
+    rows = rows.select(*kept, *both, *(F.zip_with(c, from_(c, 2), joined).alias(f"{c}2") for c in both))
+    rows = rows.select(*kept, *both, *(F.zip_with(f"{c}2", from_(f"{c}2", 3), joined).alias(f"{c}4") for c in both))
+    five = [F.slice(F.zip_with(f"{c}4", from_(c, WINDOW), joined), 1, n) for c in both]
+    pairs = F.arrays_zip(five[0].alias("as_words"), five[1].alias("as_template"))
+    return rows.select(*kept, F.posexplode(pairs).alias("pos", "_h")).select(*kept, "pos", "_h.*")
+
+
+def posts(rows: DataFrame, *keep: str) -> DataFrame:
+    """The windows as rows with one hash: of the words, and of the template where it is another."""
+    hashes = F.when(F.col("as_words") == F.col("as_template"), F.array("as_words")).otherwise(F.array("as_words", "as_template"))
+    return rows.select(*keep, F.explode(hashes).alias("hash"))
 
 
 def bench_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, item_pos, n_windows, item_values): the values are those of the window."""
-    rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), values(F.col(text_col).cast("string")).alias("v"))
-    rows = windows(rows, LITERALS)
-    return rows.select("hash", "item_id", F.col("pos").alias("item_pos"), F.col("counted").alias("n_windows"), F.slice("v", F.col("pos") + 1, WINDOW).alias("item_values"))
+    """(hash, item_id, item_pos, n_windows, item_values): windows with LITERALS literals at least in the form that is posted; the
+    values are those of the window, and n_windows is how many windows of the item have so many words and names."""
+    rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), values(F.col(text_col).cast("string")).alias("v")).distinct()
+    rows = windows(rows).withColumn("item_values", F.slice("v", F.col("pos") + 1, WINDOW))
+    literals = lambda form: F.size(F.filter("item_values", lambda x: form(x) < NAME)) >= LITERALS
+    plain, named = literals(word), F.exists("item_values", lambda x: template(x) == NAME) & literals(template)
+    rows = rows.withColumns({"plain": plain, "named": named})
+    counts = rows.groupBy("item_id", "v").agg(F.count_if("plain").alias("n_windows"))
+    rows = rows.select("item_id", "v", "pos", "item_values", F.explode(F.array_compact(F.array(F.when(F.col("plain"), F.col("as_words")), F.when(F.col("named"), F.col("as_template"))))).alias("hash")).join(counts, ["item_id", "v"])
+    return rows.select("hash", "item_id", F.col("pos").alias("item_pos"), "n_windows", "item_values")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -91,16 +104,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     items = settle(bench_windows(bench, item_col, item_text_col).distinct())
     text = F.col(text_col).cast("string")
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    posts = windows(rows.select("doc_id", values(F.col("text")).alias("v"))).select("doc_id", "pos", "hash")
+    found = posts(windows(rows.select("doc_id", values(F.col("text")).alias("v"))), "doc_id", "pos")
     keys = items.select("hash").distinct()
     few = items.count() <= MAX_BROADCAST
-    met = settle(posts.join(F.broadcast(keys) if few else keys, "hash", "left_semi"))
+    met = settle(found.join(F.broadcast(keys) if few else keys, "hash", "left_semi"))
     hits = met.join(F.broadcast(items) if few else items, "hash")
     # The values of the windows that met, from the texts of their documents only.
     named = met.select("doc_id").distinct()
-    found = rows.join(named.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", values(F.col("text")).alias("v"))
+    told = rows.join(named.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", values(F.col("text")).alias("v"))
     places = met.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than the document has windows
-    filled = found.join(places, "doc_id").select("doc_id", "v", F.explode("places").alias("pos")).select("doc_id", "pos", F.slice("v", F.col("pos") + 1, WINDOW).alias("doc_values")).distinct()
+    filled = told.join(places, "doc_id").select("doc_id", "v", F.explode("places").alias("pos")).select("doc_id", "pos", F.slice("v", F.col("pos") + 1, WINDOW).alias("doc_values")).distinct()
     pairs = hits.join(filled, ["doc_id", "pos"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     filled_by = F.transform(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")), lambda x: F.struct(x["a"].alias("a"), F.translate(x["b"], NAME + END, "").alias("b")))
     slots = F.filter(filled_by, lambda x: x["a"] >= NAME)

@@ -238,7 +238,7 @@ def test_contamination_by_copies_and_new_parameters(spark, rng):
 
 def test_templates_and_words_of_a_text(spark):
     df = spark.createDataFrame([("He saw Anna Berg, 12.5 kg and 3 cats in\nRome.",), ("",), ("5km x1y  Z",)], "text string")
-    rows = df.select(templates.values(templates.F.col("text")).alias("v")).select("v", templates.templates("v").alias("t"), templates.words("v").alias("w")).collect()
+    rows = df.select(templates.values(templates.F.col("text")).alias("v")).select("v", templates.F.transform("v", templates.template).alias("t"), templates.F.transform("v", templates.word).alias("w")).collect()
     n, d, u = templates.NAME, templates.NUMBER, templates.UNIT
     assert rows[0].t == [n, "saw", n, n, d, u, "and", d, "cats", "in", n]
     assert rows[0].w == ["he", "saw", "anna", "berg", d, u, "and", d, "cats", "in", "rome"]
