@@ -18,7 +18,6 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ TABLES = 12
 PROBES = 2
 #: Points of one block of a bucket.
 BLOCK = 256
-#: Rows that small buckets are packed to, so that a task compares many at once.
+#: Rows that small buckets are packed to, so that a task compares many at once. Buckets go to packs by their least point, as groups
+#: of near copies share many buckets: a pack gets each vector once, with the list of its buckets there.
 PACK = 2000
 SEED = 2
 
@@ -54,11 +54,10 @@ def rotate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """(rows, tables * buckets of each): bucket numbers of unit vectors; the table is part of the number."""
+    """(rows, tables * buckets of each): 64-bit hashes of the bucket of each table and choice of axes."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
     rng = np.random.default_rng(seed)
-    width = (2 * d - 1).bit_length()
     out = []
     for t in range(tables):
         ranked = []
@@ -69,21 +68,28 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES
             ranked.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, 1), axis=1, kind="stable"), 1))
         choices = [[0] * hashes] + [[p if i == j else 0 for i in range(hashes)] for j in range(hashes) for p in range(1, probes + 1)]
         for choice in choices:
-            code = np.full(len(x), t, np.int64)
+            code = np.full(len(x), t + 1, np.uint64)
             for r, p in zip(ranked, choice, strict=True):
-                code = (code << width) | r[:, p]
-            out.append(code)
+                code = (code ^ r[:, p].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(29)
+            out.append(code.view(np.int64))
     return np.stack(out, 1)
 
 
 def hashes_for(points: int, dimension: int, probes: int = PROBES) -> int:
     """Hashes of a table: as many as keep the mean bucket of unlike vectors near one point, whatever their number."""
     axes, hashes = 2 << max(1, (dimension - 1).bit_length()), 1
-    while axes**hashes < points * (1 + probes * hashes) and hashes < 4:
+    while axes**hashes < points * (1 + probes * hashes):
         hashes += 1
     return hashes
 
 
+def tables_for(hashes: int) -> int:
+    """Tables of the index: vectors at the threshold share a bucket of a table the more rarely, the more hashes it joins. (With
+    them, 0.99 of such pairs of 64 dimensions share some bucket at one to six hashes, and more of closer ones.)"""
+    return TABLES if hashes <= 3 else TABLES * 2 ** (hashes - 3)
+
+
 def _units(values: list) -> np.ndarray:
     x = np.array([np.asarray(v, np.float64) for v in values])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -102,17 +108,26 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _compare(t: pd.DataFrame) -> pd.DataFrame:
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    flat = column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _compare(t: pa.Table, tables: int) -> pa.Table:
     """Links of packed block pairs: for each point the weight linked to it, and its root in the pack's forest."""
-    reps, index, inverse = *np.unique(t["rep"].to_numpy(), return_index=True), t["rep"].to_numpy()
-    x = _units(t["embedding"].to_numpy()[index].tolist())
-    keys = np.stack(t["keys"].to_numpy()[index])
-    weight = t["weight"].to_numpy()[index].astype(np.int64)
-    ball = t["ball"].to_numpy()[index]
-    at = np.searchsorted(reps, inverse)
+    t = t.combine_chunks().sort_by("rep")
+    reps, weight, ball = (t[c].to_numpy() for c in ("rep", "weight", "ball"))
+    x = _rows(t["embedding"])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    keys = _rows(t["keys"])
+    items = t["items"].combine_chunks()
+    at = np.repeat(np.arange(len(reps)), np.diff(items.offsets.to_numpy()))
+    k, block, b1, b2 = (items.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "b1", "b2"))
+    names = np.unique(np.concatenate((block, b1, b2)).astype(str), return_inverse=True)[1].reshape(3, -1)
+    order = np.lexsort((at, *names[[0, 2, 1]], k))
+    k, at, (block, b1, b2) = k[order], at[order], names[:, order]
     links, ends = np.zeros(len(reps), np.int64), []
-    groups = t.assign(at=at).sort_values(["key", "b1", "b2", "block", "rep"])
-    k, b1, b2, block, at = (groups[c].to_numpy() for c in ("key", "b1", "b2", "block", "at"))
     edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1]))))
     for s, e in zip(edge, np.append(edge[1:], len(k)), strict=True):
         left = at[s:e][block[s:e] == b1[s]]
@@ -129,22 +144,22 @@ def _compare(t: pd.DataFrame) -> pd.DataFrame:
             ends.append((i, j))
             for a in range(0, len(i), 4096):
                 p, q = i[a : a + 4096], j[a : a + 4096]
-                first = _first_shared(keys[p], keys[q]) == k[s]
+                first = _first_shared(keys[p], keys[q], tables) == k[s]
                 np.add.at(links, p[first], weight[q[first]])
                 np.add.at(links, q[first], weight[p[first]])
     if not ends:
-        return pd.DataFrame({"rep": reps[:0], "links": links[:0], "root": reps[:0]})
+        return pa.table({"rep": reps[:0], "links": links[:0], "root": reps[:0]})
     i, j = (np.concatenate(c) for c in zip(*ends, strict=True))
     seen = np.unique(np.concatenate((i, j)))
     root = _forest(len(reps), i, j)
-    return pd.DataFrame({"rep": reps[seen], "links": links[seen], "root": reps[root[seen]]})
+    return pa.table({"rep": reps[seen], "links": links[seen], "root": reps[root[seen]]})
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _first_shared(a: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
     """The least bucket number that each pair of rows has in common (they have one)."""
     low = np.full(len(a), np.iinfo(np.int64).max)
-    step = a.shape[1] // TABLES
-    for t, (p, q) in itertools.product(range(TABLES), itertools.product(range(step), range(step))):
+    step = a.shape[1] // tables
+    for t, (p, q) in itertools.product(range(tables), itertools.product(range(step), range(step))):
         u, v = a[:, t * step + p], b[:, t * step + q]
         low = np.where((u == v) & (u < low), u, low)
     return low
@@ -182,17 +197,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _links(points: DataFrame, hashes: int) -> DataFrame:
     """(rep, links, root): verified links of points, per task that found some."""
+    tables = tables_for(hashes)
 
     def post(batches):
         for b in batches:
-            c = codes(_units(b.column(1).to_pylist()), hashes)
+            c = codes(_units(b.column(1).to_pylist()), hashes, tables)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1]), pa.int32()), pa.array(c.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), keys], names=["rep", "keys"])
 
     coded = settle(points.select("rep", "embedding").mapInArrow(post, "rep long, keys array<long>"))
     posts = coded.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n")
-    shared = settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("rep", "key", "n"))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n", "low")
+    shared = settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("rep", "key", "n", "low"))
     balls = settle(_balls(shared.where(F.col("n") > BLOCK), points))
     sums = balls.join(points, "rep").groupBy("ball").agg(F.sum("weight").alias("total"), F.min("rep").alias("root")).select((F.col("ball") + F.lit(0)).alias("b"), "total", "root")
     inside = balls.join(points, "rep").hint("merge").join(sums, F.col("ball") == F.col("b")).select("rep", (F.col("total") - F.col("weight")).alias("links"), "root")
@@ -200,10 +216,10 @@ def _links(points: DataFrame, hashes: int) -> DataFrame:
     shared = shared.join(balls, "rep", "left").withColumn("ball", F.coalesce("ball", "rep"))
     rows = settle(_blocks(shared))
     packs = max(1, rows.count() // PACK)
-    small = F.pmod(F.xxhash64("key"), F.lit(packs))
-    full = rows.withColumn("pack", F.when(F.col("n") <= BLOCK, small).otherwise(F.xxhash64("key", "b1", "b2"))).join(points, "rep").join(coded, "rep")
-    full = full.select("pack", "rep", "key", "ball", "block", "b1", "b2", "embedding", "weight", "keys")
-    return inside.union(full.groupBy("pack").applyInPandas(lambda t: _compare(t), "rep long, links long, root long"))
+    pack = F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("low"), F.lit(packs))).otherwise(F.xxhash64("key", "b1", "b2"))
+    items = rows.groupBy(pack.alias("pack"), "rep", "ball").agg(F.collect_list(F.struct("key", "block", "b1", "b2")).alias("items"))  # the buckets of one point
+    full = items.join(points, "rep").join(coded, "rep").select("pack", "rep", "ball", "embedding", "weight", "keys", "items")
+    return inside.union(full.groupBy("pack").applyInArrow(lambda t: _compare(t, tables), "rep long, links long, root long"))
 
 
 def _balls(hot: DataFrame, points: DataFrame) -> DataFrame:
@@ -220,7 +236,7 @@ def _balls(hot: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _blocks(shared: DataFrame) -> DataFrame:
-    """Rows (rep, key, n, ball) once for each pair of blocks, b1 and b2, that their block of the bucket is compared in.
+    """Rows (rep, key, n, ball, and low where there is one) once for each pair of blocks, b1 and b2, that their block of the bucket is compared in.
 
     A ball with more than BLOCK points in a bucket has blocks of its own, which are not compared with each other; all other
     points of the bucket are dealt to blocks that are compared with every block.
@@ -235,8 +251,9 @@ def _blocks(shared: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", name(F.col("part"), F.pmod(F.xxhash64("rep"), width)))
     facing = F.filter("widths", lambda w: (w["part"] != F.col("part")) | (F.col("part") == ""))
     others = F.flatten(F.transform(facing, lambda w: F.transform(F.sequence(F.lit(0), w["width"] - 1), lambda i: name(w["part"], i))))
-    rows = rows.select("rep", "key", "n", "ball", "block", F.explode(others).alias("other"))
-    return rows.select("rep", "key", "n", "ball", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    kept = [c for c in ("rep", "key", "n", "low", "ball", "block") if c in rows.columns]
+    rows = rows.select(*kept, F.explode(others).alias("other"))
+    return rows.select(*kept, F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
