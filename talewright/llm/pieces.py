@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -36,8 +36,8 @@ _UNITS = re.compile(f" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 #: Longer units are solved one at a time.
 LONG = 40
 #: Bytes of text that a task works on at once, and units that it remembers.
-SLICE = 1 << 20
-UNITS = 50_000
+SLICE = 1 << 23
+UNITS = 150_000
 _INF = float("-inf")
 
 
@@ -268,7 +268,7 @@ class _Known:
         self.ids: list[np.ndarray] = []
         self.others: dict[int, list[tuple[float, int]]] = {}
 
-    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def numbers(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         """The units of each text by number; new ones are solved together."""
         if len(self.index) > UNITS:
             self._forget()
@@ -307,16 +307,20 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
         kind = "<u2" if v.size <= 1 << 16 else "<u4"
         known = _Known(v)
         for b in (part for batch in batches for part in _slices(batch, 1)):
-            docs_units = known.numbers([units_of(t) if t else [] for t in b.column(1).to_pylist()])
-            used, at_used = np.unique(np.concatenate(docs_units), return_inverse=True) if docs_units else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            docs_units = known.numbers(units_of(t) if t else [] for t in b.column(1).to_pylist())
+            flags = np.zeros(len(known.index), bool)
+            for units in docs_units:
+                flags[units] = True
+            used = np.flatnonzero(flags)
+            place = np.cumsum(flags, dtype=np.int32) - 1
             ids = [known.ids[u] for u in used.tolist()]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate(ids).astype(kind) if ids else np.zeros(0, kind)
             start = np.cumsum(size) - size
             score, cost = (np.array([c[u] for u in used.tolist()]) for c in (known.score, known.cost))
-            ends = np.cumsum([len(u) for u in docs_units])
             out_ids, tokens, scores, lengths = [], [], [], []
-            for units in np.split(at_used, ends[:-1]) if docs_units else ():
+            for numbers in docs_units:
+                units = place[numbers]
                 k = size[units]
                 total = int(k.sum())
                 at = np.repeat(start[units] - (np.cumsum(k) - k), k) + np.arange(total)
@@ -326,7 +330,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
                 if n > 1 and len(units):
                     c = cost[units]
                     cheap = np.argpartition(c, n - 1)[: n - 1] if len(c) > n - 1 else np.arange(len(c))
-                    options = [known.alternatives(u, n) for u in used[units[cheap[np.isfinite(c[cheap])]]].tolist()]
+                    options = [known.alternatives(u, n) for u in numbers[cheap[np.isfinite(c[cheap])]].tolist()]
                 sums = combine(options, n)
                 best = float(score[units].sum())
                 scores.append([best - c for c, _ in sums])
