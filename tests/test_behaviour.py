@@ -29,6 +29,7 @@ def test_wrapped_lines_are_joined_and_headings_break(spark):
 
 def test_sentences_are_not_cut_in_quotes():
     assert segment.split_sentences("他說：「走。快走！」然後走了。v1.5 works. Yes") == ["他說：「走。快走！」然後走了。", "v1.5 works.", "Yes"]
+    assert segment.strip_front_matter([]) == [] and segment.shots_of("", 17) == []
     assert segment.split_sentences("「未完。還有") == ["「未完。還有"] and segment.split_sentences("」。好。") == ["」。", "好。"]
 
 
