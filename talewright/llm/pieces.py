@@ -234,14 +234,23 @@ def _lattice_text(unit: str) -> str:
     return "\0" if unit == MARK else unit.replace(" ", MARK)
 
 
-def combine(options: list[list[tuple[float, int]]], n: int) -> list[tuple[float, int]]:
-    """The n cheapest sums of one option of each list; each list starts with (0, 0) and is in order: (cost, length)."""
-    sums = [(0.0, 0)]
+def combine(options: list[list[tuple]], n: int) -> list[tuple[float, int, tuple[int, ...]]]:
+    """The n cheapest sums of one option of each list; each list starts with (0, 0) and is in order: (cost, length, the option of each
+    list)."""
+    sums: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
     for own in options:
-        sums = heapq.nsmallest(n, ((c + d, k + m) for c, k in sums for d, m in own))
+        sums = heapq.nsmallest(n, ((c + o[0], k + o[1], (*chosen, i)) for c, k, chosen in sums for i, o in enumerate(own)))
     return sums
 
 
+def _spread(options: list[list[tuple]], of: np.ndarray, n: int) -> list[list[tuple]]:
+    """The options at the places that they are for, among n."""
+    out: list[list[tuple]] = [[]] * n
+    for i, own in zip(of.tolist(), options, strict=True):
+        out[i] = own
+    return out
+
+
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about SLICE bytes of its column ``text``, one row at least."""
     column = batch.column(text)
@@ -266,7 +275,7 @@ class _Known:
         self.score: list[float] = []
         self.cost: list[float] = []
         self.ids: list[np.ndarray] = []
-        self.others: dict[int, list[tuple[float, int]]] = {}
+        self.others: dict[int, list[tuple[float, int, list[int]]]] = {}
 
     def numbers(self, texts: Iterable[list[str]]) -> list[np.ndarray]:
         """The units of each text by number; new ones are solved together."""
@@ -286,19 +295,19 @@ class _Known:
         self.ids += ids
         return out
 
-    def alternatives(self, u: int, n: int) -> list[tuple[float, int]]:
-        """(cost, tokens more) of the n best segmentations of a unit against the best."""
+    def alternatives(self, u: int, n: int) -> list[tuple[float, int, list[int]]]:
+        """(cost, tokens more, ids) of the n best segmentations of a unit against the best."""
         if u not in self.others:
             found = n_best(self.v, self.names[u], n)
-            self.others[u] = [(found[0][0] - s, len(x) - len(found[0][1])) for s, x in found]
+            self.others[u] = [(found[0][0] - s, len(x) - len(found[0][1]), x) for s, x in found]
         return self.others[u]
 
 
-def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, ids, n_tokens, scores, lengths and the columns to keep) of every row.
+def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), all_ids: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens, scores, lengths, with all_ids n_best, and the columns to keep) of every row.
 
     ids: the best segmentation, little-endian numbers of two bytes (four for a vocabulary above 65,536). scores and
-    lengths: score and number of tokens of the n best segmentations, best first (fewer where there are fewer). A null
+    lengths: score and number of tokens of the n best segmentations, best first (fewer where there are fewer); n_best: their ids. A null
     text is encoded as an empty one: the empty segmentation, with score 0.
     """
 
@@ -318,7 +327,7 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
             flat = np.concatenate(ids).astype(kind) if ids else np.zeros(0, kind)
             start = np.cumsum(size) - size
             score, cost = (np.array([c[u] for u in used.tolist()]) for c in (known.score, known.cost))
-            out_ids, tokens, scores, lengths = [], [], [], []
+            out_ids, tokens, scores, lengths, all_of, first = [], [], [], [], [], [0]
             for numbers in docs_units:
                 units = place[numbers]
                 k = size[units]
@@ -326,23 +335,31 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = N_BEST, id_col: str = "d
                 at = np.repeat(start[units] - (np.cumsum(k) - k), k) + np.arange(total)
                 out_ids.append(flat[at].tobytes())
                 tokens.append(total)
-                options = []
+                options, of = [], np.zeros(0, np.int64)
                 if n > 1 and len(units):
                     c = cost[units]
                     cheap = np.argpartition(c, n - 1)[: n - 1] if len(c) > n - 1 else np.arange(len(c))
-                    options = [known.alternatives(u, n) for u in numbers[cheap[np.isfinite(c[cheap])]].tolist()]
+                    of = cheap[np.isfinite(c[cheap])]
+                    options = [known.alternatives(u, n) for u in numbers[of].tolist()]
                 sums = combine(options, n)
                 best = float(score[units].sum())
-                scores.append([best - c for c, _ in sums])
-                lengths.append([total + m for _, m in sums])
+                scores.append([best - c for c, _, _ in sums])
+                lengths.append([total + m for _, m, _ in sums])
+                if all_ids:
+                    every = [known.ids[u] for u in numbers.tolist()]
+                    for _, _, chosen in sums:
+                        other = dict(zip(of.tolist(), chosen, strict=True))
+                        parts = [options_of[other[i]][2] if other.get(i) else ids_of for i, (ids_of, options_of) in enumerate(zip(every, _spread(options, of, len(every)), strict=True))]
+                        all_of.append(np.concatenate(parts).astype(kind).tobytes() if parts else b"")
+                    first.append(len(all_of))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(out_ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.int64())), *b.columns[2:]],
-                names=["doc_id", "ids", "n_tokens", "scores", "lengths", *keep],
+                [b.column(0), pa.array(out_ids, pa.binary()), pa.array(tokens, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(lengths, pa.list_(pa.int64())), *([pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(all_of, pa.binary()))] if all_ids else []), *b.columns[2:]],
+                names=["doc_id", "ids", "n_tokens", "scores", "lengths", *(["n_best"] if all_ids else []), *keep],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long, scores array<double>, lengths array<long>" + extra)
+    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long, scores array<double>, lengths array<long>" + (", n_best array<binary>" if all_ids else "") + extra)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -210,6 +210,25 @@ def test_encoding_round_trip_and_n_best_of_texts(spark, odd_documents, no_docume
     assert pieces.encode(no_documents).count() == 0
 
 
+def test_ids_of_all_segmentations(spark, vocabulary):
+    """Against a search over the lattice of the whole text."""
+    texts = ["ab the river", "walked", "", None, "stone  light\nx", "harbour keeper quiet"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = pieces.encode(docs, all_ids=True, keep=("text",)).collect()
+    for r in coded:
+        got = [np.frombuffer(x, "<u2").tolist() for x in r.n_best]
+        assert got[0] == np.frombuffer(r.ids, "<u2").tolist() and [len(x) for x in got] == r.lengths and len({tuple(x) for x in got}) == len(got)
+        assert all(b"".join(vocabulary.bytes[i] for i in x)[1:].decode() == (r.text or "") for x in got)
+        if r.text and "\n" not in r.text:
+            want = pieces.n_best(vocabulary, pieces._lattice_text(" " + r.text), pieces.N_BEST)
+            assert r.scores == pytest.approx([s for s, _ in want]) and sum(vocabulary_score(vocabulary, got[-1])) == pytest.approx(r.scores[-1])
+
+
+def vocabulary_score(v, ids):
+    of = {i: s for i, s in v.score.values()}
+    return [of[i] for i in ids]
+
+
 # -- templates
 
 
