@@ -98,7 +98,7 @@ PARTS = (("hair", 1), ("face", 1), ("eyes", 2), ("mark", 5), ("outfit", 1))
 
 
 def suggest_look(people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
-    """D3: (novel_id, name, hair, face, eyes, mark, outfit) of people with rank, gender, era, modern and style: hash-chosen, and
+    """D3: (novel_id, name, hair, face, eyes, mark, outfit) of people with rank, gender, era, modern and maybe style: hash-chosen, and
     all but the eyes without a repeat within a novel while the pools last. The few people of a novel are dressed in one row, in the
     order of rank."""
     pools = {(k, e, s, m): allowed(k, e, s, m, lex) or [""] for k, _ in PARTS for e in ERAS for s in "fm" for m in (False, True)}
@@ -117,6 +117,7 @@ def suggest_look(people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
             rows.append([p["name"], *look])
         return rows
 
+    people = people if "style" in people.columns else people.withColumn("style", F.lit(""))
     cast = people.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "gender", "era", "modern", "style"))).alias("p"))  # the people of one novel
     rows = arrow_column(cast, "p", "l", "array<array<string>>", dress).select("novel_id", F.explode("l").alias("l"))
     return rows.select("novel_id", *(F.col("l")[i].alias(n) for i, n in enumerate(("name", *(k for k, _ in PARTS)))))
