@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, secrets, templates
+from . import embeddings, secrets, templates, vector_codes
 
 SUBSTRING = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -63,4 +63,5 @@ ORACLES = {
     "op3_substring_dedup": SUBSTRING,
     "op8_decontamination": DECONTAMINATION,
     "op9_secrets": SECRETS,
+    "op11_vector_codes": vector_codes.ORACLE,
 }

@@ -17,6 +17,7 @@ from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring import op3_substring_dedup
 from .templates import op8_decontamination
+from .vector_codes import op11_vector_codes
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -31,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
 }
 
