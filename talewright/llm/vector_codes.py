@@ -274,7 +274,7 @@ def label_errors(rows: DataFrame) -> DataFrame:
     than a long holds). A label's rows are dealt to SALTS parts: sums of parts are summed, and the sum is told to the parts."""
     salt, total = unused(rows, "salt"), unused(rows, "total")
     rows = rows.withColumn(salt, F.pmod(F.xxhash64("vec_id", "codes"), F.lit(SALTS)).cast("int"))
-    error = F.coalesce(F.col("error").cast("decimal(38,0)"), F.lit(1 << 63).cast("decimal(38,0)"))
+    error = F.coalesce(F.col("error").cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)"))
     parts = rows.groupBy("label", salt).agg(F.sum(error).alias(total))
     sums = parts.groupBy("label").agg(F.sum(total).alias(total), F.collect_list(salt).alias("salts"))  # SALTS at most
     told = sums.select(F.col("label").alias("_label"), F.explode("salts").alias("_salt"), F.col(total).try_cast("long").alias("label_error"))
