@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, secrets, templates, vector_codes
+from . import embeddings, secrets, templates, trie, vector_codes
 
 SUBSTRING = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -64,4 +64,5 @@ ORACLES = {
     "op8_decontamination": DECONTAMINATION,
     "op9_secrets": SECRETS,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }

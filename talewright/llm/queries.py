@@ -10,6 +10,7 @@ from .embeddings import op2_embeddings
 from .html import op4_html
 from .langid import op1_language
 from .oracles import ORACLES
+from .licenses import op12_licenses
 from .pieces import op6_pieces
 from .quality import op5_quality
 from .secrets import op9_secrets
@@ -17,6 +18,7 @@ from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring import op3_substring_dedup
 from .templates import op8_decontamination
+from .trie import op13_prefix_trie
 from .vector_codes import op11_vector_codes
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,5 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
+    "op12_licenses": op12_licenses,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
