@@ -281,5 +281,5 @@ warranty-disclaimer | 1 | warranty warranties | without (?:any )?warrant(?:y|ies
 as-is | 1 | provided | (?:is|are) provided as is
 some-rights | 1 | rights | some rights reserved
 no-rights | 1 | rights | no rights reserved
-license-mention | 1 | license licence | (?:licensed|released|distributed|available) under (?:the |an? )?(?:[^ ]+ ){1,3}{l}
+license-mention | 1 | license licence | under (?:this|our|its|your|their) {l}
 """

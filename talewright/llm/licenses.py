@@ -28,7 +28,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: How sure a detection of a priority is that its license applies to the text.
 SURE = {1: 0.3, 2: 0.5, 3: 0.7, 4: 0.85, 5: 0.95}
 BASE_PRIORITY = 2
-_PARTS = {"v": "(?: (?:version|v|ver|release))?", "l": "licen[cs]e", "any": "(?: [^ ]+){0,3}"}
+_PARTS = {"v} ": "(?: (?:version|v|ver|release))? v?", "l}": "licen[cs]e", "any}": "(?: [^ ]+){0,3}"}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 DETECTION = "struct<start:long,end:long,label:string,priority:int,base:boolean>"
 
@@ -52,7 +52,7 @@ def read_rules(text: str = RULE_TEXT) -> tuple[Rule, ...]:
     for line in text.strip().splitlines():
         label, priority, keywords, pattern = (part.strip() for part in line.split(" | ", 3))
         for name, part in _PARTS.items():
-            pattern = pattern.replace("{" + name + "}", part)
+            pattern = pattern.replace("{" + name, part)
         rules.append(Rule(label, int(priority), tuple(keywords.split()), pattern))
     return tuple(rules)
 
