@@ -182,7 +182,7 @@ bsd | 3 | redistributions | redistributions of source code must retain the above
 bsd | 3 | redistributions | redistributions in binary form must reproduce the above copyright notice
 bsd-3-clause | 3 | endorse | neither the names? of{any} nor the names of (?:its|the|any)? ?contributors may be used to endorse or promote products
 bsd-4-clause | 3 | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-bsd | 3 | express | this software is provided by the (?:copyright holders?|authors?|regents)(?: and contributors)? as is and any express(?:ed)? or implied warranties
+bsd | 3 | implied | this software is provided by the (?:copyright holders?|authors?|regents)(?: and contributors)? as is and any express(?:ed)? or implied warranties
 apache-2.0 | 3 | apache | licensed under the apache {l}(?: [^ ]+){0,6} you may not use this file except in compliance with the {l}
 apache-2.0 | 3 | basis | distributed under the {l} is distributed on an as is basis without warranties or conditions of any kind
 apache-2.0 | 3 | irrevocable | perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) {l}
@@ -212,7 +212,7 @@ beerware | 3 | beer | if we meet some day and you think this stuff is worth it y
 json | 3 | evil | the software shall be used for good not evil
 openssl | 3 | openssl | this product includes software developed by the openssl project
 openssl | 3 | cryptographic | this product includes cryptographic software written by eric young
-artistic | 3 | package | you may make and give away verbatim copies of the (?:source form|standard version|package)
+artistic | 3 | verbatim | you may make and give away verbatim copies of the (?:source form|standard version|package)
 postgresql | 3 | permission | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
 hpnd | 3 | permission | permission to use copy modify (?:and )?distribute(?: and sell)? this software and its documentation for any purpose is hereby granted without fee
 ncsa | 3 | university | developed by(?: [^ ]+){0,12} permission is hereby granted(?: [^ ]+){0,30} university of illinois ncsa
@@ -224,11 +224,11 @@ cc | 3 | creative | this work is licensed under (?:a|the) creative commons(?: [^
 cc | 3 | creativecommons | to view a copy of this {l} visit(?: https?)?(?: www)? creativecommons org
 cc0 | 3 | waived | has waived all copyright and related or neighboring rights
 epl | 3 | eclipse | available under the terms of the eclipse public {l}
-commercial-use-banned | 3 | commercial | (?:non commercial|noncommercial) (?:use|purposes) only
+commercial-use-banned | 3 | commercial noncommercial | (?:non commercial|noncommercial) (?:use|purposes) only
 no-redistribution | 3 | redistribution redistributed | (?:no redistribution|may not be redistributed|must not be redistributed)
 confidential | 3 | confidential | (?:proprietary and confidential|confidential and proprietary)
 unauthorized-copying-banned | 3 | unauthorized unauthorised | unauthori[sz]ed (?:copying|reproduction|use|distribution) of this [^ ]+(?: [^ ]+){0,6} is (?:strictly )?prohibited
-no-ai-training | 3 | training | (?:not|never) be used (?:to train|for the training of|for training)(?: [^ ]+){0,3} (?:ai|models?|systems?)
+no-ai-training | 3 | train training | (?:not|never) be used (?:to train|for the training of|for training)(?: [^ ]+){0,3} (?:ai|models?|systems?)
 lgpl | 2 | lesser library | (?:gnu )?(?:lesser|library) general public {l}
 lgpl | 2 | lgpl | (?:gnu )?lgpl
 agpl | 2 | affero agpl | (?:gnu )?(?:affero general public {l}|agpl)
@@ -249,7 +249,7 @@ boost | 2 | boost | boost software {l}
 artistic | 2 | artistic | (?:perl )?artistic {l}
 ofl | 2 | font | open font {l}
 eupl | 2 | eupl european | (?:eupl|european union public {l})
-python | 2 | python | (?:python software foundation|psf) {l}
+python | 2 | python psf | (?:python software foundation|psf) {l}
 php | 2 | php | php {l}
 ruby | 2 | ruby | ruby {l}
 perl | 2 | perl | (?:under )?the same terms as perl(?: itself)?
@@ -271,7 +271,7 @@ dual | 2 | dual dually | (?:dual|dually) licen[cs]ed
 eula | 2 | user | end user {l} agreement
 royalty-free | 2 | royalty | royalty free {l}
 by-permission | 2 | permission | (?:used|reprinted|reproduced) (?:with|by) (?:kind )?permission
-no-reproduction | 2 | reproduced | no part of this [^ ]+ may be (?:reproduced|copied|stored|transmitted)
+no-reproduction | 2 | part | no part of this [^ ]+ may be (?:reproduced|copied|stored|transmitted)
 see-license | 2 | license licence | see (?:the )?(?:file )?{l}(?: file| txt| md)? for (?:more )?(?:details|information|terms)
 copyright | 1 | copyright | copyright(?: c)?(?: [^ ]+)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
 copyright | 1 | copyrighted | (?:is|are) copyrighted(?: by)?
