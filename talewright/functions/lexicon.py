@@ -11,19 +11,34 @@ from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
 
-SURNAMES = "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何高林羅鄭梁謝宋唐許韓馮鄧曹彭曾蕭田董潘袁蔡蔣余于杜葉程蘇魏呂丁任沈姚盧傅鍾狄"
+# Surnames by how many bear them (census of Taiwan), then those that stories of old times need.
+SURNAMES = "陳林黃張李王吳劉蔡楊許鄭謝郭洪曾邱廖賴周徐蘇葉莊呂江何蕭羅高潘簡朱鍾游彭詹胡施沈余盧梁趙顏柯翁魏孫戴方宋范鄧杜傅侯曹薛丁卓馬阮董溫唐藍石蔣古紀姚連馮歐程湯田康姜汪白鄒尤巫龔嚴韓袁金狄包展于任"
+#: Surnames of several characters; names with one have up to four.
+COMPOUND = ("歐陽", "張簡", "范姜", "司馬", "司徒", "上官", "諸葛", "端木", "皇甫", "尉遲", "夏侯", "公孫", "慕容", "令狐", "東方", "鍾離")
 NICK_PREFIX = "阿小老"
-#: Second characters that make a nickname prefix an ordinary word.
-NICK_BAD = "兒人太師闆頭家時心聲便的了是在有大多少東西樣前後上下內外"
+
+# Classes of characters that rules out of names are put together from.
+PARTICLES, COMPLEMENTS, COPULAS = "的地得嗎呢吧啊", "了著過完起", "是在有"
+DIRECTIONS, AMOUNTS, NUMBERS = "上下前後內外中間裡邊", "多少大小些點", "幾兩三四五六七八九十百千"
+CONJUNCTIONS, ADVERBS, CONTRASTS = "和與跟同及或", "也都就便又再還只才很更最", "但卻而則"
+PREPOSITIONS, NEGATIONS, MODALS = "向對往朝從由把將被讓給替為", "不沒未勿別先", "要能可會敢"
+SPEECH, SENSES = "說道問答喊叫", "看聽見想知"
+MOTIONS, HANDLING = "走去來進出站坐跑", "拿放開關動笑哭"
+PRONOUNS, QUESTIONS = "我你您妳他她它其們", "誰何什怎哪"
+#: Second characters that make a nickname prefix an ordinary word: grammar, and what the old and the small are called.
+NICK_BAD = PARTICLES + COMPLEMENTS + COPULAS + DIRECTIONS + AMOUNTS + "人兒師太爺婆公伯姨闆家頭子孩姐時候心聲便東西樣麼"
 #: What a thing, not a person, ends in.
-THING_TAIL = "機車船房門窗槍刀劍衣鞋帽紙筆錢藥杯"
+THING_TAIL = "刀劍槍筆紙信錢藥杯碗車船機門窗房衣鞋帽"
 #: Characters before a name besides the start of a text: punctuation, particles, prepositions, complements.
+# Punctuation and blanks.
 HARD_BOUND = "，。！？：；、,.!?:;」』】）)…—「『【（( \n\t\r　"
-SOFT_BOUND = "和跟與同及或對向往朝從由把被讓叫替為給在到的地得著了過完起就也又才便都還但卻而問看見聽"
+SOFT_BOUND = PARTICLES[:3] + COMPLEMENTS + COPULAS + CONJUNCTIONS + ADVERBS + CONTRASTS + PREPOSITIONS + "問看聽見叫"
 NAME_BOUND = HARD_BOUND + SOFT_BOUND
-NOT_NAME_START = "向對跟和與從把被讓給為將而則但卻就也都又再還只才便是在有的說道問答喊叫看聽想見知要能可了先別沒未不"
-BAD_CHARS = "他她它我你您們誰何什怎幾兩三四五六七八九十百千"
-BAD_TAIL = "的了著是在有和與也都就便又將把被給對向道說問答看聽見想走去來拿放坐站笑哭喊叫開關上下中內外前後間過完動"
+# What may stand before a surname and a role besides a bound.
+ROLE_BOUND = "和跟與同向對找問叫要請帶"
+NOT_NAME_START = CONJUNCTIONS + PREPOSITIONS + CONTRASTS + ADVERBS + COPULAS + PARTICLES[:1] + COMPLEMENTS[:1] + SPEECH + SENSES + MODALS[:3] + NEGATIONS
+BAD_CHARS = PRONOUNS + QUESTIONS + NUMBERS
+BAD_TAIL = PARTICLES + COMPLEMENTS + COPULAS + CONJUNCTIONS + ADVERBS + CONTRASTS + PREPOSITIONS + SPEECH + SENSES + MOTIONS + HANDLING + DIRECTIONS
 NOT_NAMES = ("高聲", "高興", "高大", "小心", "老人", "小姐", "許多", "黃昏", "石頭", "沈默", "大家", "眾人", "忽然", "於是", "然後", "後來", "當時", "突然")
 CLAUSE_STOP = ("於是", "然後", "後來", "忽然", "突然", "當時", "眾人", "大家", "不久", "只見")
 
@@ -35,7 +50,8 @@ ALIASES = (("山仔", "呂明山"), ("蘭姊", "白玉蘭"))
 #: Verb and how often it counts.
 SPEAK = (("說道", 2), ("問道", 1), ("答道", 1), ("說", 1), ("問", 1), ("喊", 1))
 MOVES = (("走進", 1), ("推開", 1), ("轉身", 1))
-INTRO = ("我叫", "我是")
+# What leads to the name of a speaker.
+INTRO = ("我叫", "我是", "名字叫", "叫作")
 
 INDOOR = ("書房", "客廳", "廚房", "走廊", "衙門", "客棧")
 OUTDOOR = ("碼頭", "花園", "街上", "河邊", "衙門口", "樹林")
@@ -144,7 +160,7 @@ def read_lexicon(table: DataFrame, base: Lexicon = DEFAULT) -> Lexicon:
     """base with the lists of a table (list, ord, key, value) in place of its own.
 
     A list is named as in this module in lower case (``roles``, ``places``, ``speak``), a cue list ``cues.face`` and so on.
-    Entries go by ord, then key; those without a key count for nothing, repeated keys once. Values of pairs default to the key (1
+    Surnames of several characters go to ``COMPOUND``. Entries go by ord, then key; those without a key count for nothing, repeated keys once. Values of pairs default to the key (1
     for weights). An unknown list, or more than MAX_ENTRIES entries, is an error; an empty table changes nothing.
     """
     rows = table.where("key <> ''").select("list", "ord", "key", "value").limit(MAX_ENTRIES + 1).collect()
@@ -163,7 +179,10 @@ def read_lexicon(table: DataFrame, base: Lexicon = DEFAULT) -> Lexicon:
         pairs = isinstance(shape, dict) or (isinstance(shape, tuple) and len(shape) > 0 and isinstance(shape[0], tuple))
         if not isinstance(shape, (str, tuple, dict)) or (isinstance(shape, tuple) and pairs and (len(shape[0]) != 2 or not isinstance(shape[0][1], (str, int)))):
             raise ValueError(f"{name} is no list of words or pairs")
-        if isinstance(known, str):
+        if head == "SURNAMES":
+            out["COMPOUND"] = tuple(k for k in entries if len(k) > 1)
+            new = "".join(k for k in entries if len(k) == 1)
+        elif isinstance(known, str):
             new = ("|" if "|" in known else "").join(entries)
         elif not pairs:
             new = tuple(entries)

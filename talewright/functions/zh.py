@@ -14,6 +14,7 @@ TOKENS = (
     "皺眉", "鑰匙", "，阿信", "小陳", "說", "花園", "線索", "雨", "。", "母親", "覺得", "忠厚", "、", "衙門口", "客廳", "！",
     "後來", "。呂明山", "山仔", "推開門", "月色", "機車", "中秋", "？", "眾人", "桌子", "想起", "臉", "轉身", "，德山", "，德山很高興地說", "。我叫馬華，",
     "天空", "老爺", "電話", "屍體", "手裡", "你知道", "戴著眼鏡", "年輕", "看著", "。第二天，", "…", "『走吧！』", "』", "河邊", "醫生",
+    "，歐陽修說道：", "。司馬相如推開門", "，名字叫諸葛亮，", "歐陽修先生", "，司馬相如很高興地問道：",
 )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talewright.functions import lexicon as lex
+from talewright.functions.shared import settled
 from talewright.functions.zh import quote, values_sql
 from talewright.operators import people
 
@@ -23,7 +24,11 @@ def _han(s: str) -> str:
 
 
 def _name(s: str) -> str:
-    return f"(length({s}) BETWEEN 2 AND 4 AND {_han(s)} AND {s} NOT IN {_IN(lex.NOT_NAMES + lex.ROLES)} AND NOT {_has(lex.NOT_NAME_START, s + '[1]')} AND CASE WHEN length({s}) = 2 AND {_has(lex.NICK_PREFIX, s + '[1]')} THEN NOT {_has(lex.NICK_BAD, s + '[2]')} ELSE length({s}) <= 3 AND {_has(lex.SURNAMES, s + '[1]')} END)"
+    return f"(length({s}) BETWEEN 2 AND 4 AND {_han(s)} AND {s} NOT IN {_IN(lex.NOT_NAMES + lex.ROLES)} AND NOT {_has(lex.NOT_NAME_START, s + '[1]')} AND CASE WHEN left({s}, 2) IN {_IN(lex.COMPOUND)} THEN TRUE WHEN length({s}) = 2 AND {_has(lex.NICK_PREFIX, s + '[1]')} THEN NOT {_has(lex.NICK_BAD, s + '[2]')} ELSE length({s}) <= 3 AND {_has(lex.SURNAMES, s + '[1]')} END)"
+
+
+def _compound(s: str) -> str:
+    return f"({_name(s)} AND left({s}, 2) IN {_IN(lex.COMPOUND)})"
 
 
 def _bare(s: str) -> str:
@@ -38,31 +43,42 @@ def _hard(c: str) -> str:
     return f"({c} = '' OR {_has(lex.HARD_BOUND, c)})"
 
 
-_LEADS = ", ".join(f"coalesce(lead(c, {n}) OVER w, '') AS c{n}" for n in range(1, 7))
-_LAGS = ", ".join(f"coalesce(lag(c, {n}) OVER w, '') AS p{n}" for n in range(1, 6))
+_LEADS = ", ".join(f"coalesce(lead(c, {n}) OVER w, '') AS c{n}" for n in range(1, 9))
+_LAGS = ", ".join(f"coalesce(lag(c, {n}) OVER w, '') AS p{n}" for n in range(1, 7))
 CHARS_SQL = (
     NOVELS_SQL
     + f""", cs AS (SELECT novel_id, length(text) AS len, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM novels WHERE text <> ''),
 ch AS MATERIALIZED (SELECT novel_id, len, pos, c AS c0, {_LEADS}, {_LAGS} FROM cs WINDOW w AS (PARTITION BY novel_id ORDER BY pos))"""
 )
+
+
+def _intro_sql(lead: str) -> str:
+    """A lead and the longest name right after it that no Han character follows."""
+    k = len(lead)
+    name = lambda n: " || ".join(f"c{k + i}" for i in range(n))
+    fits = lambda n: f"c{k + n - 1} <> '' AND {_name('(' + name(n) + ')')} AND NOT {_han(f'c{k + n}')}"
+    return f"""SELECT novel_id, len, 'p6' AS rule, name, 1 AS n, pos + {k} AS first, FALSE AS loose FROM (
+      SELECT novel_id, len, pos, CASE WHEN {fits(4)} THEN {name(4)} WHEN {fits(3)} THEN {name(3)} WHEN {fits(2)} THEN {name(2)} END AS name FROM ch WHERE {' || '.join(f'c{i}' for i in range(k))} = {quote(lead)}) WHERE name IS NOT NULL"""
+
+
 _VERBS = f"(SELECT v, n FROM {values_sql(lex.SPEAK + lex.MOVES, 'v', 'n')})"
 _HIT = {
     "p1": f"SELECT novel_id, len, 'p1' AS rule, c0 || c1 AS name, 1 AS n, pos AS first, FALSE AS loose FROM ch WHERE {_has(lex.NICK_PREFIX, 'c0')} AND {_name('(c0 || c1)')} AND {_bound('p1')} AND NOT {_has(lex.THING_TAIL, 'c2')}",
     "p2": f"SELECT novel_id, len, 'p2' AS rule, c0 || c1 || c2 AS name, 1 AS n, pos AS first, FALSE AS loose FROM ch WHERE c0 || c1 || c2 IN {_IN(lex.FULL_NAMES)}",
     "p3": f"""SELECT a.novel_id, a.len, 'p3' AS rule, t.name, 1 AS n, a.pos AS first, FALSE AS loose FROM ch a JOIN {values_sql(lex.ALIASES, 'alias', 'name')} ON a.c0 || a.c1 = t.alias
       WHERE EXISTS (SELECT 1 FROM ch q WHERE q.novel_id = a.novel_id AND q.c0 || q.c1 || q.c2 = t.name) AND NOT EXISTS (SELECT 1 FROM ch q WHERE q.novel_id = a.novel_id AND q.c0 || q.c1 || q.c2 = t.name AND a.pos < q.pos + 3 AND a.pos + 2 > q.pos)""",
-    "p4": f"""SELECT novel_id, len, 'p4' AS rule, name, n, pos - length(name) AS first, loose FROM (
-      SELECT novel_id, len, pos, n, CASE WHEN NOT {_han('s2')} OR p2 = '' OR NOT {_bound('p3')} THEN NULL WHEN {_name('s2')} THEN s2 WHEN {_bare('s2')} AND {_hard('p3')} THEN s2
-        WHEN p3 = '' OR NOT {_han('s3')} OR NOT {_bound('p4')} THEN NULL WHEN {_name('s3')} THEN s3 WHEN {_bare('s3')} AND {_hard('p4')} THEN s3 END AS name,
-        CASE WHEN {_name('s2')} THEN FALSE WHEN {_bare('s2')} AND {_hard('p3')} THEN TRUE ELSE NOT {_name('s3')} END AS loose
-      FROM (SELECT ch.*, v.n, p2 || p1 AS s2, p3 || p2 || p1 AS s3 FROM ch JOIN {_VERBS} v ON CASE WHEN length(v.v) = 1 THEN c0 ELSE c0 || c1 END = v.v)) WHERE name IS NOT NULL""",
-    "p6": f"""SELECT novel_id, len, 'p6' AS rule, name, 1 AS n, pos + 2 AS first, FALSE AS loose FROM (
-      SELECT novel_id, len, pos, CASE WHEN c4 <> '' AND {_name('s3')} AND NOT {_han('c5')} THEN s3 WHEN c3 <> '' AND {_name('s2')} AND NOT {_han('c4')} THEN s2 END AS name
-      FROM (SELECT *, c2 || c3 || c4 AS s3, c2 || c3 AS s2 FROM ch WHERE c0 || c1 IN {_IN(lex.INTRO)})) WHERE name IS NOT NULL""",
-    "p7": f"SELECT novel_id, len, 'p7' AS rule, p1 || c0 || c1 AS name, 1 AS n, pos - 1 AS first, FALSE AS loose FROM ch WHERE c0 || c1 IN {_IN(lex.ROLES)} AND {_has(lex.SURNAMES, 'p1')} AND {_bound('p2')}",
+    "p4": f"""SELECT novel_id, len, 'p4' AS rule, coalesce(name, far) AS name, n, pos - length(coalesce(name, far)) AS first, name IS NOT NULL AND loose AS loose FROM (
+      SELECT novel_id, len, pos, n, CASE WHEN p4 <> '' AND {_compound('s4')} AND {_bound('p5')} THEN s4 WHEN p3 <> '' AND {_compound('s3')} AND {_bound('p4')} THEN s3 END AS far, CASE WHEN NOT {_han('s2')} OR p2 = '' OR NOT {_bound('p3')} THEN NULL WHEN {_name('s2')} THEN s2 WHEN {_bare('s2')} AND {_hard('p3')} THEN s2
+        WHEN p3 = '' OR NOT {_han('s3')} OR NOT {_bound('p4')} THEN NULL WHEN {_name('s3')} THEN s3 WHEN {_bare('s3')} AND {_hard('p4')} THEN s3
+        WHEN p4 = '' OR NOT {_han('s4')} OR NOT {_bound('p5')} THEN NULL WHEN {_name('s4')} THEN s4 END AS name,
+        CASE WHEN {_name('s2')} THEN FALSE WHEN {_bare('s2')} AND {_hard('p3')} THEN TRUE WHEN {_name('s3')} THEN FALSE ELSE {_bare('s3')} AND {_hard('p4')} END AS loose
+      FROM (SELECT ch.*, v.n, p2 || p1 AS s2, p3 || p2 || p1 AS s3, p4 || p3 || p2 || p1 AS s4 FROM ch JOIN {_VERBS} v ON CASE WHEN length(v.v) = 1 THEN c0 ELSE c0 || c1 END = v.v)) WHERE coalesce(name, far) IS NOT NULL""",
+    "p6": " UNION ALL ".join(_intro_sql(lead) for lead in lex.INTRO),
+    "p7": f"SELECT novel_id, len, 'p7' AS rule, p1 || c0 || c1 AS name, 1 AS n, pos - 1 AS first, FALSE AS loose FROM ch WHERE c0 || c1 IN {_IN(lex.ROLES)} AND {_has(lex.SURNAMES, 'p1')} AND ({_bound('p2')} OR {_has(lex.ROLE_BOUND, 'p2')})",
     "p8": f"""SELECT novel_id, len, 'p8' AS rule, name, 1 AS n, pos - length(name) AS first, FALSE AS loose FROM (
-      SELECT novel_id, len, pos, CASE WHEN p3 <> '' AND {_han('s3')} AND NOT {_bound('p4')} THEN NULL WHEN p3 <> '' AND {_name('s3')} THEN s3 WHEN p2 <> '' AND {_han('s2')} AND {_bound('p3')} AND {_name('s2')} THEN s2 END AS name
-      FROM (SELECT *, p3 || p2 || p1 AS s3, p2 || p1 AS s2 FROM ch WHERE c0 || c1 IN {_IN(lex.TITLES)})) WHERE name IS NOT NULL""",
+      SELECT novel_id, len, pos, coalesce(CASE WHEN p3 <> '' AND {_han('s3')} AND NOT {_bound('p4')} THEN NULL WHEN p3 <> '' AND {_name('s3')} THEN s3 WHEN p2 <> '' AND {_han('s2')} AND {_bound('p3')} AND {_name('s2')} THEN s2 END,
+        CASE WHEN p4 <> '' AND {_compound('s4')} AND {_bound('p5')} THEN s4 WHEN p3 <> '' AND {_compound('s3')} AND {_bound('p4')} THEN s3 END) AS name
+      FROM (SELECT *, p4 || p3 || p2 || p1 AS s4, p3 || p2 || p1 AS s3, p2 || p1 AS s2 FROM ch WHERE c0 || c1 IN {_IN(lex.TITLES)})) WHERE name IS NOT NULL""",
     "p9": f"""SELECT novel_id, len, 'p9' AS rule, name, 1 AS n, pos AS first, FALSE AS loose FROM (
       SELECT novel_id, len, pos, CASE WHEN c2 <> '' AND {_han('s3')} AND s3 IN {_IN(lex.CLAUSE_STOP)} THEN NULL WHEN c2 <> '' AND {_han('s3')} AND {_bare('s3')} THEN s3 WHEN c2 <> '' AND {_han('s3')} AND {_has(lex.THING_TAIL, 'c2')} THEN NULL
         WHEN s2 IN {_IN(lex.CLAUSE_STOP)} THEN NULL WHEN {_bare('s2')} THEN s2 END AS name
@@ -71,12 +87,13 @@ _HIT = {
 _S = lambda n: f"right(t, {n})"
 _C = lambda n: f"CASE WHEN length(t) > {n} THEN substring(t, length(t) - {n}, 1) ELSE '' END"
 # The text before a verb without the adverb at its end; b: thirteen characters at most.
-_HIT["p5"] = f"""SELECT novel_id, len, 'p5' AS rule, name, n, pos - (length(b) - length(t)) - length(name) AS first, loose FROM (
-      SELECT *, CASE WHEN length(t) < 2 OR NOT {_han('s2')} OR NOT {_bound('c2')} THEN NULL WHEN {_name('s2')} THEN s2 WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN s2
-        WHEN length(t) < 3 OR NOT {_han('s3')} OR NOT {_bound('c3')} THEN NULL WHEN {_name('s3')} THEN s3 WHEN {_bare('s3')} AND (free OR {_hard('c3')}) THEN s3 END AS name,
-        CASE WHEN {_name('s2')} THEN FALSE WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN TRUE ELSE NOT {_name('s3')} END AS loose
-      FROM (SELECT *, {_S(2)} AS s2, {_S(3)} AS s3, {_C(2)} AS c2, {_C(3)} AS c3, ends_with(b, '地') AS free FROM (SELECT *, regexp_replace(b, '{people.ADVERB}', '') AS t FROM (
-        SELECT ch.novel_id, ch.len, ch.pos, v.n, substring(x.text, greatest(pos - 12, 1)::BIGINT, least(pos, 13)::BIGINT) AS b FROM ch JOIN {_VERBS} v ON CASE WHEN length(v.v) = 1 THEN c0 ELSE c0 || c1 END = v.v JOIN novels x ON x.novel_id = ch.novel_id)) WHERE t <> b AND t <> '')) WHERE name IS NOT NULL"""
+_HIT["p5"] = f"""SELECT novel_id, len, 'p5' AS rule, coalesce(name, far) AS name, n, pos - (length(b) - length(t)) - length(coalesce(name, far)) AS first, name IS NOT NULL AND loose AS loose FROM (
+      SELECT *, CASE WHEN length(t) >= 4 AND {_compound('s4')} AND {_bound('c4')} THEN s4 WHEN length(t) >= 3 AND {_compound('s3')} AND {_bound('c3')} THEN s3 END AS far, CASE WHEN length(t) < 2 OR NOT {_han('s2')} OR NOT {_bound('c2')} THEN NULL WHEN {_name('s2')} THEN s2 WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN s2
+        WHEN length(t) < 3 OR NOT {_han('s3')} OR NOT {_bound('c3')} THEN NULL WHEN {_name('s3')} THEN s3 WHEN {_bare('s3')} AND (free OR {_hard('c3')}) THEN s3
+        WHEN length(t) < 4 OR NOT {_han('s4')} OR NOT {_bound('c4')} THEN NULL WHEN {_name('s4')} THEN s4 END AS name,
+        CASE WHEN {_name('s2')} THEN FALSE WHEN {_bare('s2')} AND (free OR {_hard('c2')}) THEN TRUE WHEN {_name('s3')} THEN FALSE ELSE {_bare('s3')} AND (free OR {_hard('c3')}) END AS loose
+      FROM (SELECT *, {_S(2)} AS s2, {_S(3)} AS s3, {_S(4)} AS s4, {_C(2)} AS c2, {_C(3)} AS c3, {_C(4)} AS c4, ends_with(b, '地') AS free FROM (SELECT *, regexp_replace(b, '{people.ADVERB}', '') AS t FROM (
+        SELECT ch.novel_id, ch.len, ch.pos, v.n, substring(x.text, greatest(pos - 12, 1)::BIGINT, least(pos, 13)::BIGINT) AS b FROM ch JOIN {_VERBS} v ON CASE WHEN length(v.v) = 1 THEN c0 ELSE c0 || c1 END = v.v JOIN novels x ON x.novel_id = ch.novel_id)) WHERE t <> b AND t <> '')) WHERE coalesce(name, far) IS NOT NULL"""
 _TITLES = {
     "p1": "cand_nickname", "p2": "cand_full_name", "p3": "merge_aliases", "p4": "cand_before_verb", "p5": "cand_adverb_verb",
     "p6": "cand_self_intro", "p7": "cand_surname_role", "p8": "cand_name_title", "p9": "cand_clause_initial",
@@ -112,8 +129,8 @@ PERSONS_SQL = f"""{ROLES_SQL}, persons AS (SELECT * FROM (SELECT novel_id, name,
   SELECT novel_id, name, count, first, '' AS role FROM kept UNION ALL SELECT novel_id, name, count, first, name AS role FROM roles)) WHERE rank <= 8)"""
 
 
-def names_of(texts):
-    return people.drop_half_names(people.fuse(people.candidates(texts)))
+def read(texts):
+    return settled(people.scan(texts))
 
 
 @query("p10_fuse_evidence", f"WITH {FUSED_SQL} SELECT novel_id, name, count, first FROM fused")
@@ -123,13 +140,13 @@ def p10(spark, sf_dir):
 
 @query("p11_drop_half_names", f"WITH {KEPT_SQL} SELECT novel_id, name, count, first FROM kept")
 def p11(spark, sf_dir):
-    return names_of(novels(spark, sf_dir))
+    return people.names_of(read(novels(spark, sf_dir)))
 
 
 @query("p12_role_characters", f"WITH {ROLES_SQL} SELECT novel_id, name, count, first FROM roles")
 def p12(spark, sf_dir):
-    texts = novels(spark, sf_dir)
-    return people.role_characters(texts, names_of(texts))
+    texts = read(novels(spark, sf_dir))
+    return people.role_characters(texts, people.names_of(texts))
 
 
 @query("p13_top_persons", f"WITH {PERSONS_SQL} SELECT novel_id, rank, name, count, role FROM persons")
@@ -147,8 +164,8 @@ narrators AS (SELECT w.novel_id, wo::BIGINT AS wo, wo >= 3 AS first_person, CASE
 
 @query("n1_detect_narrator", f"WITH {NARRATOR_SQL} SELECT * FROM narrators")
 def n1(spark, sf_dir):
-    texts = novels(spark, sf_dir)
-    return people.narrator(texts, people.persons(texts), people.introduced(texts))
+    texts = read(novels(spark, sf_dir))
+    return people.narrator(texts, settled(people.persons_of(texts)))
 
 
 def _gender_sql(name: str, word: bool) -> str:
@@ -178,12 +195,12 @@ genders AS (SELECT p.novel_id, p.name, coalesce(nullif({_gender_sql('p.name', Tr
 
 @query("g2_gender_by_pronoun", f"WITH {GENDERS_SQL} SELECT novel_id, name, gender FROM told")
 def g2(spark, sf_dir):
-    texts = novels(spark, sf_dir)
-    return people.gender_by_pronoun(texts, people.persons(texts))
+    texts = read(novels(spark, sf_dir))
+    return people.gender_by_pronoun(texts, settled(people.persons_of(texts)))
 
 
 @query("g4_genders", f"WITH {GENDERS_SQL} SELECT novel_id, name, gender FROM genders")
 def g4(spark, sf_dir):
     """All three rules in turn."""
-    texts = novels(spark, sf_dir)
-    return people.genders(texts, people.persons(texts))
+    texts = read(novels(spark, sf_dir))
+    return people.genders(texts, settled(people.persons_of(texts)))

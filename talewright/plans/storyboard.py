@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from talewright.functions import segment
 from talewright.functions.lexicon import DEFAULT, Lexicon
+from talewright.functions.shared import settled
 from talewright.operators import classify, looks, people, places, project, shots
 
 
@@ -57,17 +58,6 @@ class Storyboard:
     units: DataFrame
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, where the session names one."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def facts(novels: DataFrame, lex: Lexicon = DEFAULT, style: str = "") -> DataFrame:
     """novels with style, era, modern (whether the text knows modern things) and season."""
     text = F.col("text")
@@ -77,9 +67,10 @@ def facts(novels: DataFrame, lex: Lexicon = DEFAULT, style: str = "") -> DataFra
 
 def cast(novels: DataFrame, limit: int = 8, lex: Lexicon = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(persons with gender and is_narrator, narrators) of normalised novels."""
-    found = settled(people.persons(novels, limit, lex))
-    told = settled(people.narrator(novels, found, people.introduced(novels, lex), lex))
-    sexes = people.genders(novels, found, lex)
+    read = settled(people.scan(novels, lex))
+    found = settled(people.persons_of(read, limit, lex))
+    told = settled(people.narrator(read, found, lex))
+    sexes = people.genders(read, found, lex)
     named = told.where("name <> ''").select("novel_id", "name", F.lit(True).alias("is_narrator"))
     rows = found.join(sexes, ["novel_id", "name"]).join(named, ["novel_id", "name"], "left").withColumn("is_narrator", F.coalesce("is_narrator", F.lit(False)))
     return settled(rows), told

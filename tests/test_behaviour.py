@@ -91,9 +91,9 @@ def test_pronouns_go_to_the_nearest_name(spark):
     """A name's first pronoun decides; 其他 is none, and nothing is looked for beyond twenty characters."""
     cast = spark.createDataFrame([(1, 0, "甲子"), (1, 1, "乙丑")], "novel_id long, rank int, name string")
     text = "甲子坐下其他人他，後來乙丑來，她笑他" + "。" * 40 + "她"
-    assert {(r.name, r.gender) for r in people.gender_by_pronoun(_novel(spark, text), cast).collect()} == {("甲子", "m"), ("乙丑", "f")}
+    assert {(r.name, r.gender) for r in people.gender_by_pronoun(people.scan(_novel(spark, text)), cast).collect()} == {("甲子", "m"), ("乙丑", "f")}
     far = "甲子" + "，" * 19 + "她"
-    assert people.gender_by_pronoun(_novel(spark, far), cast).count() == 0 and people.gender_by_pronoun(_novel(spark, far[:2] + far[3:]), cast).count() == 1
+    assert people.gender_by_pronoun(people.scan(_novel(spark, far)), cast).count() == 0 and people.gender_by_pronoun(people.scan(_novel(spark, far[:2] + far[3:])), cast).count() == 1
 
 
 # -- shots
