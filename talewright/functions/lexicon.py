@@ -190,3 +190,51 @@ def read_lexicon(table: DataFrame, base: Lexicon = DEFAULT) -> Lexicon:
             new = tuple((k, int(v or 1) if head in WEIGHTED else v if v is not None else k) for k, v in entries.items())
         out[head] = {**known, part.lower(): new} if part else new
     return Lexicon(**out)
+
+
+#: Pools whose leaves go by one name (a pattern, a style, a type of place), by the list that they fill.
+NAMED_POOLS = ("ROLE_OUTFITS", "STYLE_OUTFITS", "SCENE_TEXTURE", "SCENE_LIGHT", "SCENE_BY_NAME")
+
+
+def pool_rows(lex: Lexicon = DEFAULT) -> list[tuple[str, str, int, str]]:
+    """(pool, path, ord, value) of all pools: looks by era/sex, outfits and scenes by name, seasons by name/phrase/weight. A leaf is named as
+    often as it stands, so the order of leaves is that of their first rows."""
+    leaves = [(kind, f"{era}/{sex}", values) for kind, era, sex, values in lex.POOLS]
+    leaves += [(name.lower(), path, values) for name in NAMED_POOLS for path, values in getattr(lex, name)]
+    leaves += [("seasons", f"{name}/{phrase}/{weight}", (pattern,)) for name, phrase, clues in lex.SEASONS for pattern, weight in clues]
+    out: list[tuple[str, str, int, str]] = []
+    for pool, path, values in leaves:
+        out += [(pool, path, len(out) + i, v) for i, v in enumerate(values)]
+    return out
+
+
+def read_pools(table: DataFrame, base: Lexicon = DEFAULT) -> Lexicon:
+    """base with the pools of a table (pool, path, ord, value) in the place of its own of the same name.
+
+    Paths are those of ``pool_rows``; leaves and values go by ord. Looks (hair, face, eyes, mark, outfit) are pools by era/sex, where an empty era is
+    every era and n both sexes. Rows without a value count for nothing. Another pool or path, or more than MAX_ENTRIES rows, is an error.
+    """
+    rows = table.where("value <> ''").select("pool", "path", "ord", "value").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the pools have more than {MAX_ENTRIES} values")
+    leaves: dict[str, dict[str, list[str]]] = {}
+    for r in sorted(rows, key=lambda r: (r.ord is None, r.ord or 0, r.path or "", r.value)):
+        leaves.setdefault(r.pool, {}).setdefault(r.path or "", []).append(r.value)
+    out = dict(vars(base))
+    looks = {kind for kind, *_ in base.POOLS}
+    for pool, some in leaves.items():
+        if pool.upper() in NAMED_POOLS:
+            out[pool.upper()] = tuple((path, tuple(values)) for path, values in some.items())
+        elif pool == "seasons":
+            clues: dict[tuple[str, str], list[tuple[str, int]]] = {}
+            for path, values in some.items():
+                name, phrase, weight = (path.split("/") + ["", "1"])[:3]
+                clues.setdefault((name, phrase), []).extend((v, int(weight)) for v in values)
+            out["SEASONS"] = tuple((name, phrase, tuple(found)) for (name, phrase), found in clues.items())
+        elif pool in looks:
+            if bad := [path for path in some if path.count("/") != 1 or path.split("/")[1] not in ("f", "m", "n")]:
+                raise ValueError(f"no leaf of {pool} is named {bad[0]}")
+            out["POOLS"] = tuple(p for p in out["POOLS"] if p[0] != pool) + tuple((pool, *path.split("/"), tuple(values)) for path, values in some.items())
+        else:
+            raise ValueError(f"no pool is named {pool}")
+    return Lexicon(**out)

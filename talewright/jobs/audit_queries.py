@@ -80,21 +80,23 @@ def m5(spark, sf_dir):
     return mining.concordance(sentence_shots(novels(spark, sf_dir)).select("novel_id", F.col("shot_no").alias("sent_no"), F.col("narr").alias("sentence")), _TERMS)
 
 
-# Two lexicons from the vocabulary: each language is a list, its short words the keys.
+# Two lexicons from the vocabulary: each language is a list, its short words the keys. The new one has a word once for each of two halves of
+# the documents, so lists repeat keys.
+_KIND = "CASE lang WHEN 'de' THEN 'plain' WHEN 'fr' THEN 'set' ELSE 'pairs' END"
 _WORDS = "SELECT lang, doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang IS NOT NULL"
-_OLD = f"SELECT lang AS list, min(doc_id) AS ord, word AS key, NULL::VARCHAR AS value FROM ({_WORDS}) WHERE length(word) BETWEEN 2 AND 4 GROUP BY lang, word"
-_NEW = f"SELECT lang AS list, max(doc_id) AS ord, word AS key, 'v' || length(word) AS value FROM ({_WORDS} AND lang <> 'es') WHERE length(word) BETWEEN 3 AND 5 GROUP BY lang, word"
-_TURN = "row_number() OVER (PARTITION BY list ORDER BY CASE WHEN changed THEN -length(key) ELSE 0 END, src, ord, key)"
-MERGED_SQL = f"""o AS ({_OLD}), n AS ({_NEW}), c AS (SELECT DISTINCT n.list FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.list = n.list AND o.key = n.key)),
-a AS (SELECT x.*, c.list IS NOT NULL AS changed FROM (SELECT *, 0 AS src FROM n UNION ALL SELECT *, 1 FROM o) x LEFT JOIN c ON c.list = x.list), b AS (SELECT * FROM a WHERE changed OR src = 1),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list, key ORDER BY src, ord) AS k FROM b) WHERE k = 1), merged AS (SELECT list, {_TURN} - 1 AS ord, key, coalesce(value, key || '特寫') AS value FROM d)"""
+_OLD = f"SELECT lang AS list, {_KIND} AS kind, min(doc_id) AS ord, word AS key, NULL::VARCHAR AS value FROM ({_WORDS}) WHERE length(word) BETWEEN 2 AND 4 GROUP BY lang, word"
+_NEW = f"SELECT lang AS list, {_KIND} AS kind, max(doc_id) AS ord, word AS key, 'v' || length(word) AS value FROM ({_WORDS} AND lang <> 'es') WHERE length(word) BETWEEN 3 AND 5 GROUP BY lang, word, doc_id % 2"
+_TURN = "row_number() OVER (PARTITION BY list ORDER BY CASE WHEN changed AND kind = 'pairs' THEN -length(key) ELSE 0 END, src, ord, key)"
+MERGED_SQL = f"""o AS ({_OLD}), n AS ({_NEW}), f AS (SELECT list, kind, ord, key, value FROM (SELECT *, row_number() OVER (PARTITION BY list, key ORDER BY ord) AS k FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.list = n.list AND o.key = n.key)) WHERE k = 1 OR kind = 'plain'),
+a AS (SELECT *, 0 AS src FROM f UNION ALL SELECT *, 1 FROM o), d AS (SELECT a.*, EXISTS (SELECT 1 FROM f WHERE f.list = a.list) AS changed FROM a),
+merged AS (SELECT list, {_TURN} - 1 AS ord, key, CASE WHEN changed AND kind = 'pairs' THEN coalesce(value, key || '特寫') ELSE value END AS value FROM d)"""
 
 
 def _lists(spark, sf_dir):
     words = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", "doc_id", F.explode(F.split("text", " ")).alias("word"))
-    of = lambda rows, ord, value: rows.groupBy("lang", "word").agg(ord("doc_id").alias("ord")).select(F.col("lang").alias("list"), "ord", F.col("word").alias("key"), value.cast("string").alias("value"))
-    old = of(words.where("length(word) BETWEEN 2 AND 4"), F.min, F.lit(None))
-    new = of(words.where("lang <> 'es' AND length(word) BETWEEN 3 AND 5"), F.max, F.concat(F.lit("v"), F.length("word")))
+    of = lambda rows, by, ord, value: rows.groupBy("lang", "word", *by).agg(ord("doc_id").alias("ord")).select(F.col("lang").alias("list"), F.expr(_KIND).alias("kind"), "ord", F.col("word").alias("key"), value.cast("string").alias("value"))
+    old = of(words.where("length(word) BETWEEN 2 AND 4"), [], F.min, F.lit(None))
+    new = of(words.where("lang <> 'es' AND length(word) BETWEEN 3 AND 5"), [F.col("doc_id") % 2], F.max, F.concat(F.lit("v"), F.length("word")))
     return old, new
 
 
@@ -103,11 +105,43 @@ def m6(spark, sf_dir):
     return mining.merge_lexicons(*_lists(spark, sf_dir))
 
 
+@query(
+    "m6_merge_report",
+    f"WITH {MERGED_SQL} SELECT m.list, (SELECT count(*) FROM f WHERE f.list = m.list) AS fresh, (SELECT count(*) FROM n WHERE n.list = m.list) - (SELECT count(*) FROM f WHERE f.list = m.list) AS repeated, count(*) AS total FROM merged m GROUP BY m.list",
+)
+def m6_report(spark, sf_dir):
+    return mining.merge_report(*_lists(spark, sf_dir))
+
+
+# Pools from the vocabulary: each language is a pool, each first letter a leaf; the leaf a holds a single value.
+_LEAF = "lang AS pool, substring(word, 1, 1) AS path"
+POOLS_SQL = f"""po AS (SELECT {_LEAF}, min(doc_id) AS ord, word AS value FROM ({_WORDS}) WHERE length(word) BETWEEN 2 AND 4 GROUP BY lang, word), pn AS (SELECT {_LEAF}, max(doc_id) AS ord, word AS value, substring(word, 1, 1) = 'a' AS single FROM ({_WORDS} AND lang <> 'es') WHERE length(word) BETWEEN 3 AND 5 GROUP BY lang, word),
+pm AS (SELECT *, 1 AS src FROM pn WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.pool = pn.pool AND po.path = pn.path) OR NOT (single OR EXISTS (SELECT 1 FROM po WHERE po.pool = pn.pool AND po.path = pn.path AND po.value = pn.value))),
+pools AS (SELECT pool, path, row_number() OVER (PARTITION BY pool, path ORDER BY src, ord, value) - 1 AS ord, value FROM (SELECT pool, path, ord, value, 0 AS src FROM po UNION ALL SELECT pool, path, ord, value, src FROM pm))"""
+
+
+def _pools(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", "doc_id", F.explode(F.split("text", " ")).alias("word"))
+    of = lambda rows, ord: rows.groupBy("lang", "word").agg(ord("doc_id").alias("ord")).select(F.col("lang").alias("pool"), F.substring("word", 1, 1).alias("path"), "ord", F.col("word").alias("value"))
+    new = of(words.where("lang <> 'es' AND length(word) BETWEEN 3 AND 5"), F.max)
+    return of(words.where("length(word) BETWEEN 2 AND 4"), F.min), new.withColumn("single", F.col("path") == "a")
+
+
+@query("m6_merge_pools", f"WITH {POOLS_SQL} SELECT pool, path, ord, value FROM pools")
+def m6_pools(spark, sf_dir):
+    return mining.merge_pools(*_pools(spark, sf_dir))
+
+
+@query("m6_pool_report", f"WITH {POOLS_SQL} SELECT pool, (SELECT count(*) FROM po WHERE po.pool = pools.pool) AS before, count(*) AS after FROM pools GROUP BY pool")
+def m6_pool_report(spark, sf_dir):
+    return mining.pool_report(*_pools(spark, sf_dir))
+
+
 @query(
     "m7_lexicon_checks",
     f"""WITH x AS (SELECT list, ord, key FROM ({_OLD}) UNION ALL SELECT list, ord, key FROM ({_NEW})), k AS (SELECT list, key, min(ord) AS first, max(ord) AS last FROM x WHERE key <> '' GROUP BY ALL),
 s AS (SELECT DISTINCT list, substring(key, i, n) AS part, last FROM (SELECT *, unnest(range(1, length(key) + 1)) AS i FROM k), range(1, 5) r(n) WHERE i + n - 1 <= length(key) AND n < length(key)), l AS (SELECT list, part, max(last) AS last FROM s GROUP BY ALL)
-SELECT list, key, 'repeated' AS problem FROM x GROUP BY list, key HAVING count(*) > 1 UNION ALL SELECT list, key, 'empty' FROM x WHERE trim(key) = ''
+SELECT list, key, 'repeated' AS problem FROM x GROUP BY list, key HAVING count(*) > 1 UNION ALL SELECT list, key, 'empty' FROM x WHERE trim(key, ' ') = '' UNION ALL SELECT list, key, 'blanks around the word' FROM x WHERE trim(key, ' ') <> '' AND trim(key, ' ') <> key
 UNION ALL SELECT k.list, k.key, 'hides a longer key' FROM k JOIN l ON l.list = k.list AND l.part = k.key WHERE k.first < l.last""",
 )
 def m7(spark, sf_dir):
@@ -115,6 +149,22 @@ def m7(spark, sf_dir):
     return mining.lexicon_checks(old.select("list", "ord", "key").union(new.select("list", "ord", "key")))
 
 
+# The form of a word's list goes by its language; every ninth document's words make patterns with a bracket that nothing closes.
+_FORM = "CASE lang WHEN 'de' THEN 'regex' WHEN 'fr' THEN 'characters' WHEN 'es' THEN 'weights' ELSE 'pairs' END"
+_FORM_KEY = "CASE WHEN lang = 'de' AND doc_id % 9 = 0 THEN '(' || regexp_replace(word, '[^a-z]', '') ELSE regexp_replace(word, '[^a-z]', '') END"
+_FORM_VALUE = "CASE WHEN lang = 'es' THEN CASE WHEN length(word) > 4 THEN 'many' ELSE '3' END WHEN length(word) = 3 THEN '' ELSE word END"
+
+
+@query(
+    "m7_malformed",
+    f"""WITH x AS (SELECT DISTINCT lang AS list, {_FORM} AS kind, {_FORM_KEY.replace("'[^a-z]', ''", "'[^a-z]', '', 'g'")} AS key, {_FORM_VALUE} AS value FROM ({_WORDS}))
+SELECT list, key, CASE WHEN trim(key) = '' THEN 'empty' WHEN kind = 'pairs' AND value = '' THEN 'pair without a value' WHEN kind = 'weights' AND value = 'many' THEN 'weight is no number' WHEN kind = 'characters' AND length(key) <> 1 THEN 'more than one character' WHEN kind = 'regex' AND starts_with(key, '(') THEN 'regex does not compile' END AS problem FROM x WHERE problem IS NOT NULL""",
+)
+def m7_malformed(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("lang", "doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return mining.malformed(words.select(F.col("lang").alias("list"), F.expr(_FORM).alias("kind"), F.lit(0).alias("ord"), F.expr(_FORM_KEY).alias("key"), F.expr(_FORM_VALUE).alias("value")).distinct())
+
+
 @query(
     "m8_export_lexicon",
     f"WITH {MERGED_SQL} SELECT list, ord // {mining.EXPORT} AS part, count(*) AS n, to_json(list(key ORDER BY ord))::VARCHAR AS entries FROM merged GROUP BY ALL",

@@ -8,7 +8,7 @@ from talewright.functions import lexicon as lex
 from talewright.operators import places, project, shots
 from talewright.plans import storyboard as plan
 
-from .catalog import SHOTS_SQL, novels, query, table
+from .catalog import SHOTS_SQL, novels, packed_shots, query, table
 from .desc_queries import DESC_SQL, FACTS_SQL, SCENES_SQL
 from .shot_queries import CHARS_SQL, DUR_SQL, LENS_SQL, SCENED_SQL, SIZE_SQL, WHO_SQL, full_shots, scened, subjects
 
@@ -88,6 +88,20 @@ def u7(spark, sf_dir):
     return with_units(timed(novels(spark, sf_dir))).select("novel_id", "shot_no", "unit_no")
 
 
+# Ten shots are a unit of a table; every other one reaches two shots into the next, the rest end two shots early.
+@query(
+    "u7_assign_from_table",
+    f"""WITH {SHOTS_SQL}, t AS (SELECT DISTINCT novel_id, shot_no // 10 AS unit_no FROM shots), units AS (SELECT novel_id, unit_no, unit_no * 10 AS a, unit_no * 10 + CASE WHEN unit_no % 2 = 0 THEN 11 ELSE 7 END AS b FROM t)
+SELECT s.novel_id, s.shot_no, u.unit_no FROM shots s LEFT JOIN units u ON u.novel_id = s.novel_id AND s.shot_no BETWEEN u.a AND u.b""",
+)
+def u7_table(spark, sf_dir):
+    rows = packed_shots(novels(spark, sf_dir)).select("novel_id", "shot_no")
+    k = F.floor(F.col("shot_no") / 10)
+    units = rows.select("novel_id", k.alias("unit_no")).distinct()
+    units = units.withColumns({"from_shot": F.col("unit_no") * 10, "to_shot": F.col("unit_no") * 10 + F.when(F.col("unit_no") % 2 == 0, 11).otherwise(7)})
+    return project.assign_unit(rows, units)
+
+
 # Cast cards made from documents: the project's from even sources, the incoming ones from all.
 _CARDS = "SELECT source AS name, CASE WHEN count(*) % 2 = 0 THEN 'lead' ELSE '' END AS role, CASE WHEN count(*) % 3 = 0 THEN '' ELSE max(lang) END AS \"desc\", '' AS ref, CASE WHEN count(*) % 4 = 0 THEN NULL ELSE 0.7 END::DOUBLE AS face, 0.6::DOUBLE AS body FROM documents WHERE source IS NOT NULL GROUP BY source"
 _OLD = "SELECT source AS name, 'old' AS role, 'kept look' AS \"desc\", 'r.png' AS ref, 0.85::DOUBLE AS face, 0.5::DOUBLE AS body FROM documents WHERE source IS NOT NULL AND doc_id % 40 < 20 GROUP BY source"
@@ -143,6 +157,18 @@ def u10(spark, sf_dir):
     return project.replace_unit_shots(rows.drop("role"), rows.where("role = 'assistant'").withColumn("narr", F.concat(F.lit("+"), "narr")).drop("role"))
 
 
+@query(
+    "u10_first_style",
+    """WITH p AS (SELECT conv_id AS project_id, max(CASE WHEN turn % 2 = 1 THEN role ELSE '' END) AS style FROM conversations WHERE turn < 2 GROUP BY 1), i AS (SELECT conv_id + 1 AS project_id, max(role) AS style FROM conversations GROUP BY 1)
+SELECT coalesce(p.project_id, i.project_id) AS project_id, coalesce(nullif(p.style, ''), nullif(i.style, ''), '') AS style FROM p FULL OUTER JOIN i ON i.project_id = p.project_id""",
+)
+def u10_style(spark, sf_dir):
+    """A conversation is a project, its style the role of its second turn; styles come in for all but the first project, and a new one."""
+    rows = table(spark, sf_dir, "conversations")
+    had = rows.where("turn < 2").groupBy(F.col("conv_id").alias("project_id")).agg(F.max(F.when(F.col("turn") % 2 == 1, F.col("role")).otherwise("")).alias("style"))
+    return project.first_style(had, rows.groupBy((F.col("conv_id") + 1).alias("project_id")).agg(F.max("role").alias("style")))
+
+
 #: Prompts of shots with who, scene and lens.
 PROMPT_SQL = """concat_ws(chr(10) || chr(10), nullif(trim(p."desc"), ''), nullif(trim(q."desc"), ''), nullif(trim(l.lens), ''), f.style) AS prompt"""
 PROMPT_FROM = """lenses l JOIN facts f ON f.novel_id = l.novel_id LEFT JOIN described p ON p.novel_id = l.novel_id AND p.name = l.who LEFT JOIN scenes q ON q.novel_id = l.novel_id AND q.name = l.scene"""
@@ -201,32 +227,48 @@ def b5(spark, sf_dir):
     return project.unit_season(scened(texts).withColumn("unit_no", F.floor(F.col("shot_no") / 10)), plan.scenes_of(texts))
 
 
-@query(
-    "b6_asset_latest",
-    r"""WITH a AS (SELECT 'U' || user_id % 9 || '_S' || lpad((event_id % 40)::VARCHAR, 3, '0') || '_v' || event_id % 6 || CASE WHEN event_id % 17 = 0 THEN '.jpg' ELSE '.png' END AS path, event_type AS status FROM events),
-r AS (SELECT regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 1) AS unit, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 2) AS shot, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 3)::INT AS version, path FROM a WHERE regexp_matches(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$'))
-SELECT unit, shot, max(version) AS version, arg_max(path, version) AS path FROM r GROUP BY ALL""",
-)
-def b6(spark, sf_dir):
-    e = F.col("event_id")
+# A picture of the events: its name has a unit, a shot and a version, its status is the event's type. Nine units have pictures, twelve are wanted.
+_FILES = r"""a AS (SELECT 'U' || user_id % 9 || '_S' || lpad((event_id % 40)::VARCHAR, 3, '0') || '_v' || event_id % 6 || CASE WHEN event_id % 17 = 0 THEN '.jpg' ELSE '.png' END AS path, event_type AS status FROM events),
+r AS (SELECT regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 1) AS unit, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 2) AS shot, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 3)::INT AS version, path, coalesce(status, '') AS status FROM a WHERE regexp_matches(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$')),
+l AS (SELECT unit, shot, version, status, path FROM (SELECT *, row_number() OVER (PARTITION BY unit, shot ORDER BY version DESC, path, status) AS k FROM r) WHERE k = 1),
+w AS (SELECT DISTINCT 'U' || user_id % 12 AS unit, 'S' || lpad((event_id % 40)::VARCHAR, 3, '0') AS shot FROM events)"""
+_STATUSES = ("click", "purchase", "view")
+
+
+def _pictures(spark, sf_dir):
+    """(wanted shots, files)."""
+    e, events = F.col("event_id"), table(spark, sf_dir, "events")
     path = F.concat(F.lit("U"), (F.col("user_id") % 9).cast("string"), F.lit("_S"), F.lpad((e % 40).cast("string"), 3, "0"), F.lit("_v"), (e % 6).cast("string"), F.when(e % 17 == 0, ".jpg").otherwise(".png"))
-    return project.asset_latest(table(spark, sf_dir, "events").select(path.alias("path"), F.col("event_type").alias("status"))).select("unit", "shot", "version", "path")
+    wanted = events.select(F.concat(F.lit("U"), (F.col("user_id") % 12).cast("string")).alias("unit"), F.concat(F.lit("S"), F.lpad((e % 40).cast("string"), 3, "0")).alias("shot"))
+    return wanted, events.select(path.alias("path"), F.col("event_type").alias("status"))
+
+
+@query("b6_asset_latest", f"WITH {_FILES} SELECT * FROM l")
+def b6(spark, sf_dir):
+    return project.asset_latest(_pictures(spark, sf_dir)[1])
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in _STATUSES)
+
 
+@query("b6_asset_counts", f"WITH {_FILES} SELECT unit, {_COUNTS}, count(*) FILTER (status NOT IN {_STATUSES}) AS other FROM l GROUP BY unit")
+def b6_counts(spark, sf_dir):
+    return project.asset_counts(_pictures(spark, sf_dir)[1], _STATUSES)
 
-_NAMED = r"regexp_matches(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$')"
+
+@query("b6_asset_pending", f"WITH {_FILES} SELECT unit, shot, unit || '_' || shot || '_v1.png' AS next FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.unit = w.unit AND r.shot = w.shot)")
+def b6_pending(spark, sf_dir):
+    return project.asset_pending(*_pictures(spark, sf_dir))
+
+
+@query("b6_asset_redo", f"WITH {_FILES} SELECT unit, shot, status, path, unit || '_' || shot || '_v' || (version + 1) || '.png' AS next FROM l SEMI JOIN w USING (unit, shot) WHERE status IN ('click', 'view')")
+def b6_redo(spark, sf_dir):
+    return project.asset_redo(*_pictures(spark, sf_dir), ("click", "view"))
 
 
 @query(
     "b6_asset_report",
-    rf"""WITH a AS (SELECT 'U' || user_id % 9 || '_S' || lpad((event_id % 40)::VARCHAR, 3, '0') || '_v' || event_id % 6 || CASE WHEN event_id % 17 = 0 THEN '.jpg' ELSE '.png' END AS path, event_type AS status FROM events),
-r AS (SELECT regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 1) AS unit, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 2) AS shot, regexp_extract(path, '^(.+)_(S[0-9]+)_v([0-9]+)\.png$', 3)::INT AS version, min(status) AS status FROM a WHERE {_NAMED} GROUP BY ALL),
-l AS (SELECT unit, shot, arg_max(status, version) AS status FROM r GROUP BY ALL), w AS (SELECT DISTINCT 'U' || user_id % 12 AS unit, 'S' || lpad((event_id % 40)::VARCHAR, 3, '0') AS shot FROM events)
-SELECT unit, count(*) AS wanted, count(*) FILTER (status IS NOT NULL AND status <> 'click') AS done, count(*) FILTER (status = 'click') AS redo, count(*) FILTER (status IS NULL) AS pending FROM w LEFT JOIN l USING (unit, shot) GROUP BY unit""",
+    f"WITH {_FILES} SELECT w.unit, count(*) AS wanted, count(*) FILTER (status IS NOT NULL AND status <> 'click') AS done, count(*) FILTER (status = 'click') AS redo, count(*) FILTER (status IS NULL) AS pending FROM w LEFT JOIN l USING (unit, shot) GROUP BY w.unit",
 )
 def b6_report(spark, sf_dir):
-    """Pictures of nine units; twelve are wanted. Of files of one version the first status by name counts."""
-    e, events = F.col("event_id"), table(spark, sf_dir, "events")
-    path = F.concat(F.lit("U"), (F.col("user_id") % 9).cast("string"), F.lit("_S"), F.lpad((e % 40).cast("string"), 3, "0"), F.lit("_v"), (e % 6).cast("string"), F.when(e % 17 == 0, ".jpg").otherwise(".png"))
-    files = events.select(path.alias("path"), F.col("event_type").alias("status")).groupBy("path").agg(F.min("status").alias("status"))
-    wanted = events.select(F.concat(F.lit("U"), (F.col("user_id") % 12).cast("string")).alias("unit"), F.concat(F.lit("S"), F.lpad((e % 40).cast("string"), 3, "0")).alias("shot"))
-    return project.asset_report(wanted, files, ("click",))
+    return project.asset_report(*_pictures(spark, sf_dir), ("click",))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from talewright.functions.lexicon import DEFAULT, Lexicon
 
+from .mining import numbered
+
 UNIT_MIN, UNIT_MAX, TAIL = 600, 900, 300
 
 
@@ -52,6 +54,23 @@ def with_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, ta
     return rows.withColumn("hard", F.get("hard", F.col("unit_no"))).drop("unit")
 
 
+#: Shots of a bin of the range join.
+BIN = 1024
+
+
+def assign_unit(shots: DataFrame, units: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """Shots (novel_id, shot_no and more) with the unit_no of each unit of a table (novel_id, unit_no, from_shot, to_shot; others are left
+    out) that holds them: a row for each where units overlap, one with null where none does.
+
+    A range join by bins: a unit stands in the bins of shot numbers that it reaches, a shot in one; they meet by novel and bin, then the
+    bounds decide. So a long novel is many keys, and a unit has a row for each bin_size of its shots.
+    """
+    bins = F.sequence(F.floor(F.col("from_shot") / bin_size), F.floor(F.col("to_shot") / bin_size))
+    spread = units.where("from_shot <= to_shot").select(F.col("novel_id").alias("_n"), "unit_no", "from_shot", "to_shot", F.explode(bins).alias("_b"))
+    here = (F.col("novel_id") == F.col("_n")) & (F.floor(F.col("shot_no") / bin_size) == F.col("_b")) & F.col("shot_no").between(F.col("from_shot"), F.col("to_shot"))
+    return shots.join(spread, here, "left").drop("_n", "_b", "from_shot", "to_shot")
+
+
 def units_of_shots(shots: DataFrame) -> DataFrame:
     """(novel_id, unit_no, from_shot, to_shot, dur, hard) of shots with unit_no and hard."""
     sums = shots.groupBy("novel_id", "unit_no").agg(F.min("shot_no").alias("from_shot"), F.max("shot_no").alias("to_shot"), (F.sum(tenths(F.col("dur"))) / 10).alias("dur"), F.max("hard").alias("hard"))
@@ -128,11 +147,18 @@ def shot_id(number: Column) -> Column:
 
 def replace_unit_shots(project: DataFrame, incoming: DataFrame) -> DataFrame:
     """The project's shots (project_id, unit, seq, narr) without the units that come in, then the incoming ones, numbered
-    anew S001, S002 ... within the project."""
+    anew S001, S002 ... within the project. Each unit is numbered on its own and begins where the ones before it end."""
     kept = project.join(incoming.select("project_id", "unit").distinct(), ["project_id", "unit"], "left_anti").withColumn("turn", F.lit(0))
     rows = kept.unionByName(incoming.withColumn("turn", F.lit(1)))
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("turn", "unit", "seq"))
-    return rows.select("project_id", "unit", "seq", "narr", shot_id(n).alias("shot_id"))
+    rows = numbered(rows, [F.col("turn"), F.col("unit")], ["seq"], ("project_id",))
+    return rows.select("project_id", "unit", "seq", "narr", shot_id(F.col("ord") + 1).alias("shot_id"))
+
+
+def first_style(projects: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(project_id, style): a project keeps the style that it has; one without a style, or a new one, takes that which comes in."""
+    full = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    both = projects.select("project_id", "style").join(incoming.select("project_id", F.col("style").alias("_new")), "project_id", "full_outer")
+    return both.select("project_id", F.coalesce(F.when(full("style").isNotNull(), F.col("style")), F.when(full("_new").isNotNull(), F.col("_new")), F.lit("")).alias("style"))
 
 
 def build_prompt(shots: DataFrame, chars: DataFrame, scenes: DataFrame, style: Column) -> DataFrame:
@@ -180,12 +206,41 @@ def unit_season(shots: DataFrame, scenes: DataFrame) -> DataFrame:
     return counts.groupBy("novel_id", "unit_no").agg(F.min_by("season", F.struct((-F.col("n")).alias("n"), "first")).alias("season"))
 
 
-def asset_latest(assets: DataFrame) -> DataFrame:
-    """(unit, shot, version, status, path): the latest version of each shot, by its file name {unit}_{shot}_v{n}.png."""
+def asset_files(assets: DataFrame) -> DataFrame:
+    """(unit, shot, version, status, path) of the files (path, status) that are named {unit}_{shot}_v{n}.png; others are left out."""
     name = "^(.+)_(S[0-9]+)_v([0-9]+)\\.png$"
-    rows = assets.where(F.col("path").rlike(name)).select(F.regexp_extract("path", name, 1).alias("unit"), F.regexp_extract("path", name, 2).alias("shot"), F.regexp_extract("path", name, 3).cast("int").alias("version"), "status", "path")
-    last = F.row_number().over(Window.partitionBy("unit", "shot").orderBy(F.desc("version"), "path"))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+    rows = assets.where(F.col("path").rlike(name))
+    return rows.select(F.regexp_extract("path", name, 1).alias("unit"), F.regexp_extract("path", name, 2).alias("shot"), F.regexp_extract("path", name, 3).cast("int").alias("version"), "status", "path")
+
+
+def asset_latest(assets: DataFrame) -> DataFrame:
+    """(unit, shot, version, status, path): the latest version of each shot. Of files of one version the first path counts, then the
+    first status; a file without a status has an empty one."""
+    last = F.struct((-F.col("version")).alias("v"), "path", F.coalesce("status", F.lit("")).alias("status"))
+    rows = asset_files(assets).groupBy("unit", "shot").agg(F.min(last).alias("f"))
+    return rows.select("unit", "shot", (-F.col("f.v")).alias("version"), "f.status", "f.path")
+
+
+def asset_counts(assets: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """Per unit a column for each status with the shots whose latest file has it, and the others."""
+    latest = asset_latest(assets)
+    known = F.when(F.col("status").isin(*statuses), F.col("status")).otherwise("other")
+    counts = latest.withColumn("_s", known).groupBy("unit").pivot("_s", [*statuses, "other"]).agg(F.count(F.lit(1)))
+    return counts.select("unit", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in (*statuses, "other")))
+
+
+def asset_pending(wanted: DataFrame, assets: DataFrame) -> DataFrame:
+    """(unit, shot, next) of the wanted shots without a file, with the name of the one to make."""
+    rows = wanted.select("unit", "shot").distinct().join(asset_files(assets).select("unit", "shot"), ["unit", "shot"], "left_anti")
+    return rows.select("unit", "shot", F.concat_ws("_", "unit", "shot", F.lit("v1.png")).alias("next"))
+
+
+def asset_redo(wanted: DataFrame, assets: DataFrame, redo: tuple[str, ...]) -> DataFrame:
+    """(unit, shot, status, path, next) of the wanted shots whose latest file asks to be done again. Versions go up and no file is ever
+    overwritten, so the next name is that of the version after the latest."""
+    latest = asset_latest(assets).where(F.col("status").isin(*redo))
+    rows = latest.join(wanted.select("unit", "shot").distinct(), ["unit", "shot"], "left_semi")
+    return rows.select("unit", "shot", "status", "path", F.format_string("%s_%s_v%d.png", "unit", "shot", F.col("version") + 1).alias("next"))
 
 
 def asset_report(wanted: DataFrame, assets: DataFrame, redo: tuple[str, ...]) -> DataFrame:
