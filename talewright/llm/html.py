@@ -1,10 +1,13 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The standard library's parser feeds one pass over the page. Block tags end a line; a line has its text, the characters of it
-that stand in links, and the number of tags since the line before. The lines' ratios of characters outside of links to tags
-are smoothed with a Gaussian along the page and weighted: what stands in a menu, a form, a footer or an element that names
-itself an advert, a notice or a comment weighs next to nothing, and so do lists of links. The logarithms of the weighted
-ratios fall into two clusters, and the lines over the cut between them are the content.
+that stand in links, and the number of tags since the line before. Its ratio is that of characters outside of links to tags: links
+in menus and lists of links have none. The ratios are smoothed with a Gaussian along the page, so a short line among long ones
+stays near them, and their logarithms fall into two clusters. The lines over the cut between the clusters are the content.
+
+Prose that is not the article (an advert, a notice, a footer, readers' comments) has the ratios of prose. An element that is or
+names itself such a thing makes its lines weigh HINT of their ratio, and lets them lend no more than that to their neighbours. That
+shifts a line's place among the others; where all lines are hinted at, nothing is shifted.
 
 Short lines of the content (headings, short paragraphs, items) can fall below the cut where many stand together. They stay
 where the content encloses them: in an article or main element, or another element, most of whose text lies over the cut.
@@ -35,10 +38,10 @@ BLOCK = frozenset(
 #: Elements that show no running text at all.
 MUTE = frozenset("audio button canvas datalist dialog head iframe noscript object script select style svg template textarea title video".split())
 #: Elements that are not the article by their tag.
-BESIDE = frozenset("aside footer form header menu nav".split())
+BESIDE = frozenset("aside footer form header".split())
 ARTICLE = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements whose text is read as prose even if all of it is one link.
+#: Elements whose text may be enclosed by content even if all of it is one link.
 PROSE = HEADING | frozenset("p blockquote pre figcaption".split())
 ITEM = frozenset("li dd dt".split())
 #: Elements that are a line's region.
@@ -60,10 +63,12 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
 #: More characters a tag than these say nothing more.
 MOST = 400
-#: What a line that a hint or its links speak against weighs.
-FAINT = 1e-3
-#: Characters a tag that a content line has at least.
-FLOOR = 0.5
+#: Times its own ratio that a line can come to by its neighbours: one that is all link comes to nothing beside the longest text.
+BORROWED = 20.0
+#: What a line that a hint speaks against weighs.
+HINT = 0.01
+#: Characters a tag that a line of content has at least, smoothed and whatever it weighs: a page of links alone has no content.
+LEAST = 0.5
 #: A line within this factor of the content's mean is content, wherever the cut lies: pages without anything else.
 NEAR = 5.0
 
@@ -79,6 +84,16 @@ def names_other(value: str) -> bool:
     return False
 
 
+def closed(html: str) -> str:
+    """The page with those signs as text that begin what never ends, as the parser would look for the end of each of them anew."""
+    end = html.rfind(">") + 1
+    page, rest = html[:end], html[end:].replace("<", "&lt;")
+    for opens, closes in (("<!--", "-->"), ("<![", "]>")):
+        last = page.rfind(closes) + 1
+        page = page[:last] + page[last:].replace(opens, "&lt;" + opens[1:])
+    return page + rest
+
+
 def _speaks_against(attrs) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role"):
@@ -177,6 +192,11 @@ class _Page(HTMLParser):
         self._end_line()
 
 
+def ratios(length: np.ndarray, linked: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Characters outside of links a tag."""
+    return np.minimum((length - linked) / tags, MOST)
+
+
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing; the weights at the ends are those of the lines that exist."""
     reach = max(1, round(3 * sigma))
@@ -199,55 +219,47 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def _weights(page: _Page, length: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """What each line weighs: FAINT where a hint around it or its links speak against it, else up to 1."""
+def _weights(page: _Page, length: np.ndarray) -> np.ndarray:
+    """What each line weighs: HINT where an element around it speaks against it, else 1."""
     n = len(page.tag)
     of = np.array([e for *_, e in page.lines])
     chars = np.bincount(of, length, n)
     for e in range(n - 1, 0, -1):
         chars[page.parent[e]] += chars[e]
-    faint_until, in_article, byline = [0] * n, [False] * n, [False] * n  # lines before faint_until are faint
+    hinted_until, in_article, byline = [0] * n, [False] * n, [False] * n  # lines before hinted_until are hinted at
     for e in range(1, n):
         p, tag = page.parent[e], page.tag[e]
         counts = page.hint[e] == 1 and not page.holds[e] and not (tag == "form" and chars[e] >= 0.5 * chars[0])
         in_article[e] = in_article[p] or (tag in ARTICLE and not counts)
         byline[e] = byline[p] or (counts and tag == "header" and in_article[p])
         reach = 0 if not counts or byline[e] else len(page.lines) if page.closed[e] else page.start[e] + 1
-        faint_until[e] = max(faint_until[p], reach)
-    out = np.ones(len(page.lines))
-    items: dict[int, list[int]] = {}
-    for i, e in enumerate(of):
-        tag = page.tag[e]
-        if i < faint_until[e] or (byline[e] and tag not in HEADING):  # the heading in an article's header is the article's
-            out[i] = FAINT
-        elif tag in ITEM:
-            items.setdefault(page.parent[e], []).append(i)
-        elif tag not in PROSE:
-            out[i] = max(FAINT, 1 - linked[i] / length[i])
-    for rows in items.values():
-        out[rows] = max(FAINT, 1 - linked[rows].sum() / length[rows].sum())
-    return out
+        hinted_until[e] = max(hinted_until[p], reach)
+    # the heading in an article's header is the article's
+    return np.array([HINT if i < hinted_until[e] or (byline[e] and page.tag[e] not in HEADING) else 1.0 for i, e in enumerate(of)])
 
 
 def extract(html: str | None) -> str:
     """Main text of a page: its blocks in page order joined by one newline, white space inside a block turned to one space.
 
-    A null or empty page and one without any line over the floor give an empty text. Lines at the cut are content.
+    A null or empty page and one without any line of LEAST characters a tag give an empty text. Lines at the cut are content.
     """
     page = _Page()
-    page.feed(html or "")
+    page.feed(closed(html or ""))
     page.done()
     if not page.lines:
         return ""
     length, linked, tags = (np.array(c, float) for c in zip(*((len(t), k, n) for t, k, n, _ in page.lines), strict=True))
-    weight = _weights(page, length, linked)
-    ratio = smoothed(np.minimum((length - linked) / tags, MOST)) * weight
-    score = np.log(np.maximum(ratio, 1e-6))
-    cut = threshold(np.maximum(score, np.log(FAINT)))
+    weight = _weights(page, length)
+    weight /= weight.max()
+    own = ratios(length, linked, tags)
+    ratio = np.minimum(smoothed(own * weight), BORROWED * own) * weight
+    score = np.log(np.maximum(ratio, 1.0))
+    cut = threshold(score)
     if (score >= cut).any():
-        cut = min(cut, float(np.log(ratio[score >= cut].mean() / NEAR)))
-    upper = (score >= cut) & (ratio >= FLOOR)
-    keep = upper | _enclosed(page, upper, weight >= 0.5, length)
+        cut = min(cut, float(np.log(np.maximum(ratio[score >= cut].mean() / NEAR, 2.0))))
+    upper = (score >= cut) & (np.minimum(smoothed(own), BORROWED * own) >= LEAST)
+    prose = np.array([page.tag[e] in PROSE for *_, e in page.lines])
+    keep = upper | _enclosed(page, upper, (weight == 1) & (prose | (linked < 0.5 * length)), length)
     return "\n".join(page.lines[i][0] for i in np.flatnonzero(keep))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import time
 from html import unescape
@@ -102,14 +103,49 @@ def test_html_query_against_a_plain_version(spark, sf_dir):
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, _plain_article(pages[r.page_id].html), len(r.text))
 
 
-def test_html_clusters_decide(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize(
+    ("name", "instead"),
+    [("threshold", lambda values: -math.inf), ("ratios", lambda length, linked, tags: np.full(len(length), 50.0))],
+    ids=["every line over the cut", "constant ratio"],
+)
+def test_html_ratios_and_clusters_decide(spark, sf_dir, monkeypatch, name, instead):
+    """With one part of the method made void, and nothing else changed, most pages come out wrong."""
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     texts = [html.extract(p) for p in pages]
-    monkeypatch.setattr(html, "threshold", lambda values: -math.inf)
-    monkeypatch.setattr(html, "FLOOR", 0.0)
+    monkeypatch.setattr(html, name, instead)
     assert sum(html.extract(p) != t for p, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
 
 
+def test_html_without_hints_finds_prose_among_menus(monkeypatch):
+    """Menus of short links, plain divs, no article, and no weights: ratios alone tell the content."""
+    monkeypatch.setattr(html, "_weights", lambda page, length: np.ones(len(page.lines)))
+    rng = random.Random(11)
+    menu = lambda n: f"<ul>{''.join(f'<li><a href=/{i}>{rng.choice(_LINKS)}</a></li>' for i in range(n))}</ul>"
+    line = lambda n: "<div>" + " ".join(f"<a href=/{i}>{rng.choice(_LINKS)}</a>" for i in range(n)) + "</div>"
+    right = 0
+    for _ in range(200):
+        body = [" ".join(rng.choice(_LINKS) + rng.choice("aeiou") for _ in range(rng.randint(12, 80))) for _ in range(rng.randint(3, 12))]
+        prose = "".join(rng.choice((f"<p>{p}</p>", f"<div>{p}</div>", f"<p>{p[:9]}<b>{p[9:14]}</b>{p[14:]}</p>")) for p in body)
+        page = f"<body><div>{menu(rng.randint(4, 20))}{line(rng.randint(3, 9))}</div><div>{prose}</div><div>{menu(rng.randint(4, 20))}{line(5)}</div></body>"
+        right += html.extract(page) == "\n".join(body)
+    assert right > 0.9 * 200
+
+
+_LINKS = "home news about contact archive search history letters river market".split()
+
+
+@pytest.mark.parametrize("broken", ["<a href='", "<!--", "<![CDATA[", "<!DOCTYPE ", "<?", "</a ", '<a b="', "<p ", "&#", "<p><!--", "<a href='>", "<", "<textarea>"])
+@pytest.mark.parametrize("end", ["", "> end</p>"])
+def test_html_of_broken_markup_takes_linear_time(broken, end):
+    began = time.perf_counter()
+    text = html.extract("<p>The text before it is kept, whatever comes then.</p>" + broken * 30_000 + end)
+    assert time.perf_counter() - began < 5 and text.startswith("The text before it is kept")
+
+
+def test_html_of_a_page_that_is_hinted_at_as_a_whole():
+    assert html.extract(f'<body><div class="dialog">{_MENU}{_PROSE}</div></body>') == "\n".join(_BODY)
+
+
 _BODY = [f"Paragraph {i} with a good number of words to read in it, so that it is dense." for i in range(6)]
 _PROSE = "".join(f"<p>{p}</p>" for p in _BODY)
 _MENU = f"<ul>{'<li><a href=q>some link</a></li>' * 9}</ul>"
