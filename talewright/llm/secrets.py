@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import settle, table, unused
 
 try:
     import re._constants as sre
@@ -49,6 +49,12 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+#: Values of a lot of a running fold.
+LOT = 32
+#: Characters of a slice that pieces of a text are taken from.
+SLICE = 4096
+#: Candidates that are broadcast at most: an id and some of the rules' kinds each, so 100 MB at most.
+CANDIDATES = 500_000
 #: More alternatives than this are not spelt out; the text around them still counts.
 MAX_ALTERNATIVES = 64
 
@@ -115,48 +121,70 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id",
     return met.where("bits = whole").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, op, levels: int = 3) -> Column:
+    """array<int>: for each of the values (0 or more) what op makes of 0 and all the values before it.
+
+    An array that grows step by step is copied at each step. So the values are folded by lots of LOT, the same is done to the lots'
+    results, and a value's result is that before its lot, folded with the values before it in the lot.
+    """
+    fold = lambda some: F.aggregate(some, F.lit(0), op)
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    if levels == 1:
+        return _let(values, lambda v: F.transform(each(F.size(v)), lambda i: fold(F.slice(v, F.lit(1), i))))
+    lots = lambda v: F.transform(each(F.ceil(F.size(v) / LOT).cast("int")), lambda k: fold(F.slice(v, k * LOT + 1, F.lit(LOT))))
+    inside = lambda v, i: fold(F.slice(v, i - i % LOT + 1, i % LOT))
+    return _let(values, lambda v: _let(_before(lots(v), op, levels - 1), lambda s: F.transform(each(F.size(v)), lambda i: op(F.get(s, F.floor(i / LOT).cast("int")), inside(v, i)))))
+
+
+SPAN = "struct<start:int,ord:int,end:int,kind:string>"
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, ord, end, kind>> of a rule's matches, leftmost first, in code points.
+    """array<SPAN> of a rule's matches, leftmost first, in code points.
 
     The pieces between the matches and the matches themselves take turns, so their lengths add up to the places.
     """
     regex = F.lit(rule.regex)
     matches = F.regexp_extract_all(text, regex, F.lit(0))
-    step = F.arrays_zip(
-        F.slice(F.split(text, rule.regex, -1), 1, F.size(matches)).alias("gap"),
-        matches.alias("hit"),
-        F.regexp_extract_all(text, regex, F.lit(rule.group)).alias("part"),
-    )
-    kind = "struct<start:int,ord:int,end:int,kind:string>"
-    found = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(
-                F.length(x["part"]) >= rule.least,
-                F.array_append(s["spans"], F.struct((s["at"] + F.length(x["gap"])).alias("start"), F.lit(order).alias("ord"), (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(rule.kind).alias("kind")).cast(kind)),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast(f"array<{kind}>"))
+    parts = F.regexp_extract_all(text, regex, F.lit(rule.group))
+    gaps = F.transform(F.slice(F.split(text, rule.regex, -1), 1, F.size(matches)), F.length)
+    both = F.arrays_zip(gaps.alias("gap"), F.transform(matches, F.length).alias("hit"), F.transform(parts, lambda p: F.length(p) >= rule.least).alias("kept"))
+
+    def placed(rows):
+        at = _before(F.transform(rows, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+        spans = F.zip_with(rows, at, lambda x, n: F.when(x["kept"], F.struct((n + x["gap"]).alias("start"), F.lit(order).alias("ord"), (n + x["gap"] + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind"))))
+        return F.array_compact(spans).cast(f"array<{SPAN}>")
+
+    return F.when(F.regexp_like(text, regex), _let(both, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
     """docs with the column out: array<struct<start, ord, end, kind>> by start, then in the order of the rules.
 
     All rows and columns stay; a column of docs that is named like out is an error. Null and empty texts have no spans; rows
-    without an id are searched like any other.
+    without an id are not in the index and searched with every rule.
+
+    The candidates of the index, ids and kinds, are broadcast where they are CANDIDATES rows at most, so that no text moves. Where they are more,
+    rows and candidates meet by their ids; those without an id stay where they are.
     """
     if unused(docs, out) != out:
         raise ValueError(f"docs has a column {out} already")
     indexed = tuple(r for r in rules if trigram_query(r.regex))
     key, kinds = unused(docs, "_id"), unused(docs, "_kinds")
-    found = candidates(docs, indexed, id_col, text_col).select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds))
-    rows = docs.join(found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left")
+    found = settle(candidates(docs.where(F.col(id_col).isNotNull()), indexed, id_col, text_col).select(F.col("doc_id").alias(key), F.col("kinds").alias(kinds)))
+    every = F.array(*(F.lit(r.kind) for r in indexed)).cast("array<string>")
+    same = F.col(id_col) == F.col(key)
+    if found.count() <= CANDIDATES:
+        rows = docs.join(F.broadcast(found), same, "left").withColumn(kinds, F.when(F.col(id_col).isNull(), every).otherwise(F.col(kinds)))
+    else:
+        rows = docs.where(F.col(id_col).isNotNull()).join(found.hint("shuffle_hash"), same, "left").unionByName(docs.where(F.col(id_col).isNull()).withColumn(kinds, every), allowMissingColumns=True)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     parts = []
     for n, rule in enumerate(rules):
         spans = _spans(text, rule, n)
@@ -167,20 +195,32 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", spans_col: str = "spans") -> DataFrame:
     """docs (with spans) with each found span's text replaced by the mark; overlapping spans get one. Other texts stay.
 
-    The fold only collects where the kept pieces begin and end; the text is put together once.
+    A kept piece begins where the spans before a span end, and ends where the span starts. A text is first cut to slices of SLICE
+    characters, from which the pieces are taken, as a place in a long text is found by counting from its start.
     """
-    piece = "struct<a:int,b:int>"
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{piece}>").alias("pieces"))
-
-    def step(s, x):
-        apart = (x["start"] >= s["at"]) | (F.size(s["pieces"]) == 0)
-        more = F.array_append(s["pieces"], F.struct(s["at"].alias("a"), x["start"].alias("b")).cast(piece))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(s["pieces"]).alias("pieces"))
-
-    text = F.col(text_col)
-    last = lambda s: F.array_append(s["pieces"], F.struct(s["at"].alias("a"), F.length(text).alias("b")).cast(piece))
-    kept = F.transform(F.aggregate(spans_col, state, step, last), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
-    return docs.withColumn(text_col, F.when(F.size(spans_col) > 0, F.array_join(kept, mark)).otherwise(text))
+    hit = F.size(spans_col) > 0
+    end = F.array(F.struct(F.length(text_col).alias("start"), F.length(text_col).alias("end")))
+    marks = F.concat(F.transform(spans_col, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), end)
+
+    def kept(rows):
+        free = _before(F.transform(rows, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        last = F.size(rows) - 1
+        some = F.transform(F.arrays_zip(rows.alias("x"), free.alias("a")), lambda z, i: F.when((i == last) | (z["x"]["start"] >= z["a"]), F.struct(z["a"].alias("a"), F.greatest(z["a"], z["x"]["start"]).alias("b"))))
+        return F.array_compact(some)
+
+    pieces, slices = unused(docs, "_pieces"), unused(docs, "_slices")
+    rows = docs.withColumn(pieces, F.when(hit, _let(marks, kept)))
+    rows = rows.withColumn(slices, F.when(hit, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))))
+
+    def cut(p):
+        first, last = F.floor(p["a"] / SLICE).cast("int"), F.floor(p["b"] / SLICE).cast("int")
+        of = lambda i: F.coalesce(F.get(slices, i), F.lit(""))
+        begin = F.substring(of(first), p["a"] % SLICE + 1, F.when(first == last, p["b"] - p["a"]).otherwise(F.lit(SLICE)))
+        rest = F.concat(F.array_join(F.slice(slices, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(of(last), F.lit(1), p["b"] % SLICE))
+        return F.concat(begin, F.when(first == last, "").otherwise(rest))
+
+    text = F.array_join(F.transform(pieces, cut), mark)
+    return rows.withColumn(text_col, F.when(hit, text).otherwise(F.col(text_col))).drop(pieces, slices)
 
 
 def _joined(spans: Column) -> Column:

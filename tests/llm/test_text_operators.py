@@ -3,12 +3,14 @@ import math
 import os
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from talewright.llm import langid, quality, secrets, sharding, simhash, substring
 
@@ -369,6 +371,38 @@ def test_secrets_of_odd_rows_and_redaction(spark, odd_documents, no_documents):
     assert [clean[i] for i in (5, 6, 7)] == _TEXTS[5:8]
 
 
+def _plain_redaction(text, spans):
+    out, at, first = [], 0, True
+    for start, _, end, _ in spans:
+        if first or start >= at:
+            out.append(text[at : max(at, start)])
+        at, first = max(at, end), False
+    return "[REDACTED]".join([*out, text[at:]]) if spans else text
+
+
+def test_secrets_of_long_texts_by_either_way_of_the_candidates(spark, rng, monkeypatch):
+    """Texts of many matches that touch, overlap and lie over slices, with repeated and missing ids; index by broadcast and by shuffle."""
+    bits = ["deadbeef" * 3, "password=0123456789abcdef0123456789abcdef ", "token: eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl", "é", "🙂 ", "AKIA" + "Z" * 16, " x ", "\n", "ghp_" + "0" * 40, "quiet words"]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (0, 1, 40, 900)] + ["plain"] * 30
+    rows = [(None if n % 3 == 0 else n % 5, t) for n, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (secrets.CANDIDATES, 0):
+        monkeypatch.setattr(secrets, "CANDIDATES", most)
+        scanned = secrets.scan(df)
+        got = [(r.doc_id, r.text, [tuple(s) for s in r.spans], r.clean) for r in secrets.redact(scanned.withColumn("clean", F.col("text")), text_col="clean").collect()]
+        assert sorted(((i, t) for i, t, *_ in got), key=repr) == sorted(rows, key=repr)
+        for _, text, spans, clean in got:
+            assert [s for s in spans if s[1] < 3] == _base_spans(text) and clean == _plain_redaction(text, spans)
+
+
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    df = lambda n: spark.createDataFrame([(1, "0123456789abcdef01234567 " * n)], "doc_id long, text string")
+    secrets.redact(secrets.scan(df(100))).collect()
+    began = time.perf_counter()
+    row = secrets.redact(secrets.scan(df(100_000))).selectExpr("size(spans) AS n", "text").first()
+    assert time.perf_counter() - began < 25 and row.n == 100_000 and row.text == "[REDACTED] " * 100_000
+
+
 # -- sharding
 
 
