@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, where the session names one; else df."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """df as a table in the folder that ``spark.checkpoint.dir`` names, read again; df itself where the session names none.
+
+    The table is worked out once, its readers take the columns that they need, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         return df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    at = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -185,7 +185,7 @@ j AS (SELECT * FROM s LEFT JOIN p USING (novel_id) LEFT JOIN q USING (novel_id))
 SELECT *, round(no_action * 100 / shots, 3) AS no_action_pct FROM r""",
 )
 def q1(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     persons, narrators = plan.cast(texts)
     scenes = plan.settled(plan.scenes_of(texts))
     return audit.quality_audit(full_shots(texts, persons, narrators, scenes), persons, scenes)
@@ -249,7 +249,7 @@ bad AS (SELECT novel_id, list_sort(list(DISTINCT w)) AS leaks FROM (SELECT novel
 SELECT novel_id, CASE WHEN coalesce(han, 0) < 100 OR coalesce(shots, 0) < 5 THEN 'failed' WHEN leaks IS NOT NULL THEN 'leaks' ELSE 'clean' END AS status, coalesce(array_to_string(leaks, ','), '') AS leaks FROM eras LEFT JOIN bad USING (novel_id) LEFT JOIN k USING (novel_id)""",
 )
 def q9(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     persons, narrators = plan.cast(texts)
     scenes = plan.settled(plan.scenes_of(texts))
     rows = full_shots(texts, persons, narrators, scenes).select("novel_id", "narr", "lens")
@@ -265,6 +265,6 @@ o AS (SELECT novel_id, count(DISTINCT string_split("desc", '；')[-1]) <= 1 AS o
 SELECT s.*, facts.era, len(regexp_extract_all(text, '[一-鿿]'))::BIGINT AS han, coalesce(one_season, TRUE) AS one_season FROM s JOIN novels USING (novel_id) JOIN facts USING (novel_id) LEFT JOIN o USING (novel_id)""",
 )
 def q10(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     scenes = plan.settled(plan.scenes_of(texts))
     return audit.run_report(texts, full_shots(texts, *plan.cast(texts), scenes), scenes)

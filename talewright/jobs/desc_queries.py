@@ -91,7 +91,7 @@ DESC_SQL = f"""{AGE_JOB_SQL}, {HINTS_SQL}, {LOOKS_SQL}, described AS (
 
 @query("d4_draft_person_desc", f'WITH {GENDERS_SQL}, {DESC_SQL} SELECT novel_id, name, "desc" FROM described')
 def d4(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     return plan.described(texts, plan.cast(texts)[0]).select("novel_id", "name", "desc")
 
 

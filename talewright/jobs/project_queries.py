@@ -176,7 +176,7 @@ PROMPT_FROM = """lenses l JOIN facts f ON f.novel_id = l.novel_id LEFT JOIN desc
 
 @query("b1_build_prompt", f"WITH {LENS_SQL}, {DESC_SQL}, {SCENES_SQL} SELECT l.novel_id, l.shot_no, {PROMPT_SQL} FROM {PROMPT_FROM}")
 def b1(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     persons, narrators = plan.cast(texts)
     scenes = plan.scenes_of(texts)
     rows = full_shots(texts, persons, narrators, scenes).join(texts.select("novel_id", "style"), "novel_id")
@@ -223,7 +223,7 @@ def b4(spark, sf_dir):
 SELECT novel_id, unit_no, arg_min(season, {{'n': -n, 'f': first}}) AS season FROM c GROUP BY ALL""",
 )
 def b5(spark, sf_dir):
-    texts = plan.facts(novels(spark, sf_dir))
+    texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     return project.unit_season(scened(texts).withColumn("unit_no", F.floor(F.col("shot_no") / 10)), plan.scenes_of(texts))
 
 

@@ -14,21 +14,35 @@ def hits(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used: searches of whole texts are dear."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _most(names: list[str], counts: list[Column], none: str) -> Column:
+    """The name with the highest count, the earlier on ties; none where nothing counts."""
+
+    def choose(c: Column) -> Column:
+        out = F.when(F.array_max(c) == 0, none)
+        for i, name in enumerate(names):
+            out = out.when(c[i] == F.array_max(c), name)
+        return out
+
+    return let(F.array(*counts), choose)
+
+
 def guess_style(text: Column, chosen: Column | None = None, lex: Lexicon = DEFAULT) -> Column:
     """The style with most hits, the earlier on ties, else the default; a valid choice of the caller's wins."""
-    counts = [hits(text, p) for _, p in lex.STYLES]
-    most = F.greatest(*counts)
-    style = F.when(most == 0, lex.DEFAULT_STYLE)
-    for (name, _), n in zip(lex.STYLES, counts, strict=True):
-        style = style.when(n == most, name)
+    style = _most([n for n, _ in lex.STYLES], [hits(text, p) for _, p in lex.STYLES], lex.DEFAULT_STYLE)
     if chosen is not None:
         style = F.when(chosen.isin(lex.DEFAULT_STYLE, *(n for n, _ in lex.STYLES)), chosen).otherwise(style)
     return style
 
 
 def detect_era(text: Column, lex: Lexicon = DEFAULT) -> Column:
-    modern, weak = hits(text, lex.ERA_MODERN), hits(text, lex.ERA_WEAK)
-    return F.when(text.rlike(lex.ERA_CERTAIN), "古裝").when(text.rlike(lex.ERA_NEAR) & (modern == 0), "近代").when((weak >= 3) & (weak > modern), "古裝").otherwise("現代")
+    counts = F.array(hits(text, lex.ERA_MODERN), hits(text, lex.ERA_WEAK))
+    counted = let(counts, lambda c: F.when(text.rlike(lex.ERA_NEAR) & (c[0] == 0), "近代").when((c[1] >= 3) & (c[1] > c[0]), "古裝").otherwise("現代"))
+    return F.when(text.rlike(lex.ERA_CERTAIN), "古裝").otherwise(counted)
 
 
 def season_scores(text: Column, lex: Lexicon = DEFAULT) -> list[Column]:
@@ -43,12 +57,7 @@ def season_scores(text: Column, lex: Lexicon = DEFAULT) -> list[Column]:
 
 def detect_season(text: Column, lex: Lexicon = DEFAULT) -> Column:
     """Phrase of the season with the highest score, in the order winter, spring, summer, autumn on ties; else empty."""
-    scores = season_scores(text, lex)
-    most = F.greatest(*scores)
-    season = F.when(most == 0, "")
-    for (_, phrase, _), s in zip(lex.SEASONS, scores, strict=True):
-        season = season.when(s == most, phrase)
-    return season
+    return _most([phrase for _, phrase, _ in lex.SEASONS], season_scores(text, lex), "")
 
 
 def has_modern_tech(text: Column, lex: Lexicon = DEFAULT) -> Column:
@@ -82,10 +91,12 @@ def era_allows(value: str, era: str, modern_tech: bool = True, lex: Lexicon = DE
 
 def season_for_novel(text: Column, era: Column, lex: Lexicon = DEFAULT) -> Column:
     """The season found in the text, else one of the era's pool that the first 200 characters choose."""
-    found = detect_season(text, lex)
-    chosen = F.lit("")
-    for name in ("古裝", "近代", "現代"):
-        pool = [s for s, eras in lex.SEASON_POOL if name in eras.split()]
-        at = stable_hash(F.substring(text, 1, 200)) % len(pool)
-        chosen = F.when(era == name, F.element_at(F.array(*(F.lit(s) for s in pool)), (at + 1).cast("int"))).otherwise(chosen)
-    return F.when(found != "", found).otherwise(chosen)
+    pools = {name: [s for s, eras in lex.SEASON_POOL if name in eras.split()] for name in ("古裝", "近代", "現代")}
+
+    def from_pool(h: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, pool in pools.items():
+            out = out.when(era == name, F.element_at(F.array(*(F.lit(s) for s in pool)), (h % len(pool) + 1).cast("int")))
+        return out.otherwise("")
+
+    return let(detect_season(text, lex), lambda found: F.when(found != "", found).otherwise(let(stable_hash(F.substring(text, 1, 200)), from_pool)))

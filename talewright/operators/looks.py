@@ -30,22 +30,31 @@ def appearance_hints(novels: DataFrame, people: DataFrame, lex: Lexicon = DEFAUL
     return rows.select("novel_id", "name", F.array_join(hints, "，").alias("hints"))
 
 
+#: Mentions of a person that are looked at, and characters to either side.
+MENTIONS, AROUND = 6, 12
+
+
+def mentioned(text: str, name: str) -> tuple[str, str]:
+    """The contexts of a name's first mentions, joined by a bar, and what follows the first one (four characters, but no second mention)."""
+    at: list[int] = []
+    k = text.find(name)
+    while k >= 0 and len(at) < MENTIONS:
+        at.append(k)
+        k = text.find(name, k + len(name))
+    near = "｜".join(text[max(0, k - AROUND) : k + len(name) + AROUND] for k in at)
+    after = text[at[0] + len(name) : at[1] if len(at) > 1 else None][:4] if at else ""
+    return near, after
+
+
 def age_and_job(novels: DataFrame, people: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """(novel_id, name, age, job) from the contexts of the first six mentions, 12 characters to either side.
 
     job: the longest role that the name ends in, else the role right after the first mention, else the first role word of the
     lexicon, no kin, in the contexts.
     """
-    joined = novels.select("novel_id", "text").join(_cast(people), "novel_id")
-
-    def around(n: Column) -> Column:
-        pieces = F.split("text", F.concat(F.lit("\\Q"), n, F.lit("\\E")), 8)
-        # piece i lies between mentions i - 1 and i; a context may reach over a neighbouring mention
-        ends = F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(pieces) - 1)), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length(n))
-        near = F.array_join(F.transform(ends, lambda k: F.substring("text", F.greatest(k - 12, F.lit(0)) + 1, F.length(n) + 12 + F.least(k, F.lit(12)))), "｜")
-        return F.struct(n.alias("name"), near.alias("near"), F.substring(F.element_at(pieces, 2), 1, 4).alias("after"))
-
-    rows = joined.select("novel_id", F.explode(F.transform(F.filter("_p", lambda n: F.contains(F.col("text"), n)), around)).alias("n")).select("novel_id", "n.*")
+    joined = novels.select("novel_id", "text").join(_cast(people), "novel_id").select("novel_id", F.struct("text", "_p").alias("t"))
+    told = arrow_column(joined, "t", "_n", "array<array<string>>", lambda t: [[name, *mentioned(t["text"] or "", name)] for name in t["_p"] if name and name in (t["text"] or "")])
+    rows = told.select("novel_id", F.explode("_n").alias("n")).select("novel_id", *(F.col("n")[i].alias(c) for i, c in enumerate(("name", "near", "after"))))
     age = F.coalesce(*(F.when(F.contains("near", F.lit(a)), a) for a in lex.AGES), F.lit(""))
     by_length = sorted(lex.ROLES, key=lambda r: -len(r))
     suffix = [F.when(F.endswith("name", F.lit(r)) & (F.length("name") > len(r)), r) for r in by_length]

@@ -4,8 +4,8 @@ Normalised texts give the facts of each novel, its people with narrator and gend
 scene, subject, size, move, length and picture, then units and prompts. Everything is keyed by novel_id. Of a novel only the
 people and scenes (a few rows each) are joined to its shots, as one array, so shots are shuffled once and never copied.
 
-People and scenes are asked for many times, so their few rows are written to the folder that ``spark.checkpoint.dir`` names,
-where it is set; without it they are worked out again.
+Normalised texts are read by several steps, and people and scenes are asked for many times, so they are written to the folder that
+``spark.checkpoint.dir`` names, where it is set; without it they are worked out again. For people, narrators and genders a text is read once.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def storyboard(novels: DataFrame, lex: Lexicon = DEFAULT, options: Options = Opt
     out. An empty table gives empty tables.
     """
     texts = segment.normalize(novels.select("novel_id", F.coalesce("text", F.lit("")).alias("text")))
-    texts = facts(texts, lex, options.style)
+    texts = settled(facts(texts, lex, options.style))
     persons, narrators = cast(texts, options.persons, lex)
     scenes = scenes_of(texts, options.scenes, lex)
     persons = described(texts, persons, lex)
