@@ -96,6 +96,7 @@ MOVE_CYCLE = ("固定", "緩慢左移", "緩慢右移", "輕微晃動")
 STRENGTHS = (("大遠景", 0.30, 0.70), ("遠景", 0.30, 0.70), ("中景", 0.85, 0.50), ("近景", 0.90, 0.40), ("特寫", 0.90, 0.35), ("大特寫", 0.90, 0.35), ("物件", None, 0.70))
 FEMALE_WORDS = ("母親", "護士", "女兒", "小姐")
 MALE_WORDS = ("父親", "探長", "警官", "刑警", "醫生", "船長")
+# Last characters of words for kin, by sex.
 KIN_FEMALE, KIN_MALE = "婆媽姊妹姐姑姨嬸嫂娘婦", "公伯叔爺哥弟爸"
 NAME_FEMALE, NAME_MALE = "美麗花芳玲珍玉珠蘭", "雄強明華國信義正"
 

@@ -14,6 +14,7 @@ from .people_queries import GENDERS_SQL
 from .text_queries import hash_sql
 
 _L1 = f"l1 AS (SELECT novel_id, name, len(regexp_extract_all(text, name))::BIGINT AS n FROM novels, {values_sql(lex.PLACES, 'name', 'type')} WHERE contains(text, name))"
+# How texts declare a place, and what it counts.
 _L2 = r"""l2 AS (SELECT novel_id, name, sum(n)::BIGINT AS n FROM (
   SELECT novel_id, trim(unnest(regexp_extract_all(text, '場景\s*[：:]\s*([^\n，,。；;]{2,12})', 1))) AS name, 99 AS n FROM novels
   UNION ALL SELECT novel_id, trim(unnest(regexp_extract_all(text, '[【〖]([^】〗]{2,12})[】〗]', 1))), 50 FROM novels) WHERE name <> '' GROUP BY ALL)"""
