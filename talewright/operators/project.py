@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talewright.functions.lexicon import DEFAULT, Lexicon
 
+from . import unit_fold
 from .mining import numbered
 
 UNIT_MIN, UNIT_MAX, TAIL = 600, 900, 300
@@ -34,24 +34,14 @@ def unit_numbers(scene: list[str], tenths: list[int], least: int, most: int, tai
     return of, hard
 
 
-def unit_of_shots(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
-    """(novel_id, unit, hard): of shots with scene and dur, per novel two arrays: the unit of each shot by its place, and whether
-    each unit ends in a hard cut. A fold along one novel's shots, which is one row of it; numbers and scenes only, no texts."""
-
-    def fold(batches):
-        for b in batches:
-            both = [unit_numbers([x["scene"] for x in t], [x["t"] for x in t], least, most, tail) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u for u, _ in both], pa.list_(pa.int32())), pa.array([h for _, h in both], pa.list_(pa.bool_()))], names=["novel_id", "unit", "hard"])
-
-    rows = shots.groupBy("novel_id").agg(F.array_sort(F.collect_list(F.struct("shot_no", "scene", tenths(F.col("dur")).alias("t")))).alias("s"))
-    return rows.mapInArrow(fold, "novel_id long, unit array<int>, hard array<boolean>")
-
-
-def with_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL) -> DataFrame:
-    """Shots (numbered from 0 without gaps, with scene and dur) with unit_no and hard, whether the unit ends in a hard cut."""
-    units = unit_of_shots(shots, least, most, tail)
-    rows = shots.join(units, "novel_id").withColumn("unit_no", F.get("unit", F.col("shot_no")))
-    return rows.withColumn("hard", F.get("hard", F.col("unit_no"))).drop("unit")
+def with_units(shots: DataFrame, least: int = UNIT_MIN, most: int = UNIT_MAX, tail: int = TAIL, segment: int = unit_fold.SEGMENT) -> DataFrame:
+    """Shots (numbered from 0 without gaps, with scene and dur) with unit_no and hard, whether the unit ends in a hard cut: the rule of
+    unit_numbers, worked out in segments of a novel (unit_fold), so that no task holds a novel. A null dur counts as none."""
+    timed = shots.select("novel_id", "shot_no", "scene", tenths(F.col("dur")).alias("t"))
+    units = unit_fold.unit_of_shots(timed, least * 10, most * 10, tail * 10, segment).withColumnsRenamed({"segment": "_seg", "unit": "_units", "hard": "_hards"})
+    rows = shots.withColumn("_seg", F.floor(F.col("shot_no") / segment)).join(units, ["novel_id", "_seg"])
+    at = (F.col("shot_no") % segment).cast("int")
+    return rows.withColumns({"unit_no": F.get("_units", at), "hard": F.get("_hards", at)}).drop("_seg", "_units", "_hards")
 
 
 #: Shots of a bin of the range join.
