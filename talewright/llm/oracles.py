@@ -36,21 +36,23 @@ SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in se
 
 _N, _D, _U, _E = templates.NAME, templates.NUMBER, templates.UNIT, templates.END
 _BARE = f"regexp_replace(text, '[{_N}-{_E}]', ' ', 'g')"
-_VALUES = f"""regexp_extract_all(regexp_replace(lower(regexp_replace(regexp_replace({_BARE}, '{templates.NAMES_RE}', '\\1{_N}\\2{_E}', 'g'), '{templates.NUMBERS_RE}', ' {_D}\\0{_E} ', 'g')), '{_E} \\x20?({templates.UNITS})\\b', '{_E} {_U}\\1{_E} ', 'g'), '[{_N}-{_U}][^{_E}]*{_E}|{templates.WORD}')"""
+_TOKENS = f"""regexp_extract_all(regexp_replace(lower(regexp_replace(regexp_replace({_BARE}, '{templates.NAMES_RE}', '\\1{_N}\\2{_E}', 'g'), '{templates.NUMBERS_RE}', ' {_D}\\0{_E} ', 'g')), '{_E} \\x20?({templates.UNITS})\\b', '{_E} {_U}\\1{_E} ', 'g'), '[{_N}-{_U}][^{_E}]*{_E}|{templates.WORD}')"""
+_NUMBERS = "(" + ", ".join(f"'{w}', '{_N}{w}{_E}'" for w in templates.NUMBER_WORDS) + ")"
+_VALUES = f"list_transform({_TOKENS}, lambda x: CASE WHEN x IN {_NUMBERS} THEN '{_D}' || translate(x, '{_N}{_E}', '') || '{_E}' ELSE x END)"
 _W = templates.WINDOW
 _FORMS = f"""list_transform(v, lambda x: CASE WHEN x < '{_N}' THEN x WHEN x < '{_D}' THEN translate(x, '{_N}{_E}', '') ELSE x[1] END) AS w, list_transform(v, lambda x: CASE WHEN x < '{_N}' THEN x ELSE x[1] END) AS t"""
 # every window in both forms: with names as words, and, where it holds a name, with names as placeholders
-_BOTH = f"""SELECT *, w[pos:pos + {_W - 1}] AS win FROM p UNION ALL SELECT *, t[pos:pos + {_W - 1}] FROM p WHERE list_contains(t[pos:pos + {_W - 1}], '{_N}')"""
+_BOTH = f"""SELECT *, w[pos:pos + k - 1] AS win FROM p UNION ALL SELECT *, t[pos:pos + k - 1] FROM p WHERE list_contains(t[pos:pos + k - 1], '{_N}')"""
 
 DECONTAMINATION = f"""
 WITH bt AS (SELECT DISTINCT item_id, {_VALUES} AS v FROM benchmark WHERE text IS NOT NULL),
-b AS (WITH p AS (SELECT item_id, v, w, t, unnest(range(1, len(v) - {_W - 2})) AS pos FROM (SELECT *, {_FORMS} FROM bt))
+b AS (WITH p AS (SELECT item_id, v, w, t, unnest(range(1, len(v) - k + 2)) AS pos, k FROM (SELECT *, {_FORMS}, least(len(v), {_W}) AS k FROM bt))
   SELECT item_id, v, pos AS bpos, win, list_contains(win, '{_N}') AS named FROM ({_BOTH}) WHERE len(list_filter(win, lambda x: x < '{_N}')) >= {templates.LITERALS}),
 bn AS (SELECT item_id, v, count(*) FILTER (NOT named) AS n FROM b GROUP BY ALL),
 dt AS (SELECT doc_id, {_VALUES} AS v FROM documents WHERE text IS NOT NULL),
-d AS (WITH p AS (SELECT doc_id, w, t, unnest(range(1, len(v) - {_W - 2})) AS pos FROM (SELECT *, {_FORMS} FROM dt)) SELECT doc_id, pos, win FROM ({_BOTH}) SEMI JOIN b USING (win)),
-hits AS (SELECT DISTINCT d.doc_id, b.item_id, bn.n, d.pos, b.bpos, b.v FROM d JOIN b USING (win) JOIN bn ON bn.item_id = b.item_id AND bn.v = b.v),
-s AS (SELECT h.doc_id, h.item_id, h.n, h.pos - h.bpos AS shift, h.bpos, list_filter(list_transform(list_zip(h.v[h.bpos:h.bpos + {_W - 1}], dt.v[h.pos:h.pos + {_W - 1}]), lambda z: {{'a': z[1], 'b': translate(z[2], '{_N}{_E}', '')}}), lambda z: z.a >= '{_N}') AS slots FROM hits h JOIN dt ON dt.doc_id = h.doc_id),
+d AS (WITH p AS (SELECT doc_id, w, t, unnest(range(1, len(v) - k + 2)) AS pos, k FROM (SELECT *, {_FORMS} FROM dt) CROSS JOIN (SELECT DISTINCT len(win) AS k FROM b)) SELECT doc_id, pos, win FROM ({_BOTH}) SEMI JOIN b USING (win)),
+hits AS (SELECT DISTINCT d.doc_id, b.item_id, bn.n, d.pos, b.bpos, b.v, len(b.win) AS k FROM d JOIN b USING (win) JOIN bn ON bn.item_id = b.item_id AND bn.v = b.v),
+s AS (SELECT h.doc_id, h.item_id, h.n, h.pos - h.bpos AS shift, h.bpos, list_filter(list_transform(list_zip(h.v[h.bpos:h.bpos + h.k - 1], dt.v[h.pos:h.pos + h.k - 1]), lambda z: {{'a': z[1], 'b': translate(z[2], '{_N}{_E}', '')}}), lambda z: z.a >= '{_N}') AS slots FROM hits h JOIN dt ON dt.doc_id = h.doc_id),
 g AS (SELECT doc_id, item_id, n, shift, list(DISTINCT bpos) AS seen, list_distinct(flatten(list(slots))) AS slots FROM s GROUP BY ALL),
 k AS (SELECT *, list_filter(slots, lambda z: z.a < '{_D}') AS names FROM g),
 c AS (SELECT doc_id, item_id, len(list_distinct(flatten(list(seen)))) / n AS coverage FROM k WHERE len(list_distinct(list_transform(slots, lambda z: z.a))) = len(slots) AND len(list_distinct(list_transform(names, lambda z: z.b))) = len(names) GROUP BY doc_id, item_id, n),

@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Texts are brought to a canonical form: lower-case words without punctuation, in which names (capitalised words), numbers
-and units are typed placeholders. A window of five tokens is posted with its names as placeholders and, beside that, with
+Texts are brought to a canonical form: lower-case words without punctuation, in which names (capitalised words), numbers (in digits
+or as English words) and units are typed placeholders. A window of five tokens is posted with its names as placeholders and, beside that, with
 its names as plain words, so that a copy in other case still meets its item. The windows of every document are hash-joined
 with those of the benchmark that hold two literal words at least; windows of hardly anything but placeholders say nothing.
+An item of fewer tokens is one window, of its whole length; documents are read in windows of the lengths that items have.
 
 Where windows meet, the values that fill the placeholders are compared: along one alignment of a document with an item,
 equal values of the item must stand for equal values of the document, and different names for different names (different
@@ -32,6 +33,11 @@ UNITS = (
     "kg|g|mg|km|m|cm|mm|l|ml|mph|kmh|h|min|s|ms|percent|dollars|euros|usd|eur|years|year|days|day|weeks|week|months|month"
     "|hours|hour|minutes|minute|seconds|second|miles|mile|feet|foot|inches|inch|pounds|pound|degrees|grams|meters|metres|liters|litres"
 )
+# Numbers that are written as words.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
 NAMES_RE = r"(^|[^\p{L}\p{M}\p{N}])(\p{Lu}\p{Ll}+)"
 NUMBERS_RE = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
 WORD = r"[\p{L}\p{M}]+"
@@ -40,12 +46,16 @@ LITERALS = 2
 
 
 def values(text: Column) -> Column:
-    """Tokens of a text: words in lower case, names after their mark, numbers and units between their mark and END."""
+    """Tokens of a text: words in lower case, names after their mark, numbers and units between their mark and END. Each word of a
+    number is a token, as a name of two words is two; units are marked after digits only."""
     t = F.regexp_replace(text, f"[{NAME}-{END}]", " ")
     t = F.regexp_replace(t, NAMES_RE, f"$1{NAME}$2{END}")
     t = F.regexp_replace(t, NUMBERS_RE, f" {NUMBER}$0{END} ")
     t = F.regexp_replace(F.lower(t), f"{END} \\x20?({UNITS})\\b", f"{END} {UNIT}$1{END} ")
-    return F.regexp_extract_all(t, F.lit(f"([{NAME}-{UNIT}][^{END}]*{END}|{WORD})"), F.lit(1))
+    tokens = F.regexp_extract_all(t, F.lit(f"([{NAME}-{UNIT}][^{END}]*{END}|{WORD})"), F.lit(1))
+    counts = lambda x: x.isin([*NUMBER_WORDS, *(f"{NAME}{w}{END}" for w in NUMBER_WORDS)])
+    number = lambda x: F.concat(F.lit(NUMBER), F.translate(x, NAME + END, ""), F.lit(END))
+    return F.transform(tokens, lambda x: F.when(counts(x), number(x)).otherwise(x))
 
 
 def template(value: Column) -> Column:
@@ -58,11 +68,11 @@ def word(value: Column) -> Column:
     return F.when(value < NAME, value).when(value < NUMBER, F.translate(value, NAME + END, "")).otherwise(F.substring(value, 1, 1))
 
 
-def windows(rows: DataFrame) -> DataFrame:
-    """rows (with v, the values of a text) exploded to pos and the hashes of both forms of every window, as_words and as_template.
+def windows(rows: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """rows (with v, the values of a text) exploded to pos and, for each size n of 2 to 5 tokens, the hashes of both forms of the window
+    there, words_n and template_n; null where the text ends before.
 
-    A token is hashed once for each form; the hashes of two, four and five tokens that stand together are made of those."""
-    n = F.greatest(F.size("v") - WINDOW + 1, F.lit(0))
+    A token is hashed once for each form; the hashes of more tokens that stand together are made of those of fewer."""
     from_ = lambda c, start: F.slice(c, start, F.size(c))
     joined = lambda a, b: F.xxhash64(a, b)
     both = {"_w": word, "_t": template}
@@ -70,23 +80,36 @@ def windows(rows: DataFrame) -> DataFrame:
     hashed = lambda form: F.transform("v", lambda x: F.xxhash64(form(x)))
     rows = rows.select(*kept, *(hashed(form).alias(c) for c, form in both.items()))
     rows = rows.select(*kept, *both, *(F.zip_with(c, from_(c, 2), joined).alias(f"{c}2") for c in both))
-    rows = rows.select(*kept, *both, *(F.zip_with(f"{c}2", from_(f"{c}2", 3), joined).alias(f"{c}4") for c in both))
-    five = [F.slice(F.zip_with(f"{c}4", from_(c, WINDOW), joined), 1, n) for c in both]
-    pairs = F.arrays_zip(five[0].alias("as_words"), five[1].alias("as_template"))
-    return rows.select(*kept, F.posexplode(pairs).alias("pos", "_h")).select(*kept, "pos", "_h.*")
+    rows = rows.select("*", *(F.zip_with(f"{c}2", from_(f"{c}2", 3), joined).alias(f"{c}4") for c in both))
+    of = {2: lambda c: F.col(f"{c}2"), 3: lambda c: F.zip_with(f"{c}2", from_(c, 3), joined), 4: lambda c: F.col(f"{c}4"), 5: lambda c: F.zip_with(f"{c}4", from_(c, WINDOW), joined)}
+    fitting = lambda n, c: F.slice(of[n](c), 1, F.greatest(F.size("v") - n + 1, F.lit(0)))
+    names = [(f"{kind}_{n}", fitting(n, c)) for n in sizes for kind, c in (("words", "_w"), ("template", "_t"))]
+    return rows.select(*kept, F.posexplode(F.arrays_zip(*(c.alias(name) for name, c in names))).alias("pos", "_h")).select(*kept, "pos", "_h.*")
 
 
-def posts(rows: DataFrame, *keep: str) -> DataFrame:
+def posts(rows: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
     """The windows as rows with one hash: of the words, and of the template where it is another."""
-    hashes = F.when(F.col("as_words") == F.col("as_template"), F.array("as_words")).otherwise(F.array("as_words", "as_template"))
+    other = lambda n: F.when(F.col(f"words_{n}") != F.col(f"template_{n}"), F.col(f"template_{n}"))
+    if len(sizes) == 1:  # every window has the size, so its words are there
+        n = sizes[0]
+        hashes = F.when(other(n).isNull(), F.array(f"words_{n}")).otherwise(F.array(f"words_{n}", f"template_{n}"))
+    else:
+        hashes = F.array_compact(F.array(*(c for n in sizes for c in (F.col(f"words_{n}"), other(n)))))
     return rows.select(*keep, F.explode(hashes).alias("hash"))
 
 
+#: Sizes of windows; those under WINDOW are of items that are no longer.
+SIZES = (2, 3, 4, WINDOW)
+
+
 def bench_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(hash, item_id, item_pos, n_windows, item_values): windows with LITERALS literals at least in the form that is posted; the
-    values are those of the window, and n_windows is how many windows of the item have so many words and names."""
+    values are those of the window, and n_windows is how many windows of the item have so many words and names. An item of two to four
+    tokens is one window; one of a single token has none."""
     rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), values(F.col(text_col).cast("string")).alias("v")).distinct()
-    rows = windows(rows).withColumn("item_values", F.slice("v", F.col("pos") + 1, WINDOW))
+    size = F.least(F.size("v"), F.lit(WINDOW))
+    form_of = lambda kind: F.coalesce(*(F.when(size == n, F.col(f"{kind}_{n}")) for n in SIZES))
+    rows = windows(rows, SIZES).withColumns({"as_words": form_of("words"), "as_template": form_of("template"), "item_values": F.slice("v", F.col("pos") + 1, size)}).where("as_words IS NOT NULL")
     literals = lambda form: F.size(F.filter("item_values", lambda x: form(x) < NAME)) >= LITERALS
     plain, named = literals(word), F.exists("item_values", lambda x: template(x) == NAME) & literals(template)
     rows = rows.withColumns({"plain": plain, "named": named})
@@ -98,13 +121,14 @@ def bench_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "te
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage) of every document and item with coverage of COVERAGE or more.
 
-    Null texts, texts of fewer than five tokens and items without a window of two literal words meet nothing; rows that share an id
+    Null texts, items of a single token and items without a window of two literal words meet nothing; rows that share an id
     count as one document each time an alignment is the same in both; rows without an id are left out. Repeated items are one item.
     """
     items = settle(bench_windows(bench, item_col, item_text_col).distinct())
     text = F.col(text_col).cast("string")
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    found = posts(windows(rows.select("doc_id", values(F.col("text")).alias("v"))), "doc_id", "pos")
+    sizes = tuple(sorted(r.n for r in items.select(F.size("item_values").alias("n")).distinct().collect())) or (WINDOW,)  # four at most
+    found = posts(windows(rows.select("doc_id", values(F.col("text")).alias("v")), sizes), sizes, "doc_id", "pos")
     keys = items.select("hash").distinct()
     few = items.count() <= MAX_BROADCAST
     met = settle(found.join(F.broadcast(keys) if few else keys, "hash", "left_semi"))
@@ -115,7 +139,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     places = met.groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # no more than the document has windows
     filled = told.join(places, "doc_id").select("doc_id", "v", F.explode("places").alias("pos")).select("doc_id", "pos", F.slice("v", F.col("pos") + 1, WINDOW).alias("doc_values")).distinct()
     pairs = hits.join(filled, ["doc_id", "pos"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    filled_by = F.transform(F.arrays_zip(F.col("item_values").alias("a"), F.col("doc_values").alias("b")), lambda x: F.struct(x["a"].alias("a"), F.translate(x["b"], NAME + END, "").alias("b")))
+    filled_by = F.transform(F.arrays_zip(F.col("item_values").alias("a"), F.slice("doc_values", 1, F.size("item_values")).alias("b")), lambda x: F.struct(x["a"].alias("a"), F.translate(x["b"], NAME + END, "").alias("b")))
     slots = F.filter(filled_by, lambda x: x["a"] >= NAME)
     by_shift = pairs.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("item_pos").alias("seen"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
     of = lambda side, some: F.size(F.array_distinct(F.transform(some, lambda x: x[side])))

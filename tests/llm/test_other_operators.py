@@ -298,6 +298,8 @@ def test_templates_and_words_of_a_text(spark):
     assert rows[0].t == [n, "saw", n, n, d, u, "and", d, "cats", "in", n]
     assert rows[0].w == ["he", "saw", "anna", "berg", d, u, "and", d, "cats", "in", "rome"]
     assert [v for v in rows[0].v if v >= d] == [f"{d}12.5{templates.END}", f"{u}kg{templates.END}", f"{d}3{templates.END}"]
+    numbers = spark.createDataFrame([("Twelve men, twenty-five TWO ones",)], "text string").select(templates.values(templates.F.col("text")).alias("v")).first().v
+    assert [x[0] if x >= n else x for x in numbers] == [d, "men", d, d, d, "ones"] and numbers[0] == f"{d}twelve{templates.END}"
     assert rows[1].v == [] and rows[2].w == [d, u, "x", d, "y", "z"]
 
 
@@ -313,6 +315,17 @@ _APPLES = "Alice has 12 red apples. Bob has 7 green pears. Alice gives away 3 ap
         (_APPLES, _APPLES.replace("Alice", "Carol").replace("Bob", "Carol").replace("12", "40"), False),  # two names became one
         ("What is 3 4 5 6 7 8 9 10?", "Rain in mm: 31 18 4 0 12 7 55 20 3 41 9 10 2 17 8 6 1 30", False),
         ("What is 3 4 5 6 7 8 9 10?", "so what is 31 18 4 0 12 7 55 20 then", True),
+        ("A farmer owns twelve sheep and sells five of them at the market", "A farmer owns twenty sheep and sells six of them at the market", True),
+        ("A farmer owns twelve sheep and sells five of them at the market", "a farmer owns 20 sheep and sells 6 of them at the market", True),
+        ("Twelve sheep and twelve goats eat the grass of two fields", "Ninety sheep and forty goats eat the grass of two fields", False),  # one number became two
+        ("Who wrote Hamlet?", "who wrote hamlet", True),
+        ("Who wrote Hamlet?", "Who wrote Faust?", False),
+        ("What is 2+2?", "so what is 7 + 7 then", True),
+        ("What is 2+2?", "so what is 7 + 8 then", False),
+        ("capital of Peru", "the capital of Chad is old", True),
+        ("red apples", "some red apples fall", True),
+        ("red apples", "some red fallen apples", False),
+        ("apples", "some red apples fall", False),  # a single word says nothing
         ("Anna Berg und Otto Lang kaufen 3 Karten im Park am See", "Emma Kurz und Karl Roth kaufen 8 Karten im Park am See", True),
     ],
 )
