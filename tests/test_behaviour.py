@@ -96,6 +96,16 @@ def test_pronouns_go_to_the_nearest_name(spark):
     assert people.gender_by_pronoun(people.scan(_novel(spark, far)), cast).count() == 0 and people.gender_by_pronoun(people.scan(_novel(spark, far[:2] + far[3:])), cast).count() == 1
 
 
+def test_a_name_over_the_pronoun_is_found(spark):
+    """A name may hold the pronoun (a surname and 她 before a verb); names that begin at or after the pronoun get nothing."""
+    cast = spark.createDataFrame([(1, 1, "馬華"), (1, 2, "馬華她"), (1, 3, "她她"), (1, 4, "山仔")], "novel_id long, rank int, name string")
+    got = lambda text: {(r.name, r.gender) for r in people.gender_by_pronoun(people.scan(_novel(spark, text)), cast).collect()}
+    assert got("，馬華她說") == {("馬華", "f")}
+    cast = cast.where("rank > 1")
+    assert got("，馬華她說") == {("馬華她", "f")} and got("，馬華他說") == set()
+    assert got("他山仔，馬華她") == {("馬華她", "f")} and got("，她她山仔") == {("她她", "f")} and got("，她山仔") == set()
+
+
 # -- shots
 
 
