@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talewright.functions.shared import settled
+from talewright.functions.shared import settled, slices
 
 #: Shots of a segment.
 SEGMENT = 4096
@@ -136,13 +136,13 @@ def unit_of_shots(shots: DataFrame, least: int, most: int, tail: int, segment: i
         return [Cuts(np.array(c, bool), np.array(t, np.int64), least, most) for c, t in arrays]
 
     def tables(batches):
-        for b in batches:
+        for b in slices(batches):
             cuts = cuts_of(b)
             kind = pa.list_(pa.struct([("need", pa.int64()), ("before", pa.int64()), ("changed", pa.bool_()), ("cuts", pa.int64()), ("left", pa.int64()), ("hard", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([b.column("novel_id"), b.column("segment"), pa.array([c.total for c in cuts], pa.int64()), pa.array([c.steps() for c in cuts], kind)], names=["novel_id", "segment", "total", "steps"])
 
     def composed(batches):
-        for b in batches:
+        for b in slices(batches):
             for i, parts in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 told = compose(parts, least, tail)
                 columns = [pa.array([i.as_py()] * len(told), pa.int64()), pa.array([p["segment"] for p in parts], pa.int64())]
@@ -151,7 +151,7 @@ def unit_of_shots(shots: DataFrame, least: int, most: int, tail: int, segment: i
                 yield pa.RecordBatch.from_arrays(columns, names=["novel_id", "segment", "elapsed", "unit", "last", "end_hard", "last_hard"])
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             begins = zip(cuts_of(b), *(b.column(c).to_pylist() for c in ("elapsed", "unit", "end_hard", "last", "last_hard")), strict=True)
             both = [(np.minimum(u, last), np.where(u > last, tail_hard, h)) for c, e, u0, h0, last, tail_hard in begins for u, h in [c.shots(e, u0, h0)]]
             columns = [pa.array([list(u) for u, _ in both], pa.list_(pa.int32())), pa.array([list(h) for _, h in both], pa.list_(pa.bool_()))]

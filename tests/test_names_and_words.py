@@ -4,11 +4,13 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from talewright.functions import automaton
 from talewright.functions.lexicon import DEFAULT, read_lexicon
+from talewright.functions.shared import slices
 from talewright.operators import mining, people, places
 
 
@@ -118,3 +120,23 @@ def test_one_reading_gives_narrator_roles_and_pronouns(spark):
     assert sum(r.n for r in row.roles if r.role == "醫生") == 3 and {p.gender for p in row.pronouns} == {"f"}
     empty = people.scan(_novel(spark, None)).select("n_chars", "wo", F.size("found").alias("f"), F.size("roles").alias("r")).first()
     assert tuple(empty) == (0, 0, 0, 0)
+
+
+def test_a_task_holds_a_slice_of_a_batch(spark):
+    """Whatever Spark puts into a batch, few rows at a time become Python objects, and all come out in their order."""
+    batch = pa.RecordBatch.from_pydict({"novel_id": list(range(3000)), "text": ["馬華說道。" * (1 + i % 7) for i in range(3000)]})
+    cut = list(slices([batch], 100, 4000))
+    assert pa.Table.from_batches(cut).equals(pa.table({c: batch.column(c) for c in batch.schema.names})) and all(b.num_rows <= 100 and b.nbytes <= 4000 for b in cut)
+    assert [b.num_rows for b in slices([batch.slice(0, 3)], 100, 1)] == [1, 1, 1] and not list(slices([batch.slice(0, 0)]))
+
+    class Batches:
+        """Stands for a DataFrame that keeps what its tasks would run."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return [b.num_rows for b in run(iter([batch]))]
+
+    read = people.scan(Batches())
+    assert sum(read) == 3000 and max(read) <= 256
