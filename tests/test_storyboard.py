@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talewright.functions.lexicon import read_lexicon
+from talewright.functions.shared import settled
 from talewright.jobs.text_queries import looks_garbled
 from talewright.operators import audit, looks, mining, people, project
 from talewright.plans.storyboard import Options, storyboard
@@ -159,3 +160,13 @@ def test_a_short_novel_has_failed_and_banned_words_are_leaks(spark):
 def test_people_of_odd_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "。" * 50), (4, "狄明說。" * 2000)], "novel_id long, text string")
     assert {(r.novel_id, r.name) for r in people.persons(rows).collect()} == {(4, "狄明")}
+
+
+def test_settled_tables_are_not_broadcast(spark):
+    """Their files are small and their rows are not: joins by novel stay merge joins; a table that is broadcast by name still is."""
+    people = settled(spark.range(20_000).selectExpr("id DIV 8 AS novel_id", "'馬華' AS name", "id AS rank"))
+    cast = people.groupBy("novel_id").agg(F.collect_list("name").alias("names"))
+    shots = spark.range(40_000).selectExpr("id DIV 16 AS novel_id", "id AS shot_no")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(shots.join(cast, "novel_id", "left")) and "Broadcast" not in plan(people.join(shots, "novel_id"))
+    assert "BroadcastHashJoin" in plan(people.join(F.broadcast(spark.createDataFrame([("馬華",)], "name string")), "name"))
