@@ -5,7 +5,10 @@ Hadamard transform). Its cross-polytope hash is the axis, with its sign, that it
 index joins several such hashes to a bucket; multiprobe posts a vector in the buckets of its next nearest axes too.
 Vectors that share a bucket are candidates, and every candidate pair is verified by its cosine in double precision.
 
-Equal vectors are one point with a weight. Buckets with one point go before anything is compared. In a large bucket the
+Equal vectors are one point with a weight. Buckets with one point go before anything is compared. A posting brings a sketch of its
+vector along, some rotated coordinates in a byte each and the length of the rest, which gives a bound of the cosine of two vectors. In
+buckets of BLOCK points at most, postings go whose bound with all others there is below the threshold: no link is lost, and hardly any
+posting of unlike vectors is left. So buckets may hold several unlike vectors each (MEAN), and the number of hashes and tables grows the later. In a large bucket the
 points within half the threshold's angle of one pivot form a ball: any two of them are linked, so a large group of near
 copies is counted without comparing its pairs. What is left is compared block by block, each block pair a matrix product
 in some task, so a hot bucket spreads over the cluster. A task returns links counted per point and a spanning forest of
@@ -34,7 +37,13 @@ BLOCK = 256
 #: Rows that small buckets are packed to, so that a task compares many at once. Buckets go to packs by their least point, as groups
 #: of near copies share many buckets: a pack gets each vector once, with the list of its buckets there.
 PACK = 2000
+#: Postings of small buckets that are sifted at once.
+LOT = 5_000
 SEED = 2
+#: Unlike vectors of a bucket, on average, at most.
+MEAN = 16
+#: Rotated coordinates of a sketch.
+SKETCH = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,7 +77,7 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES
             ranked.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, 1), axis=1, kind="stable"), 1))
         choices = [[0] * hashes] + [[p if i == j else 0 for i in range(hashes)] for j in range(hashes) for p in range(1, probes + 1)]
         for choice in choices:
-            code = np.full(len(x), t + 1, np.uint64)
+            code = np.full(len(x), (t + 1) * 0xD1342543DE82EF95 % 2**64, np.uint64)  # far from those of the other tables, whatever axis comes first
             for r, p in zip(ranked, choice, strict=True):
                 code = (code ^ r[:, p].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 code ^= code >> np.uint64(29)
@@ -76,10 +85,27 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES
     return np.stack(out, 1)
 
 
+def sketches(x: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """(rows, coordinates + 1) bytes of unit vectors: the first SKETCH coordinates of a rotation, and the length of the others, rounded up."""
+    d = 1 << max(1, (x.shape[1] - 1).bit_length())
+    part = rotate(np.pad(x, ((0, 0), (0, d - x.shape[1]))), np.random.default_rng(seed + 1))[:, :SKETCH]
+    rest = np.sqrt(np.maximum(0, 1 - (part * part).sum(1)) + 1e-12)
+    whole = np.concatenate([np.rint(part * 127), np.ceil(np.minimum(rest, 1) * 127)[:, None]], 1)
+    return np.clip(whole, -127, 127).astype(np.int8)
+
+
+def may_link(s: np.ndarray) -> np.ndarray:
+    """Which pairs of vectors may have a cosine of THRESHOLD, by their sketches: all that have it, and few others. The cosine is at most the
+    product of the coordinates and that of the lengths of the rest; rounding moves each coordinate by 1/254 at most."""
+    off = math.sqrt(s.shape[1] - 1) / 254
+    v = s.astype(np.float32) / np.float32(127)
+    return v @ v.T + (2 * off + off * off + 1e-5) >= THRESHOLD
+
+
 def hashes_for(points: int, dimension: int, probes: int = PROBES) -> int:
-    """Hashes of a table: as many as keep the mean bucket of unlike vectors near one point, whatever their number."""
+    """Hashes of a table: as many as keep the mean bucket of unlike vectors at MEAN points or fewer, whatever their number."""
     axes, hashes = 2 << max(1, (dimension - 1).bit_length()), 1
-    while axes**hashes < points * (1 + probes * hashes):
+    while MEAN * axes**hashes < points * (1 + probes * hashes):
         hashes += 1
     return hashes
 
@@ -155,6 +181,23 @@ def _compare(t: pa.Table, tables: int) -> pa.Table:
     return pa.table({"rep": reps[seen], "links": links[seen], "root": reps[root[seen]]})
 
 
+def _sifted(t: pa.Table) -> pa.Table:
+    """The postings of whole small buckets without those that may link with no other of their bucket; low is the least point that is left."""
+    t = t.combine_chunks().sort_by("key")
+    key, rep = (t[c].to_numpy() for c in ("key", "rep"))
+    s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.int8).reshape(len(key), -1)
+    kept, low = np.zeros(len(key), bool), rep.copy()
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    for a, b in zip(edge, np.append(edge[1:], len(key)), strict=True):
+        if b - a > 1:
+            near = may_link(s[a:b])
+            np.fill_diagonal(near, False)
+            kept[a:b] = some = near.any(1)
+            if some.any():
+                low[a:b] = rep[a:b][some].min()
+    return t.select(["rep", "key", "n"]).append_column("low", pa.array(low)).filter(pa.array(kept))
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
     """The least bucket number that each pair of rows has in common (they have one)."""
     low = np.full(len(a), np.iinfo(np.int64).max)
@@ -201,14 +244,19 @@ def _links(points: DataFrame, hashes: int) -> DataFrame:
 
     def post(batches):
         for b in batches:
-            c = codes(_units(b.column(1).to_pylist()), hashes, tables)
+            x = _units(b.column(1).to_pylist())
+            c = codes(x, hashes, tables)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1]), pa.int32()), pa.array(c.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), keys], names=["rep", "keys"])
-
-    coded = settle(points.select("rep", "embedding").mapInArrow(post, "rep long, keys array<long>"))
-    posts = coded.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n", "low")
-    shared = settle(posts.hint("merge").join(sizes, F.col("key") == F.col("k")).select("rep", "key", "n", "low"))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([r.tobytes() for r in sketches(x)], pa.binary())], names=["rep", "keys", "sketch"])
+
+    coded = settle(points.select("rep", "embedding").mapInArrow(post, "rep long, keys array<long>, sketch binary"))
+    posts = coded.select("rep", "sketch", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("k"), "n")
+    met = posts.hint("merge").join(sizes, F.col("key") == F.col("k"))
+    lots = F.pmod(F.xxhash64("key"), F.lit(max(1, coded.count() * tables * (1 + PROBES * hashes) // LOT)))
+    small = met.where(F.col("n") <= BLOCK).select(lots.alias("lot"), "rep", "key", "n", "sketch")
+    sifted = small.groupBy("lot").applyInArrow(_sifted, "rep long, key long, n long, low long")
+    shared = settle(sifted.union(met.where(F.col("n") > BLOCK).select("rep", "key", "n", F.lit(0).cast("long").alias("low"))))  # low is of small buckets only
     balls = settle(_balls(shared.where(F.col("n") > BLOCK), points))
     sums = balls.join(points, "rep").groupBy("ball").agg(F.sum("weight").alias("total"), F.min("rep").alias("root")).select((F.col("ball") + F.lit(0)).alias("b"), "total", "root")
     inside = balls.join(points, "rep").hint("merge").join(sums, F.col("ball") == F.col("b")).select("rep", (F.col("total") - F.col("weight")).alias("links"), "root")
@@ -218,7 +266,7 @@ def _links(points: DataFrame, hashes: int) -> DataFrame:
     packs = max(1, rows.count() // PACK)
     pack = F.when(F.col("n") <= BLOCK, F.pmod(F.xxhash64("low"), F.lit(packs))).otherwise(F.xxhash64("key", "b1", "b2"))
     items = rows.groupBy(pack.alias("pack"), "rep", "ball").agg(F.collect_list(F.struct("key", "block", "b1", "b2")).alias("items"))  # the buckets of one point
-    full = items.join(points, "rep").join(coded, "rep").select("pack", "rep", "ball", "embedding", "weight", "keys", "items")
+    full = items.join(points, "rep").join(coded.select("rep", "keys"), "rep").select("pack", "rep", "ball", "embedding", "weight", "keys", "items")
     return inside.union(full.groupBy("pack").applyInArrow(lambda t: _compare(t, tables), "rep long, links long, root long"))
 
 

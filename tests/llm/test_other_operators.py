@@ -57,6 +57,23 @@ def test_embedding_links_match_brute_force(spark):
     assert all(got[i] == want[i] for i in range(2000, 2009))
 
 
+def test_sketches_lose_no_link_and_tables_share_no_bucket():
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for d in (2, 3, 16, 64, 100):
+        x = unit(rng.standard_normal((400, d)))
+        off = rng.standard_normal((400, d))
+        off = unit(off - (off * x).sum(1, keepdims=True) * x)
+        y = 0.9 * x + math.sqrt(1 - 0.81) * off  # at the threshold
+        assert (x * y).sum(1).min() > 0.9 - 1e-9
+        may = embeddings.may_link(embeddings.sketches(np.concatenate([x, y])))
+        assert may[np.arange(400), 400 + np.arange(400)].all() and may.diagonal().all()
+        if d == 64:
+            assert may[:400, :400].sum() < 400 + 0.005 * 400 * 400
+    keys = embeddings.codes(unit(rng.standard_normal((2000, 64))), 2).reshape(2000, embeddings.TABLES, -1)
+    assert len(np.unique(keys)) == sum(len(np.unique(keys[:, t])) for t in range(embeddings.TABLES))
+
+
 def test_embeddings_of_odd_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(none).count() == 0
