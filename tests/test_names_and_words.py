@@ -140,3 +140,23 @@ def test_a_task_holds_a_slice_of_a_batch(spark):
 
     read = people.scan(Batches())
     assert sum(read) == 3000 and max(read) <= 256
+
+
+def test_words_are_counted_a_slice_at_a_time(spark):
+    """Counts of a batch's texts come out slice by slice, as many as before."""
+    batch = pa.RecordBatch.from_pydict({"novel_id": list(range(3000)), "text": ["書房" * (i % 3) for i in range(3000)]})
+
+    class Batches:
+        """Stands for a DataFrame that keeps what its tasks would run."""
+
+        schema = spark.range(0).withColumnRenamed("id", "novel_id").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run(iter([batch])))
+
+    told = automaton.counts_by_row(Batches(), ["書房"])
+    assert len(told) >= 3000 // 256 and max(b.num_rows for b in told) <= 256
+    assert pa.Table.from_batches(told).to_pydict() == {"novel_id": [i for i in range(3000) if i % 3], "name": ["書房"] * 2000, "n": [i % 3 for i in range(3000) if i % 3]}
