@@ -170,3 +170,18 @@ def test_settled_tables_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan(shots.join(cast, "novel_id", "left")) and "Broadcast" not in plan(people.join(shots, "novel_id"))
     assert "BroadcastHashJoin" in plan(people.join(F.broadcast(spark.createDataFrame([("馬華",)], "name string")), "name"))
+
+
+def test_outfits_are_chosen_from_once_for_all_people_alike(spark, monkeypatch):
+    """Searching the pools for each person took most of the time of a look; the people of all novels share a few choices."""
+    kept, asked = [], []
+    plain, column = looks.outfits, looks.arrow_column
+    monkeypatch.setattr(looks, "arrow_column", lambda *a: kept.append(a[-1]) or column(*a))
+    people = [{"rank": i, "name": name, "gender": sex, "era": era, "modern": era == "現代", "style": style} for i, name in enumerate(("馬華", "林探長", "王醫生", "阿信")) for sex in ("f", "m", "") for era in looks.ERAS for style in ("", "無此風格")]
+    looks.suggest_look(spark.createDataFrame([(1, *people[0].values())], "novel_id long, rank int, name string, gender string, era string, modern boolean, style string"))
+    monkeypatch.setattr(looks, "outfits", lambda *a: asked.append(a) or plain(*a))
+    for p in people * 3:
+        sex = "f" if p["gender"] == "f" else "m"
+        pool = plain(p["name"], p["era"], sex, p["modern"], p["style"]) or [""]
+        assert kept[0]([p])[0][-1] == pool[(looks.fnv(f"{p['name']}#outfit") + p["rank"]) % len(pool)]
+    assert len(asked) <= 24
