@@ -253,9 +253,9 @@ def q9(spark, sf_dir):
     persons, narrators = plan.cast(texts)
     scenes = plan.settled(plan.scenes_of(texts))
     rows = full_shots(texts, persons, narrators, scenes).select("novel_id", "narr", "lens")
-    made = rows.select("novel_id", F.explode(F.array("narr", "lens")).alias("text"))
-    made = made.unionByName(plan.described(texts, persons).select("novel_id", F.col("desc").alias("text"))).unionByName(scenes.select("novel_id", F.col("desc").alias("text")))
-    return audit.era_leak_scan(texts.select("novel_id", classify.detect_era(F.replace("text", F.lit("衙門"), F.lit("門"))).alias("era")), made, rows)
+    made = plan.described(texts, persons).select("novel_id", F.col("desc").alias("text")).unionByName(scenes.select("novel_id", F.col("desc").alias("text")))
+    eras = texts.select("novel_id", classify.detect_era(F.replace("text", F.lit("衙門"), F.lit("門"))).alias("era"))
+    return audit.era_leak_scan(plan.settled(eras), made, rows, texts=("narr", "lens"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talewright.functions.lexicon import DEFAULT, Lexicon
@@ -74,17 +74,25 @@ def missed_names(novels: DataFrame, people: DataFrame, least: int = 5, lex: Lexi
     return rows.where(F.col("known").isNull() | ~related).select("novel_id", "name", "n")
 
 
-def era_leak_scan(eras: DataFrame, output: DataFrame, shots: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+def era_leak_scan(eras: DataFrame, output: DataFrame, shots: DataFrame, lex: Lexicon = DEFAULT, texts: tuple[str, ...] = ()) -> DataFrame:
     """Q9: (novel_id, status, leaks) of novels (novel_id, era): the distinct words that the era bans in what was made of the novel
     (output: novel_id, text; a row for each shot, picture and description). Under 100 Han characters or 5 shots it failed, never
-    clean."""
-    banned = F.array().cast("array<string>")
-    for era, ban in lex.ERA_BAN:
-        banned = F.when(F.col("era") == era, F.regexp_extract_all("text", F.lit(f"({ban})"), F.lit(1))).otherwise(banned)
-    leaks = output.join(eras.select("novel_id", "era"), "novel_id").groupBy("novel_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(banned)))).alias("leaks"))  # banned words only
-    told = shots.groupBy("novel_id").agg(F.count("*").alias("shots"), F.sum(F.regexp_count("narr", F.lit("[一-鿿]"))).alias("han"))
-    rows = eras.select("novel_id", "era").join(leaks, "novel_id", "left").join(told, "novel_id", "left")
-    found = F.coalesce(F.array_sort("leaks"), F.array().cast("array<string>"))
+    clean. Columns of shots that texts names are searched too, in the pass that counts the shots; output need not hold them then."""
+
+    def banned(text: str) -> Column:
+        out = F.array().cast("array<string>")
+        for era, ban in lex.ERA_BAN:
+            out = F.when((F.col("era") == era) & F.col(text).isNotNull(), F.regexp_extract_all(text, F.lit(f"({ban})"), F.lit(1))).otherwise(out)
+        return out
+
+    of = eras.select("novel_id", "era")
+    distinct = lambda found: F.array_distinct(F.flatten(F.collect_set(found)))
+    made = output.join(of, "novel_id").groupBy("novel_id").agg(distinct(F.array_distinct(banned("text"))).alias("made"))  # banned words only
+    named = F.array_distinct(F.concat(*map(banned, texts))) if texts else F.array().cast("array<string>")
+    told = shots.join(of, "novel_id").groupBy("novel_id").agg(F.count("*").alias("shots"), F.sum(F.regexp_count("narr", F.lit("[一-鿿]"))).alias("han"), distinct(named).alias("told"))
+    rows = of.join(made, "novel_id", "left").join(told, "novel_id", "left")
+    none = F.array().cast("array<string>")
+    found = F.array_sort(F.array_union(F.coalesce("made", none), F.coalesce("told", none)))
     little = (F.coalesce("han", F.lit(0)) < 100) | (F.coalesce("shots", F.lit(0)) < 5)
     return rows.select("novel_id", F.when(little, "failed").when(F.size(found) > 0, "leaks").otherwise("clean").alias("status"), F.array_join(found, ",").alias("leaks"))
 

@@ -172,6 +172,18 @@ def test_settled_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" in plan(people.join(F.broadcast(spark.createDataFrame([("馬華",)], "name string")), "name"))
 
 
+def test_leaks_of_shots_are_found_where_the_shots_are_counted(spark):
+    """The shots' own texts need no second pass as output."""
+    eras = spark.createDataFrame([(1, "古裝"), (2, "古裝"), (3, "古裝")], "novel_id long, era string")
+    shots = spark.createDataFrame([(i, "他走進書房看著窗外的月色想起後來的事情很久很久" * (5 if i < 3 else 1), "他，手機放大看清" if i == 1 else None) for i in (1, 2, 3) for _ in range(5 if i < 3 else 1)], "novel_id long, narr string, lens string")
+    output = spark.createDataFrame([(1, "電腦"), (3, "手機"), (2, None)], "novel_id long, text string")
+    told = lambda rows: {r.novel_id: (r.status, r.leaks) for r in rows.collect()}
+    once = told(audit.era_leak_scan(eras, output, shots, texts=("narr", "lens")))
+    assert once == {1: ("leaks", "手機,電腦"), 2: ("clean", ""), 3: ("failed", "手機")}
+    every = output.union(shots.select("novel_id", F.explode(F.array("narr", "lens"))))
+    assert once == told(audit.era_leak_scan(eras, every, shots))
+
+
 def test_outfits_are_chosen_from_once_for_all_people_alike(spark, monkeypatch):
     """Searching the pools for each person took most of the time of a look; the people of all novels share a few choices."""
     kept, asked = [], []
