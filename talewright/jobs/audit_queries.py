@@ -267,4 +267,4 @@ SELECT s.*, facts.era, len(regexp_extract_all(text, '[一-鿿]'))::BIGINT AS han
 def q10(spark, sf_dir):
     texts = plan.settled(plan.facts(novels(spark, sf_dir)))
     scenes = plan.settled(plan.scenes_of(texts))
-    return audit.run_report(texts, full_shots(texts, *plan.cast(texts), scenes), scenes)
+    return audit.run_report(texts, full_shots(texts, *plan.cast(texts), scenes, ("size", "lens")), scenes)

@@ -102,5 +102,5 @@ def run_report(novels: DataFrame, shots: DataFrame, scenes: DataFrame) -> DataFr
     have one season (the last part of their descriptions)."""
     s = shots.groupBy("novel_id").agg(F.count("*").alias("shots"), F.count_if(F.col("size") == "物件").alias("close_ups"), F.count_if(F.contains("lens", F.lit(NO_ACTION))).alias("no_action"))
     seasons = scenes.groupBy("novel_id").agg((F.countDistinct(F.element_at(F.split("desc", "；"), -1)) <= 1).alias("one_season"))
-    rows = novels.select("novel_id", "era", F.regexp_count("text", F.lit("[一-鿿]")).cast("long").alias("han")).join(s, "novel_id").join(seasons, "novel_id", "left")
+    rows = novels.select("novel_id", "era", F.length(F.regexp_replace("text", "[^一-鿿]+", "")).cast("long").alias("han")).join(s, "novel_id").join(seasons, "novel_id", "left")
     return rows.withColumn("one_season", F.coalesce("one_season", F.lit(True)))
